@@ -101,3 +101,20 @@ def chunks(off: np.ndarray, most: int):
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], most: int = 10_000, salts: int = 64) -> DataFrame:
+    """Left join to a table with one row per key (null keys match). Up to `most` rows, counted first, the table
+    is broadcast; beyond, its rows are repeated for `salts` salts so that a hot key spreads over many tasks."""
+    names = fresh(big, *[f"k{i}" for i in range(len(on))], "salt")
+    keys, salt = names[:-1], names[-1]
+    small = small.withColumnsRenamed(dict(zip(on, keys, strict=True)))
+    same = [big[a].eqNullSafe(F.col(b)) for a, b in zip(on, keys, strict=True)]
+    if small.count() <= most:
+        out = big.join(F.broadcast(small), same, "left")
+    else:
+        mine = f"{salt}_"
+        big = big.withColumn(mine, F.pmod(F.xxhash64(*[big[c] for c in big.columns]), F.lit(salts)))
+        small = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+        out = big.join(small, [*same, F.col(mine) == F.col(salt)], "left").drop(mine, salt)
+    return out.drop(*keys)

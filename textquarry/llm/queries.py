@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, langid
+from . import bpe, chat, fingerprints, langid, line_dedup, mixing, quality_rules
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -25,8 +25,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": lambda s, d: fingerprints.edited(read(s, d, "documents")),
+    "op3_quality_rules": lambda s, d: quality_rules.verdicts(read(s, d, "documents"), read(s, d, "labels")),
+    "op4_line_dedup": lambda s, d: line_dedup.removed(read(s, d, "documents")),
     "op5_bpe": lambda s, d: bpe.digests(read(s, d, "documents"), tokenizer_path()),
+    "op6_mixing": lambda s, d: mixing.mixture(read(s, d, "documents")),
     "op9_chat": lambda s, d: chat.digests(read(s, d, "conversations")),
     "op10_language_id": lambda s, d: langid.identify(read(s, d, "documents")),
 }
-ORACLES: dict[str, str] = {"op9_chat": chat.SQL}
+ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.SQL, "op4_line_dedup": line_dedup.SQL, "op6_mixing": mixing.SQL, "op9_chat": chat.SQL}
