@@ -94,14 +94,11 @@ def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: floa
         counts += [F.count_if(x > c if high else x < c).alias(f"{rule}_{j}") for j, c in enumerate(grid)]
     counted = cut(known.groupBy("lang").agg(*counts).coalesce(1))
     tests = max(1, counted.count()) * sum(len(g) for _, _, g in RULES.values())
-    pick = []
-    for rule, (_, _, grid) in RULES.items():
-        strict = F.lit(None).cast("double")
-        for j in reversed(range(len(grid))):  # grids go from strict to lenient
-            safe = binomial_tail(F.col("n"), F.col(f"{rule}_{j}"), risk / len(RULES)) <= delta / tests
-            strict = F.when(safe, F.lit(grid[j])).otherwise(strict)
-        pick.append(strict.alias(rule))
-    return counted.select("lang", *pick)
+    every = [F.struct(F.lit(r).alias("rule"), F.lit(j).alias("j"), F.col(f"{r}_{j}").alias("k")) for r, (_, _, g) in RULES.items() for j in range(len(g))]
+    asked = counted.select("lang", "n", F.explode(F.array(*every)).alias("t")).select("lang", "n", "t.*")
+    safe = cut(asked.withColumn("tail", binomial_tail(F.col("n"), F.col("k"), risk / len(RULES))).filter(F.col("tail") <= delta / tests))
+    first = safe.groupBy("lang").agg(*[F.min(F.when(F.col("rule") == r, F.col("j"))).alias(r) for r in RULES])  # grids go from strict to lenient
+    return first.select("lang", *[F.get(F.lit(list(g)), F.col(r)).alias(r) for r, (_, _, g) in RULES.items()])
 
 
 def judge(stats: DataFrame, safe: DataFrame) -> DataFrame:
