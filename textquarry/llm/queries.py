@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, langid, line_dedup, mixing, quality_rules
+from . import bpe, chat, fingerprints, jaccard, langid, line_dedup, mixing, quality_rules
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -25,6 +25,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": lambda s, d: fingerprints.edited(read(s, d, "documents")),
+    "op2_jaccard_join": lambda s, d: jaccard.linked_documents(read(s, d, "documents")),
     "op3_quality_rules": lambda s, d: quality_rules.verdicts(read(s, d, "documents"), read(s, d, "labels")),
     "op4_line_dedup": lambda s, d: line_dedup.removed(read(s, d, "documents")),
     "op5_bpe": lambda s, d: bpe.digests(read(s, d, "documents"), tokenizer_path()),
