@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, classifier, fingerprints, jaccard, langid, line_dedup, mixing, quality_rules
+from . import bpe, chat, classifier, fingerprints, jaccard, langid, line_dedup, mixing, quality_rules, suffix_dedup
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": lambda s, d: bpe.digests(read(s, d, "documents"), tokenizer_path()),
     "op6_mixing": lambda s, d: mixing.mixture(read(s, d, "documents")),
     "op7_quality_classifier": lambda s, d: classifier.qualities(read(s, d, "documents"), read(s, d, "labels")),
+    "op8_suffix_dedup": lambda s, d: suffix_dedup.removals(read(s, d, "documents")),
     "op9_chat": lambda s, d: chat.digests(read(s, d, "conversations")),
     "op10_language_id": lambda s, d: langid.identify(read(s, d, "documents")),
 }
