@@ -297,10 +297,11 @@ def linked_documents(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: the smallest doc_id, and of its rows the smallest text hash."""
-    found = join(docs.select("doc_id", "text"))
+    found = cut(join(docs.select("doc_id", "text")))
     # a row goes if its component has a smaller doc_id, or the same doc_id with a smaller hash
     first = found.filter("n_links > 0").groupBy("class_id").agg(F.min(F.struct("doc_id", "th")).alias("first"))
     gone = found.filter("n_links > 0").join(first, "class_id").filter(F.struct("doc_id", "th") != F.col("first"))
     gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
     kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_gone_th")), "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"])
+    again = found.groupBy("doc_id", "th").count().filter("count > 1")
+    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -73,7 +73,12 @@ def dedup(docs: DataFrame) -> DataFrame:
         "n_removed_chunks": F.when(some, F.size(gone)).otherwise(0).cast("long"),
         "text": F.when(some, F.array_join(F.transform(F.filter(pieces, lambda p, k: ~F.array_contains(gone, k)), lambda p: p.body), "\n")).otherwise(F.col("text")),
     }
-    return d.withColumns(out).drop(lines, pieces, gone)
+    # a generator stands between these columns and later filters on them, which would else repeat all the work above
+    (made,) = fresh(d, "made")
+    kept = [c for c in docs.columns if c not in out]
+    d = d.select(*kept, F.explode(F.array(F.struct(*[c.alias(k) for k, c in out.items()]))).alias(made))
+    order = [*docs.columns, *[k for k in out if k not in docs.columns]]
+    return d.select(*[F.col(f"{made}.{k}") if k in out else F.col(k) for k in order])
 
 
 def removed(docs: DataFrame) -> DataFrame:
