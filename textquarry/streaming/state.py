@@ -7,14 +7,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Watermarks need TIMESTAMP; naive times go there and back in the session's zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def hourly_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """STM-01."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value")).select(F.col("w.start").alias("hour"), "n", "avg_value")
+    return _timed(events).withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value")).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", "avg_value")
 
 
 def session_stream(events: DataFrame, minutes: int = 60, late: str = "1 hour") -> DataFrame:
     """STM-02; equality with the gap starts a new session here (Q25)."""
-    return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", f"{minutes} minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("started"), "n")
+    return _timed(events).withWatermark("ts", late).groupBy("user_id", F.session_window("ts", f"{minutes} minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started"), "n")
 
 
 def retain(events: DataFrame, now: str, days: int = 30) -> DataFrame:
