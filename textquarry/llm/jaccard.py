@@ -3,7 +3,8 @@
 Texts are sets of shingles of five words (all words, if there are fewer); a link is a Jaccard similarity of
 THRESHOLD or more. Documents of equal sets are one class and enter the join once.
 
-A set is embedded as TOKENS minhash values, a byte each. In each of RUNS runs a node splits its sets on sampled
+A set is embedded as TOKENS minhash values, of which the roots of the runs read the whole value and all else a byte. In
+each of RUNS runs a node splits its sets on sampled
 tokens: sets that share the value of a chosen position go to the same child. A node chooses one position and, for
 every fourth node, a second (1 / THRESHOLD on average), so that a linked pair meets in as many children as it would
 lose. Nodes of at most SMALL sets are leaves; larger ones are split again, up to DEPTH times, and what is still large
@@ -40,12 +41,14 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(hashing.text_shingles((text or "").encode("utf-8", "replace"), WORDS))
 
 
-def tokens(shingles: np.ndarray) -> np.ndarray:
-    """A byte of the minhash at each of TOKENS positions."""
+def tokens(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A byte of the minhash at each of TOKENS positions, and keys of the whole values that the runs' roots split on."""
     low = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(shingles), 1024):
         low = np.minimum(low, ((shingles[lo : lo + 1024, None] ^ _MULT[None, ::-1]) * _MULT).min(0))
-    return (hashing.mix(low) & np.uint64(0xFF)).astype(np.uint8)
+    at = np.arange(ROOTS)
+    keys = hashing.mix(low[at * 8 % TOKENS + at * 8 // TOKENS] + hashing.mix(at.astype(np.uint64) + np.uint64(1)))
+    return (hashing.mix(low) & np.uint64(0xFF)).astype(np.uint8), keys.view(np.int64)
 
 
 def least_tokens(threshold: float) -> int:
@@ -54,19 +57,22 @@ def least_tokens(threshold: float) -> int:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), set (digest of the shingles, null without any) and tok (binary) of every row."""
+    """doc_id, th (hash of the text), set (digest of the shingles, null without any), tok (binary) and roots (keys of the
+    first split) of every row."""
 
     def run(batches):
         for b in batches:
-            keys, toks = [], []
+            keys, toks, roots = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingle_set(t)
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                toks.append(tokens(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(toks, pa.binary())], ["doc_id", "th", "set", "tok"])
+                tok, root = tokens(s) if len(s) else (None, None)
+                toks.append(tok.tobytes() if len(s) else None)
+                roots.append(root)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(toks, pa.binary()), pa.array(roots, pa.list_(pa.int64()))], ["doc_id", "th", "set", "tok", "roots"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, set binary, tok binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, set binary, tok binary, roots array<bigint>")
 
 
 def _byte(i):
@@ -78,8 +84,7 @@ def leaves(classes: DataFrame) -> DataFrame:
     """set, leaf (its key), slot (place in the fixed order) and size for all leaves of two sets or more.
 
     Keys are hashes of the path: run, then position and value at each split."""
-    root = [F.struct(F.lit(r).alias("slot"), F.xxhash64(F.lit(r), _byte(F.lit(r * 8 % TOKENS + r * 8 // TOKENS))).alias("leaf")) for r in range(ROOTS)]
-    node = classes.select("set", F.explode(F.array(*root)).alias("x")).select("set", (F.col("x.slot") * (1 << (DEPTH - 1))).alias("slot"), "x.leaf")
+    node = classes.select("set", F.posexplode("roots").alias("r", "leaf")).select("set", (F.col("r") * (1 << (DEPTH - 1))).alias("slot"), "leaf")
     done = None
     for depth in range(1, DEPTH + 1):
         node = cut(node)
@@ -213,9 +218,8 @@ def links(docs: DataFrame, all_sets: DataFrame, threshold: float = THRESHOLD) ->
     spark = ready(docs.sparkSession)
     least = least_tokens(threshold)
     place = F.struct("doc_id", "th")
-    classes = cut(all_sets.filter("set IS NOT NULL").groupBy("set").agg(F.min(place).alias("rep"), F.count("*").alias("n"), F.first("tok").alias("tok")))
-    deal = cut(dealt(leaves(classes), classes).repartition(partitions(spark), "g").sortWithinPartitions("g", "set"))
-    deal = deal.repartition(partitions(spark), "g").sortWithinPartitions("g", "set")
+    classes = cut(all_sets.filter("set IS NOT NULL").groupBy("set").agg(F.min(place).alias("rep"), F.count("*").alias("n"), F.first("tok").alias("tok"), F.first("roots").alias("roots")))
+    deal = dealt(leaves(classes), classes).repartition(partitions(spark), "g").sortWithinPartitions("g", "set")
 
     def ask(batches):
         for t in _whole_groups(batches, 20_000):
@@ -248,7 +252,7 @@ def links(docs: DataFrame, all_sets: DataFrame, threshold: float = THRESHOLD) ->
             yield pa.RecordBatch.from_arrays([pa.array([key[j] for j in i], pa.binary()), pa.array(count[i].astype(np.int64)), pa.array(weight[i].astype(np.int64)), pa.array([key[j] for j in root[i]], pa.binary())], ["set", "links", "weight", "root"])
 
     found = check.mapInArrow(verify, "set binary, links long, weight long, root binary")
-    return classes.drop("tok"), cut(found)
+    return classes.drop("tok", "roots"), cut(found)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -279,7 +283,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = known.select("set", "n", "links", "weight", F.col("rep.doc_id").alias("copy"), F.coalesce("root", "set").alias("root"))
     lowest = known.groupBy("root").agg(F.min("copy").alias("lowest"))
     known = known.join(lowest, "root").drop("root")
-    out = all_sets.drop("tok").join(known, "set", "left")
+    out = all_sets.drop("tok", "roots").join(known, "set", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
         "doc_id", "th",
