@@ -151,10 +151,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     def find(batches):
         for b in batches:
             data, off = utf8(b.column(1))
-            for i, j in chunks(off, 1 << 21):
+            for i, j in chunks(off, 1 << 20):
                 doc, at, h = anchors(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                own = b.slice(i, j - i).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "th", "at", "h"])
+                row = pa.array(doc + i)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(2).take(row), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "th", "at", "h"])
 
     found = cut(rows.mapInArrow(find, f"doc_id {kind}, th long, at int, h long"))
     shared = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
