@@ -16,6 +16,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -404,7 +405,7 @@ def _slices(batch: pa.RecordBatch, name: str, most: int):
     """Parts of a batch whose texts (or lists) hold at most so many bytes (or values), so that memory stays bounded."""
     col = batch.column(batch.schema.get_field_index(name))
     total, start = 0, 0
-    size = pa.compute.binary_length(col) if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else pa.compute.list_value_length(col)
+    size = pc.binary_length(col) if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else pc.list_value_length(col)
     for i, n in enumerate(size.to_pylist()):
         total += n or 0
         if total >= most:

@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,7 +149,7 @@ def candidates(t: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray]:
     g, side, slot = t.column("g").to_numpy(), t.column("side").to_numpy(), t.column("slot").to_numpy()
     tok = _matrix(t.column("tok"))
     at = t.column("at").combine_chunks()
-    flat, count = at.flatten().to_numpy(), pa.compute.list_value_length(at).to_numpy()
+    flat, count = at.flatten().to_numpy(), pc.list_value_length(at).to_numpy()
     where = np.full((n, SLOTS), -1, np.int32)
     where[np.repeat(np.arange(n), count), flat >> 32] = (flat & 0x7FFFFFFF).astype(np.int32)
     start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
