@@ -175,7 +175,7 @@ class Encoder:
 
     LONG, SLOTS = 40, 1 << 20
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 150_000):
         keys, to, self.link, self.length, self.token, self.up = vocabulary.arrays
         self.halves, self.special, self.most, self.classes = vocabulary.halves, vocabulary.special, most, vocabulary.classes
         # transitions: states with one way on, and a row of 256 for the others
@@ -260,14 +260,14 @@ class Encoder:
         sizes = np.array([len(w) for w in raw], np.int64)
         order = np.argsort(-sizes, kind="stable")
         m, most = len(raw), int(sizes.max(initial=0))
-        text = np.zeros((m, most), np.int64)
+        text = np.zeros((m, most), np.uint8)
         size = sizes[order]
         text[np.arange(most) < size[:, None]] = np.frombuffer(b"".join(raw[i] for i in order), np.uint8)
-        last, width = np.full((m, most + 1), -1, np.int64), np.zeros((m, most + 1), np.int64)
+        last, width = np.full((m, most + 1), -1, np.int32), np.zeros((m, most + 1), np.int8)
         s, n = np.zeros(m, np.int64), np.zeros(m, np.int64)
         for i in range(1, most + 1):
             m = int(np.searchsorted(-size, -i, "right"))
-            s, n, b = s[:m], n[:m], text[:m, i - 1]
+            s, n, b = s[:m], n[:m], text[:m, i - 1].astype(np.int64)
             q = self._next(s, b)
             lost = np.flatnonzero(q < 0)
             while len(lost):
@@ -280,7 +280,7 @@ class Encoder:
             left = np.arange(m)
             while len(left):
                 t, k = self.token[c[left]], self.length[c[left]]
-                before = last[left, i - k]
+                before = last[left, i - k].astype(np.int64)
                 ok = k == i
                 inner = np.flatnonzero(~ok)
                 ok[inner] = self.compatible(before[inner], t[inner])
@@ -361,8 +361,8 @@ class Encoder:
         names = key.tolist()
         new = [i for i, k in enumerate(names) if k not in self.known]
         a, b = start[first].tolist(), end[first].tolist()
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
+        for i in range(0, len(new), 8_000):
+            part = new[i : i + 8_000]
             self._learn([names[j] for j in part], [whole[a[j] : b[j]].encode("utf-8", "replace") for j in part])
         slot = np.array([self.known[k] for k in names], np.int64)[back]
         at, size = self.store_off[slot], self.store_off[slot + 1] - self.store_off[slot]
@@ -428,7 +428,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
             _encoders[key] = Encoder(voc.value)
         enc = _encoders[key]
         for whole in batches:
-            for batch in _slices(whole, text, 2 << 20):
+            for batch in _slices(whole, text, 1 << 19):
                 values, count = enc.batch([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
                 ends = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
                 yield _append(batch, tmp, pa.ListArray.from_arrays(ends, pa.array(values)))
@@ -447,7 +447,7 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     def run(batches):
         table = voc.value.decoded
         for whole in batches:
-            for batch in _slices(whole, ids, 2 << 20):
+            for batch in _slices(whole, ids, 1 << 17):
                 col = batch.column(batch.schema.get_field_index(ids)).to_pylist()
                 yield _append(batch, tmp, pa.array([b"".join(map(table.__getitem__, x or ())).decode("utf-8", "replace") for x in col], pa.string()))
 
