@@ -53,7 +53,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("bpe_encode_decode", encode),
 ]
-#: The join and the encoder have no SQL form; tests/llm holds run() against a brute-force version.
+#: The join and the encoder have no SQL form.
 ORACLE_SQL = None
 
 
