@@ -25,6 +25,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,6 +144,22 @@ class Family:
         return (self.data[a[:, None] + span] == self.data[b[:, None] + span]).all(1)
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """rows with text (not null) as compressed bytes, column z, for the shuffles that carry whole texts."""
+    at = rows.columns.index("text")
+    rest = [c for c in rows.columns if c != "text"]
+
+    def run(batches):
+        small = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            raw = pc.cast(b.column(at), pa.large_binary())
+            z = pa.array([small.compress(memoryview(x.as_buffer())) for x in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in rest], z], [*rest, "z"])
+
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest]
+    return rows.mapInArrow(run, ", ".join([*kinds, "z binary"]))
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), and start and stop (bytes) of strings to remove; spans may overlap."""
     spark = ready(docs.sparkSession)
@@ -159,13 +177,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     found = cut(rows.mapInArrow(find, f"doc_id {kind}, th long, at int, h long"))
     shared = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     places = found.join(shared, "h").groupBy(F.col("doc_id").alias("i"), F.col("th").alias("t")).agg(F.array_sort(F.array_distinct(F.collect_list("at"))).alias("places"))
-    with_places = rows.join(places, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "text", "places")
+    with_places = packed(rows).join(places, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "z", "places")
 
     def surroundings(batches):
         seen: set[bytes] = set()  # of this task; their bytes need not be sent again
+        large = zstandard.ZstdDecompressor()
         for b in batches:
-            for i, t, text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                raw, out = text.encode(), []
+            for i, t, z, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                raw, out = large.decompress(z), []
                 for p in at:
                     lo = max(0, p - REACH)
                     seg = raw[lo : p + LENGTH]
@@ -217,14 +236,15 @@ def remove(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     spans = repeated(docs).groupBy(F.col("doc_id").alias("i"), F.col("th").alias("t")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     spans = spans.select("i", "t", F.transform(F.sort_array("spans"), lambda x: x.start).alias("starts"), F.transform(F.sort_array("spans"), lambda x: x.stop).alias("stops"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("t")), "left").select("doc_id", "text", "starts", "stops")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    rows = packed(rows).join(spans, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left").select("doc_id", "z", "starts", "stops")
 
     def apply(batches):
+        large = zstandard.ZstdDecompressor()
         for b in batches:
             size, flat, kept = [], [], []
-            for text, starts, stops in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                raw, runs = text.encode(), []
+            for z, starts, stops in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                raw, runs = large.decompress(z), []
                 for a, z in zip(starts or (), stops or (), strict=True):
                     if runs and a <= runs[-1]:
                         runs[-1] = max(runs[-1], z)
