@@ -648,3 +648,6 @@ def _(d):
 @on("documents", "code_syntax")
 def _(d):
     return arrow.syntax(d)
+
+
+from . import learning_queries  # noqa: E402, F401  it registers its queries
