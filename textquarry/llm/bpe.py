@@ -386,7 +386,6 @@ class Encoder:
 
 
 _vocabularies: dict[str, tuple] = {}
-_encoders: dict[int, Encoder] = {}
 
 
 def _shipped(spark, path: str):
@@ -415,50 +414,102 @@ def _slices(batch: pa.RecordBatch, name: str, most: int):
         yield batch.slice(start)
 
 
+class Decoder:
+    """Turns ids back into text. The bytes of all tokens lie in one Arrow array, from which a batch's ids are taken."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        table = vocabulary.decoded
+        self.tokens = pa.array([table.get(i) for i in range(max(table) + 1)], pa.large_binary())
+
+    def batch(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of ids that lie one after another; text i has ids[ends[i]:ends[i + 1]]. Unknown ids are an error."""
+        got = self.tokens.take(pa.array(ids))
+        if got.null_count:
+            raise ValueError("an id that the vocabulary does not have")
+        _, offs, data = got.buffers()
+        at = np.frombuffer(offs, np.int64)[ends]
+        raw = memoryview(data) if data is not None else b""
+        return [str(raw[a:b], "utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+_tools: dict[tuple, Encoder | Decoder] = {}
+
+
+def _tool(kind: type, vocabulary: Vocabulary):
+    """The encoder or decoder of a Python worker, made once for a vocabulary."""
+    key = (kind, id(vocabulary))
+    if key not in _tools:
+        for old in [k for k in _tools if k[0] is kind]:
+            del _tools[old]
+        _tools[key] = kind(vocabulary)
+    return _tools[key]
+
+
+def _add(docs: DataFrame, run, columns: dict[str, tuple[str, T.DataType]]) -> DataFrame:
+    """Run over Arrow batches; new columns travel under free names and then replace any of the wanted name."""
+    out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(tmp, kind) for tmp, kind in columns.values()]]))
+    return out.drop(*columns).withColumnsRenamed({tmp: name for name, (tmp, _) in columns.items()})
+
+
+def _texts(batch: pa.RecordBatch, name: str) -> list[str]:
+    return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+
+
+def _ends(count: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add an array<int> column of token ids. `path`: a byte-level BPE file of the tokenizers library."""
-    spark = ready(docs.sparkSession)
-    voc = _shipped(spark, path)
+    voc = _shipped(ready(docs.sparkSession), path)
     (tmp,) = fresh(docs, "ids")
 
     def run(batches):
-        key = id(voc.value)
-        if key not in _encoders:
-            _encoders.clear()
-            _encoders[key] = Encoder(voc.value)
-        enc = _encoders[key]
+        enc = _tool(Encoder, voc.value)
         for whole in batches:
             for batch in _slices(whole, text, 1 << 19):
-                values, count = enc.batch([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
-                ends = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
-                yield _append(batch, tmp, pa.ListArray.from_arrays(ends, pa.array(values)))
+                values, count = enc.batch(_texts(batch, text))
+                yield _append(batch, tmp, pa.ListArray.from_arrays(pa.array(_ends(count)), pa.array(values)))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(tmp, T.ArrayType(T.IntegerType()))])
-    out = docs.mapInArrow(run, schema)
-    return out.drop(ids).withColumnRenamed(tmp, ids) if ids in docs.columns else out.withColumnRenamed(tmp, ids)
+    return _add(docs, run, {ids: (tmp, T.ArrayType(T.IntegerType()))})
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add the text that the ids stand for; bytes that are not UTF-8 become the replacement character. Null ids: empty."""
-    spark = ready(frame.sparkSession)
-    voc = _shipped(spark, path)
+    voc = _shipped(ready(frame.sparkSession), path)
     (tmp,) = fresh(frame, "decoded")
 
     def run(batches):
-        table = voc.value.decoded
+        dec = _tool(Decoder, voc.value)
+        for whole in batches:
+            for batch in _slices(whole, ids, 1 << 18):
+                col = batch.column(batch.schema.get_field_index(ids))
+                count = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+                yield _append(batch, tmp, pa.array(dec.batch(col.flatten().to_numpy(zero_copy_only=False), _ends(count)), pa.string()))
+
+    return _add(frame, run, {text: (tmp, T.StringType())})
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode() and then decode() of those ids in one pass, so that neither ids nor texts travel twice."""
+    voc = _shipped(ready(docs.sparkSession), path)
+    tmp, back = fresh(docs, "ids", "decoded")
+
+    def run(batches):
+        enc, dec = _tool(Encoder, voc.value), _tool(Decoder, voc.value)
         for whole in batches:
-            for batch in _slices(whole, ids, 1 << 17):
-                col = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-                yield _append(batch, tmp, pa.array([b"".join(map(table.__getitem__, x or ())).decode("utf-8", "replace") for x in col], pa.string()))
+            for batch in _slices(whole, text, 1 << 19):
+                values, count = enc.batch(_texts(batch, text))
+                ends = _ends(count)
+                out = _append(batch, tmp, pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
+                yield _append(out, back, pa.array(dec.batch(values, ends), pa.string()))
 
-    schema = T.StructType([*frame.schema.fields, T.StructField(tmp, T.StringType())])
-    out = frame.mapInArrow(run, schema)
-    return out.drop(text).withColumnRenamed(tmp, text) if text in frame.columns else out.withColumnRenamed(tmp, text)
+    return _add(docs, run, {ids: (tmp, T.ArrayType(T.IntegerType())), decoded: (back, T.StringType())})
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """op5: per document the number of tokens and digests of its ids and of the text decoded from them."""
-    out = decode(encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    out = round_trip(docs.select("doc_id", "text"), path)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
