@@ -41,8 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of the text they decode to."""
-    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path()).drop("text")
-    out = bpe.decode(out, tokenizer_path())
+    out = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
     return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
