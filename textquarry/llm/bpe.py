@@ -231,15 +231,17 @@ class Encoder:
         ask, back = np.unique(key[new], return_inverse=True)
         x, gone_x = (e[ask >> 20] for e in self.edges[1])
         y, gone_y = (e[ask & 0xFFFFF] for e in self.edges[0])
+        # every piece at the end of a with every piece at the start of b, all pairs one after another
+        wide = (y >= 0).sum(1)
+        many = (x >= 0).sum(1) * wide
+        pair = np.repeat(np.arange(len(ask)), many)
+        i, j = np.divmod(np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many), wide[pair])
+        k = x[pair, i] << 20 | y[pair, j]
+        at = np.minimum(np.searchsorted(self.join_key, k), len(self.join_key) - 1)
+        hit = np.flatnonzero(self.join_key[at] == k)
+        pair, i, j, m = pair[hit], i[hit], j[hit], self.join_rank[at[hit]]
         ok = np.ones(len(ask), bool)
-        for i in range(x.shape[1]):
-            for j in range(y.shape[1]):
-                r = np.flatnonzero(ok & (x[:, i] >= 0) & (y[:, j] >= 0))
-                if len(r):
-                    k = x[r, i] << 20 | y[r, j]
-                    at = np.minimum(np.searchsorted(self.join_key, k), len(self.join_key) - 1)
-                    m = self.join_rank[at]
-                    ok[r[(self.join_key[at] == k) & (m < gone_x[r, i]) & (m <= gone_y[r, j])]] = False
+        ok[pair[(m < gone_x[pair, i]) & (m <= gone_y[pair, j])]] = False
         out = self.pair_ok[slot]
         out[new] = ok[back]
         put = (ask * 0x9E3779B1 >> 15) % self.SLOTS
