@@ -38,11 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage: write to the shared folder and read again. The table is deleted when the driver ends."""
+def cut(df: DataFrame, codec: str = "snappy") -> DataFrame:
+    """Cut lineage: write to the shared folder and read again. The table is deleted when the driver ends.
+    zstd makes tables that hold text smaller, for some memory and CPU."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textquarry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))

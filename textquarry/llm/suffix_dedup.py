@@ -174,7 +174,7 @@ def repeated(docs: DataFrame) -> DataFrame:
                 row = pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(2).take(row), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "th", "at", "h"])
 
-    found = cut(rows.mapInArrow(find, f"doc_id {kind}, th long, at int, h long"))
+    found = cut(rows.mapInArrow(find, f"doc_id {kind}, th long, at int, h long"), "zstd")
     shared = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     places = found.join(shared, "h").groupBy(F.col("doc_id").alias("i"), F.col("th").alias("t")).agg(F.array_sort(F.array_distinct(F.collect_list("at"))).alias("places"))
     with_places = packed(rows).join(places, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "z", "places")
@@ -198,9 +198,9 @@ def repeated(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, types, strict=True)], names)
 
     names = ["doc_id", "th", "lo", "anchor", "size", "key", "seg"]
-    around = cut(with_places.mapInArrow(surroundings, f"doc_id {kind}, th long, lo int, anchor int, size int, key binary, seg binary"))
+    around = cut(with_places.mapInArrow(surroundings, f"doc_id {kind}, th long, lo int, anchor int, size int, key binary, seg binary"), "zstd")
     each = around.groupBy("key").agg(F.count("*").alias("n"), F.first("seg", ignorenulls=True).alias("seg"), F.first("anchor").alias("anchor"))
-    each = cut(each.withColumn("h", F.xxhash64(F.substr("seg", F.col("anchor") + 1, F.lit(GRAM)))))
+    each = cut(each.withColumn("h", F.xxhash64(F.substr("seg", F.col("anchor") + 1, F.lit(GRAM)))), "zstd")
     differ = each.groupBy("h").agg(F.count("*").alias("different"), F.min("n").alias("least")).filter("different > 1 AND least = 1").drop("least")
     ranges = F.lit(SPLITS[-1][1])
     for most, n in reversed(SPLITS[:-1]):
