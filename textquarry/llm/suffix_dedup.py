@@ -211,7 +211,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     # what all strings of the range share: `near` bytes before the anchor, LENGTH - far after it
     core = F.substr("seg", F.col("anchor") - F.col("near") + 1, F.col("near") + LENGTH - F.col("far"))
     asked = asked.filter((F.col("anchor") >= F.col("near")) & (F.octet_length("seg") - F.col("anchor") >= LENGTH - F.col("far")))
-    asked = asked.select(F.when(F.col("ranges") == 1, F.col("h")).otherwise(F.xxhash64("h", "r", core)).alias("g"), "key", "n", "seg", "anchor", "near", "far").repartition(parts, "g")
+    asked = asked.select(F.when(F.col("ranges") == 1, F.col("h")).otherwise(F.xxhash64("h", "r", core)).alias("g"), "key", "n", "seg", "anchor", "near", "far")
+    asked = asked.repartition(2 * parts, "g")  # a family takes many times the room of the segments in it
 
     def family(batches):
         levels, keys, need = Family(), [], []
