@@ -23,8 +23,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated chunks of lines go; a document of which no word is left goes with them."""
-    out = line_dedup.dedup(docs)
+    """Later copies of repeated passages of lines go; a document of which no word is left goes with them."""
+    out = line_dedup.passages(docs)
     left = (F.col("n_removed_lines") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0d]")
     return out.filter(left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

@@ -129,6 +129,20 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_passages(spark, docs, empty):
+    """A pasted passage goes whole wherever it starts; the first occurrence of every line stays."""
+    run = [" ".join(f"run{i}w{j}" for j in range(14)) for i in range(4)]
+    own = lambda i, k: [f"own {i} line {x}" for x in range(k)]
+    texts = ["\n".join([*own(i, i), *run[i % 2 :], "", *own(i + 100, 3)]) for i in range(12)]
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in line_dedup.passages(clash(d)).collect()}
+    assert got[0].text == texts[0] and got[0].n_removed_lines == 0
+    assert all(got[i].text == "\n".join([*own(i, i), "", *own(i + 100, 3)]) and got[i].n_removed_lines == 4 - i % 2 for i in range(1, 12))
+    out = line_dedup.passages(clash(docs)).collect()
+    assert len(out) == len(rows()) and {x for _, t, *_ in rows() if t for x in t.split("\n")} == {x for r in out if r.text for x in r.text.split("\n")}
+    assert line_dedup.passages(empty).count() == 0
+
+
 def test_mixing(spark, docs, empty):
     d = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.when(F.col("id") < 3000, "a").otherwise("b").alias("source"))
     n = {r.source: r["count"] for r in mixing.mix(d, {"a": 0.5, "b": 0.5}).groupBy("source").count().collect()}

@@ -6,6 +6,11 @@ is cut alike. A chunk of two lines or more, with a word in it, that occurs again
 not the first occurrence, in the order of (doc_id, md5 of text, place), after its bytes have been compared with the
 first occurrence's. Single-line chunks stay.
 
+passages() has no borders: every line with a word, the next one and what stands between them are a pair, and a pair
+that occurs again anywhere (by its 128-bit digest) is removed wherever it is not the first occurrence, in the order of
+(doc_id, number from the md5 of text, place). So a repeated run of two lines with a word or more goes whole, wherever it
+starts, and the first occurrence of every line stays.
+
 Null text stays null and has no lines. Null doc_ids come first. Rows that repeat both doc_id and text count as one
 row and are treated alike. Extra columns stay as they are.
 """
@@ -81,6 +86,50 @@ def dedup(docs: DataFrame) -> DataFrame:
     return d.select(*[F.col(f"{made}.{k}") if k in out else F.col(k) for k in order])
 
 
+def _place_of_text(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def _pairs(lines: Column) -> Column:
+    """array<struct<a,b,h>>: first and last line of each pair and the digest of its text."""
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    wordy = F.filter(every, lambda i: F.get(lines, i).rlike("[^ \\x09-\\x0d]"))
+    ends = F.zip_with(wordy, F.slice(wordy, 2, F.greatest(F.size(wordy), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    body = lambda x: F.array_join(F.slice(lines, x.a + 1, x.b - x.a + 1), "\n")
+    return F.transform(F.filter(ends, lambda x: x.b.isNotNull()), lambda x: F.struct(x.a.alias("a"), x.b.alias("b"), F.unhex(F.md5(body(x))).alias("h")))
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """docs with text cut, and n_lines and n_removed_lines (long) added (or replaced)."""
+    slim = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).select("doc_id", _place_of_text(F.col("text")).alias("th"), _lines(F.col("text")).alias("lines"))
+    slim = slim.select("doc_id", "th", F.explode(_pairs(F.col("lines"))).alias("p")).select("doc_id", "th", "p.a", "p.b", "p.h")
+    place = F.struct("doc_id", "th", "a")
+    first = slim.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
+    again = slim.join(first, "h").filter(place != F.col("first"))
+    i, th, lines, gone, own = fresh(docs, "i", "th", "lines", "gone", "own")
+    again = again.groupBy(F.col("doc_id").alias(i), F.col("th").alias(th)).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", "b")))).alias(gone))
+    d = docs.withColumn(own, _place_of_text(F.col("text")))
+    d = d.join(again, d["doc_id"].eqNullSafe(F.col(i)) & (F.col(own) == F.col(th)), "left").drop(i, th, own)
+    d = d.withColumn(lines, _lines(F.col("text")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    out = {
+        "n_lines": F.when(F.col("text").isNotNull(), F.size(lines)).otherwise(0).cast("long"),
+        "n_removed_lines": F.when(F.col(gone).isNotNull(), F.size(gone)).otherwise(0).cast("long"),
+        "text": F.when(F.col(gone).isNotNull(), F.array_join(F.transform(kept, lambda k: F.get(F.col(lines), k)), "\n")).otherwise(F.col("text")),
+    }
+    # as in dedup(): a generator keeps later filters from repeating the work
+    (made,) = fresh(d, "made")
+    d = d.select(*[c for c in docs.columns if c not in out], F.explode(F.array(F.struct(*[c.alias(k) for k, c in out.items()]))).alias(made))
+    order = [*docs.columns, *[k for k in out if k not in docs.columns]]
+    return d.select(*[F.col(f"{made}.{k}") if k in out else F.col(k) for k in order])
+
+
+def removed_passages(docs: DataFrame) -> DataFrame:
+    """op4 without borders."""
+    out = passages(docs.select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """op4."""
     out = dedup(docs.select("doc_id", "text"))
@@ -105,3 +154,18 @@ SELECT x.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) A
        coalesce(n_removed_chunks, 0) AS n_removed_chunks, coalesce(kept_sha256, sha256('')) AS kept_sha256
 FROM documents x LEFT JOIN o ON x.doc_id IS NOT DISTINCT FROM o.doc_id AND md5(x.text) = o.th
 """
+
+#: SQL for the rows of removed_passages(); pairs are compared as strings.
+PASSAGES_SQL = r"""
+WITH d AS (SELECT DISTINCT doc_id, text, ('0x' || substr(md5(text), 1, 15))::BIGINT AS th, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, th, lines, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+w AS (SELECT *, lead(i) OVER (PARTITION BY doc_id, th ORDER BY i) AS b FROM l WHERE regexp_matches(line, '[^ \x09-\x0d]')),
+p AS (SELECT doc_id, th, i, b, array_to_string(lines[i:b], chr(10)) AS body FROM w WHERE b IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS FIRST, th, i) > 1 AS again FROM p),
+g AS (SELECT DISTINCT doc_id, th, unnest(range(i, b + 1)) AS i FROM r WHERE again),
+o AS (SELECT l.doc_id, l.th, count(*) AS n_lines, count(g.i) AS n_removed_lines,
+             sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '')) AS kept_sha256
+      FROM l LEFT JOIN g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.th = g.th AND l.i = g.i GROUP BY ALL)
+SELECT x.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) AS n_removed_lines, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM documents x LEFT JOIN o ON x.doc_id IS NOT DISTINCT FROM o.doc_id AND ('0x' || substr(md5(x.text), 1, 15))::BIGINT = o.th
+"""

@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": lambda s, d: jaccard.linked_documents(read(s, d, "documents")),
     "op3_quality_rules": lambda s, d: quality_rules.verdicts(read(s, d, "documents"), read(s, d, "labels")),
     "op4_line_dedup": lambda s, d: line_dedup.removed(read(s, d, "documents")),
+    "op4_passage_dedup": lambda s, d: line_dedup.removed_passages(read(s, d, "documents")),
     "op5_bpe": lambda s, d: bpe.digests(read(s, d, "documents"), tokenizer_path()),
     "op6_mixing": lambda s, d: mixing.mixture(read(s, d, "documents")),
     "op7_quality_classifier": lambda s, d: classifier.qualities(read(s, d, "documents"), read(s, d, "labels")),
@@ -35,4 +36,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": lambda s, d: chat.digests(read(s, d, "conversations")),
     "op10_language_id": lambda s, d: langid.identify(read(s, d, "documents")),
 }
-ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.SQL, "op4_line_dedup": line_dedup.SQL, "op6_mixing": mixing.SQL, "op9_chat": chat.SQL}
+ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.SQL, "op4_line_dedup": line_dedup.SQL, "op4_passage_dedup": line_dedup.PASSAGES_SQL, "op6_mixing": mixing.SQL, "op9_chat": chat.SQL}
