@@ -10,6 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: The max_length of prepare_dataset.py.
+MAX_LENGTH = 4096
+
+
+def words(df: DataFrame, text: str = "text") -> DataFrame:
+    """All white space tokens of a text, neither cut nor padded."""
+    return df.withColumn("tokens", F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\\s+"), lambda w: w != ""))
+
+
 def tokenize(df: DataFrame, most: int, text: str = "text", pad: str = "<pad>") -> DataFrame:
     """PRJ-13 with white space tokens: cut to `most` and padded; an attention mask goes along. Built-ins only."""
     t = F.slice(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\\s+"), lambda w: w != ""), 1, most)
@@ -20,7 +29,11 @@ def mask_labels(df: DataFrame, tokens: str = "tokens", marker: str = "assistant"
     """PRJ-11 over token strings: tokens up to the last marker (or the first half, without one) and padding are masked (null)."""
     place = F.size(tokens) - F.array_position(F.reverse(tokens), marker)
     upto = F.when(F.array_contains(tokens, marker), place.cast("int")).otherwise(F.floor(F.size(tokens) / 2).cast("int") - 1)
-    return df.withColumn("labels", F.transform(tokens, lambda x, i: F.when((i > upto) & (x != pad), x)))
+    # cut at `upto`, not asked in a lambda, which would work it out again for every token
+    d = df.withColumn("_upto", upto)
+    rest = F.slice(tokens, F.col("_upto") + 2, F.size(tokens) - F.col("_upto") - 1)
+    masked = F.array_repeat(F.lit(None).cast("string"), F.col("_upto") + 1)
+    return d.withColumn("labels", F.concat(masked, F.transform(rest, lambda x: F.when(x != pad, x)))).drop("_upto")
 
 
 def pack(df: DataFrame, most: int, key: str = "doc_id", length: str = "n", shards: int = 8) -> DataFrame:

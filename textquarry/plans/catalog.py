@@ -630,9 +630,14 @@ def _(d):
     return arrow.tokenize(d, 16).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
+@on("documents", "tokenize_pad_full", f"SELECT doc_id, array_to_string(list_resize(w[1:{arrow.MAX_LENGTH}], {arrow.MAX_LENGTH}, '<pad>'), ' ') AS tokens FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents)")
+def _(d):
+    return arrow.tokenize(d, arrow.MAX_LENGTH).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 @on("documents", "mask_labels")
 def _(d):
-    return arrow.mask_labels(arrow.tokenize(d, 16), marker="the").select("doc_id", F.size(F.filter("labels", lambda x: x.isNotNull())).alias("n_kept"))
+    return arrow.mask_labels(arrow.words(d), marker="the").select("doc_id", F.size(F.filter("labels", lambda x: x.isNotNull())).alias("n_kept"))
 
 
 @on("documents", "pack_sequences")
