@@ -158,6 +158,14 @@ def test_classifier(docs, labels, empty):
     assert {r.score for r in classifier.qualities(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_word_vectors_cover_unlabelled_texts(spark, docs, labels):
+    """A word that only unlabelled texts have gets a context."""
+    more = spark.createDataFrame([(100, "zebra quagga okapi " * 9, None, None, 0)], SCHEMA)
+    at = int(classifier.buckets(*classifier.utf8(classifier.pa.array(["quagga"])))[0][0])
+    a, b = (classifier.learn(d, labels)["table"][at] for d in (docs, docs.unionByName(more)))
+    assert not np.allclose(a, b)
+
+
 def test_suffix_dedup(spark, docs, empty):
     got = {r.doc_id: r for r in suffix_dedup.removals(clash(docs)).collect() if r.doc_id is not None}
     raw = [(i, (t or "").encode()) for i, t, *_ in rows()]

@@ -2,12 +2,12 @@
 
 Tokens are runs of bytes of one class (letters, digits, the same other sign), hashed into BUCKETS. Every bucket has a
 sparse random index vector of +1 and -1. A token's word vector is the sum of the index vectors of the tokens within
-REACH of it in the fitting sample, scaled to length one, plus its own index vector. A document pools its tokens'
+REACH of it in all documents, scaled to length one, plus its own index vector. A document pools its tokens'
 vectors into their mean and standard deviation. A network with one hidden layer, written in numpy, gives a logit;
 its temperature is fitted on a fifth of the sample that the weights never saw.
 
-The fit, word vectors included, uses at most SAMPLE labelled documents (those with the smallest hash of doc_id), none
-of which is held out. Everything else covers all rows: every whole text is scored.
+The fit of the network uses at most SAMPLE labelled documents (those with the smallest hash of doc_id), none of which is
+held out. Everything else covers all rows: the word vectors, which see no labels, and the scores of every whole text.
 
 Null text is empty; an empty text gets the score of the mean features. Labels without a quality are ignored, and a
 document with conflicting labels counts as 0. Without labels of both kinds all scores are the share of label 1
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing
-from .common import chunks, crc_mod, cut, fresh, ready, utf8
+from .common import chunks, crc_mod, cut, fresh, partitions, ready, utf8
 
 SAMPLE, BUCKETS, DIM, SIGNS, REACH, HIDDEN, CUTOFF = 16_000, 1 << 14, 64, 4, 2, 32, 0.7
 TABLE_PARTS = 16
@@ -78,22 +78,23 @@ def contexts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total.astype(np.float32).reshape(BUCKETS, DIM)
 
 
-def word_vectors(sample: DataFrame, text: str) -> np.ndarray:
+def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
     """The table of word vectors: each partition adds up its texts, and the parts of the tables are summed by part."""
+    most = partitions(docs.sparkSession)  # so many tables at most
 
     def partial(batches):
-        total = np.zeros((BUCKETS, DIM), np.float32)
+        total = np.zeros((BUCKETS, DIM))
         for b in batches:
             data, off = utf8(b.column(0))
             for i, j in chunks(off, 1 << 21):
                 total += contexts(data[off[i] : off[j]], off[i : j + 1] - off[i])
-        parts = np.split(total, TABLE_PARTS)
+        parts = np.split(total.astype(np.float32), TABLE_PARTS)
         yield pa.RecordBatch.from_arrays([pa.array(range(TABLE_PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "total"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "total": [sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["total"]).astype(np.float32).tobytes()]})
 
-    rows = sample.select(text).coalesce(8).mapInArrow(partial, "part int, total binary").groupBy("part").applyInPandas(add, "part int, total binary").collect()
+    rows = docs.select(text).coalesce(most).mapInArrow(partial, "part int, total binary").groupBy("part").applyInPandas(add, "part int, total binary").collect()
     table = np.zeros((TABLE_PARTS, BUCKETS // TABLE_PARTS, DIM), np.float32)
     for r in rows:
         table[r["part"]] = np.frombuffer(bytes(r["total"]), np.float32).reshape(-1, DIM)
@@ -181,7 +182,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int =
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # the limit bounds this side, so it may be broadcast
     fitting = cut(docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(cut(known)), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y"))
-    table = word_vectors(fitting, "text")
+    table = word_vectors(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def features(batches):
