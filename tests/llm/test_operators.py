@@ -88,6 +88,14 @@ def test_jaccard_join(docs, empty):
     assert jaccard.linked_documents(empty).count() == 0
 
 
+def test_one_of_each_with_shared_and_null_ids(spark):
+    """Components that share their smallest doc_id, or have only null ones, each keep one row."""
+    text = lambda p, new: " ".join(new if i == 40 else f"{p}{i}" for i in range(200))
+    d = [(5, text("a", "x")), (7, text("a", "y")), (5, text("b", "x")), (9, text("b", "y")), (None, text("c", "x")), (None, text("c", "y"))]
+    kept = jaccard.one_of_each(spark.createDataFrame([(i, t, None, None, None) for i, t in d], SCHEMA)).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in kept) == [("5", "a"), ("5", "b"), ("None", "c")]
+
+
 def test_dense_group_in_blocks(spark):
     """A group of near copies larger than a block: every link is found."""
     base = PROSE.split()

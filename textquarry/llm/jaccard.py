@@ -273,7 +273,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: doc_id, th, class_id (the smallest doc_id that links lead to), copy_id (the smallest
+    """One row per input row: doc_id, th, root (a set that names the component, null for rows without links or copies), class_id (the smallest doc_id that links lead to), copy_id (the smallest
     doc_id with the same shingles), n_links (other documents at the threshold or above, copies among them) and
     n_class_links (other sets of shingles)."""
     all_sets = cut(sets(docs))
@@ -283,11 +283,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = classes.join(linked, "set", "left").filter("n > 1 OR links IS NOT NULL").join(root, F.col("set") == F.col("node"), "left")
     known = known.select("set", "n", "links", "weight", F.col("rep.doc_id").alias("copy"), F.coalesce("root", "set").alias("root"))
     lowest = known.groupBy("root").agg(F.min("copy").alias("lowest"))
-    known = known.join(lowest, "root").drop("root")
+    known = known.join(lowest, "root")
     out = all_sets.drop("tok", "roots").join(known, "set", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
-        "doc_id", "th",
+        "doc_id", "th", "root",
         F.coalesce("lowest", "doc_id").alias("class_id"),
         F.coalesce("copy", "doc_id").alias("copy_id"),
         (F.coalesce(F.col("n"), F.lit(1)) - 1 + zero("weight")).cast("long").alias("n_links"),
@@ -297,15 +297,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def linked_documents(docs: DataFrame) -> DataFrame:
     """op2."""
-    return join(docs).drop("th")
+    return join(docs).drop("th", "root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: the smallest doc_id, and of its rows the smallest text hash."""
     found = cut(join(docs.select("doc_id", "text")))
-    # a row goes if its component has a smaller doc_id, or the same doc_id with a smaller hash
-    first = found.filter("n_links > 0").groupBy("class_id").agg(F.min(F.struct("doc_id", "th")).alias("first"))
-    gone = found.filter("n_links > 0").join(first, "class_id").filter(F.struct("doc_id", "th") != F.col("first"))
+    # a row goes if its component has a smaller doc_id, or the same doc_id with a smaller hash; components are told apart
+    # by root, as those of different texts may share their smallest doc_id, or have only null ones
+    first = found.filter("n_links > 0").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    gone = found.filter("n_links > 0").join(first, "root").filter(F.struct("doc_id", "th") != F.col("first"))
     gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
     kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_gone_th")), "left_anti")
     again = found.groupBy("doc_id", "th").count().filter("count > 1")
