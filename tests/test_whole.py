@@ -1,4 +1,7 @@
 """Queries that must look at the whole input."""
+from pyspark.sql import functions as F
+
+from textquarry.operators import conversations
 from textquarry.plans import catalog
 
 
@@ -10,3 +13,12 @@ def test_labels_and_tokens_of_long_texts(spark, tmp_path):
     assert kept == {0: 30, 1: 21, 2: 2500, 3: 0, 4: 0}
     got = {r.doc_id: r.tokens.split(" ") for r in catalog.QUERIES["tokenize_pad_full"](spark, str(tmp_path)).collect()}
     assert got[2] == texts[2].split()[:4096] and got[0] == texts[0].split() + ["<pad>"] * (4096 - 131) and set(got[4]) == {"<pad>"}
+
+
+def test_valid_tool_calls(spark):
+    """FLT-15: every call counts, not the first only."""
+    good = ['[]', '[{"function": {"name": "f"}}]', '[{"function": {"name": null}}, {"function": {"name": "g", "arguments": {}}}]']
+    bad = [None, "", "[", "null", '{"function": {"name": "f"}}', '"f"', '[{"function": {"name": "f"}}, {"function": {}}]', '[{"function": {"name": "f"}}, "g"]', '[{"name": "f"}]', "[null]"]
+    d = spark.createDataFrame([(c,) for c in good + bad], "calls string")
+    got = [r.ok for r in d.select(conversations.valid_tool_calls(F.col("calls")).alias("ok")).collect()]
+    assert got == [True] * len(good) + [False] * len(bad)

@@ -102,3 +102,10 @@ def conversation_quality(c: DataFrame) -> DataFrame:
 def tool_call_results(calls: DataFrame, results: DataFrame) -> DataFrame:
     """JOIN-13: calls with their results; calls without one have a null result."""
     return calls.join(results, "tool_call_id", "left")
+
+
+def valid_tool_calls(calls: Column) -> Column:
+    """FLT-15 over a JSON text: whether it is a list of objects that each have a function with a name (null counts as
+    one). An empty list passes; anything else, null and broken JSON included, does not. A function that is no object fails."""
+    each = F.try_variant_get(F.try_parse_json(calls), "$", "array<variant>")
+    return F.coalesce(F.forall(each, lambda c: F.coalesce(F.try_variant_get(c, "$.function.name", "variant").isNotNull(), F.lit(False))), F.lit(False))
