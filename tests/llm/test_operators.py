@@ -96,16 +96,97 @@ def test_one_of_each_with_shared_and_null_ids(spark):
     assert sorted((str(r.doc_id), r.text[0]) for r in kept) == [("5", "a"), ("5", "b"), ("None", "c")]
 
 
-def test_dense_group_in_blocks(spark):
-    """A group of near copies larger than a block: every link is found."""
-    base = PROSE.split()
-    texts = [" ".join(base[:i] + ["new"] + base[i + 1 :]) for i in range(300)]
+def exact_sets(texts):
+    out = []
+    for t in texts:
+        w = [x for x in re.split(r"[\x20\x09-\x0d]+", t or "") if x]
+        out.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return out
+
+
+def brute_links(texts, threshold):
+    """n_links of every text, by comparing all pairs word by word."""
+    sets = exact_sets(texts)
+    return [sum(j != i and bool(a) and len(a & b) >= threshold * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize(("threshold", "depth"), [(0.8, 1), (0.8, 2), (0.8, 3), (0.5, 2), (0.5, 3)])
+def test_links_equal_brute_force(spark, monkeypatch, threshold, depth):
+    """Per row, in groups of near copies larger than a block, with leaves at each depth; no row has a surplus or a lost link."""
+    if depth > 1:  # the blocks of the last depth then hold few sets, so that most pairs must meet deep down
+        monkeypatch.setattr(jaccard, "SMALL", 16)
+    monkeypatch.setattr(jaccard, "DEPTH", depth)
+    rng = np.random.default_rng(depth)
+    base, other = PROSE.split(), [f"o{i}" for i in range(200)]
+    texts = []
+    for i in range(240):
+        w = list(base if i % 2 else other)
+        for at in rng.integers(0, len(w), int(rng.integers(1, 8 if threshold > 0.6 else 14))):
+            w[at] = f"new{rng.integers(0, 40)}"
+        texts.append(" ".join(w))
+    texts += texts[:20] + ["", " \n", "one two", "one two"]
     d = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.n_links for r in jaccard.join(d, threshold).collect()}
+    want = brute_links(texts, threshold)
+    assert all(got[i] <= n for i, n in enumerate(want))
+    assert sum(got.values()) >= 0.99 * sum(want) > 2000
+
+
+def test_roots_follow_from_threshold():
+    assert [jaccard.roots(t) for t in (0.9, 0.8, 0.5, 0.3)] == [10, 16, 39, 79]
+    assert jaccard.estimated_recall(100, 0, 5) == 1.0 and jaccard.estimated_recall(100, 50, 10) < 0.5
+
+
+def test_runs_repeat_until_recall(spark, monkeypatch):
+    """With far too few roots the estimate is low, and the join starts again with more."""
+    monkeypatch.setattr(jaccard, "roots", lambda threshold: 1)
+    used, plain = [], jaccard._asked
+    monkeypatch.setattr(jaccard, "_asked", lambda c, t, n: used.append(n) or plain(c, t, n))
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"g{g}w{j}" if j != k else f"x{rng.integers(1 << 30)}" for j in range(90)) for g in range(150) for k in (20, 60)]
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.n_links for r in jaccard.join(d).collect()}
+    assert used[0] == 1 and len(used) > 1 and sum(got.values()) >= 0.99 * sum(brute_links(texts, 0.8))
+
+
+def thue_morse(n=10):
+    s = [0]
+    for _ in range(n):
+        s += [1 - x for x in s]
+    return "".join("ab"[x] for x in s), "".join("ba"[x] for x in s)
+
+
+def test_strings_that_collide_modulo_powers_of_two(spark):
+    """Thue-Morse words have equal polynomial hashes modulo 2**64, whatever the base."""
+    tokenizers = pytest.importorskip("tokenizers")
+    a, b = thue_morse()
+    d = spark.createDataFrame([(0, a, None, None, None), (1, b, None, None, None), (2, f"{a} {b}", None, None, None)], SCHEMA).coalesce(1)
+    t = tokenizers.Tokenizer.from_file(tokenizer_path())
+    for r in bpe.round_trip(d, tokenizer_path()).collect():
+        assert r.ids == t.encode(r.text, add_special_tokens=False).ids and r.decoded == r.text
     got = {r.doc_id: r for r in jaccard.linked_documents(d).collect()}
-    sets = [set(jaccard.shingle_set(t).tolist()) for t in texts]
-    want = [sum(len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
-    assert {r.class_id for r in got.values()} == {0}
-    assert sum(got[i].n_links for i in range(300)) >= 0.99 * sum(want)
+    assert got[0].copy_id == 0 and got[1].copy_id == got[1].class_id == 1 and {r.n_links for r in got.values()} == {0}
+    assert len({r.fingerprint for r in fingerprints.fingerprints(d).collect()}) == 3
+    raw = [(r.doc_id, r.text.encode()) for r in d.collect()]
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.removals(d).collect()}
+    assert got == brute_removals(raw)
+
+
+def brute_removals(raw):
+    """n_removed and kept_sha256 by doc_id, from all strings of 400 bytes."""
+    seen: dict[bytes, int] = {}
+    for _, t in raw:
+        for s in range(len(t) - 399):
+            seen[t[s : s + 400]] = seen.get(t[s : s + 400], 0) + 1
+    out = {}
+    for i, t in raw:
+        gone = np.zeros(len(t), bool)
+        for s in range(len(t) - 399):
+            if seen[t[s : s + 400]] > 1:
+                gone[s : s + 400] = True
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        out[i] = (int(gone.sum()), hashlib.sha256(kept).hexdigest())
+    return out
 
 
 def test_quality_rules(spark, docs, labels, empty):
@@ -176,19 +257,8 @@ def test_word_vectors_cover_unlabelled_texts(spark, docs, labels):
 
 def test_suffix_dedup(spark, docs, empty):
     got = {r.doc_id: r for r in suffix_dedup.removals(clash(docs)).collect() if r.doc_id is not None}
-    raw = [(i, (t or "").encode()) for i, t, *_ in rows()]
-    seen: dict[bytes, int] = {}
-    for _, t in raw:
-        for s in range(len(t) - 399):
-            seen[t[s : s + 400]] = seen.get(t[s : s + 400], 0) + 1
-    for i, t in raw:
-        gone = np.zeros(len(t), bool)
-        for s in range(len(t) - 399):
-            if seen[t[s : s + 400]] > 1:
-                gone[s : s + 400] = True
-        if i is not None:
-            kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
-            assert (got[i].n_removed, got[i].kept_sha256) == (int(gone.sum()), hashlib.sha256(kept).hexdigest())
+    want = brute_removals([(i, (t or "").encode()) for i, t, *_ in rows()])
+    assert all((got[i].n_removed, got[i].kept_sha256) == want[i] for i in got)
     assert suffix_dedup.removals(empty).count() == 0
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -13,49 +15,79 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-_written: list[tuple] = []
+_written: dict[str, SparkSession] = {}
+_local: list[str] = []
+_shipped: set[str] = set()
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when the driver found it through sys.path only."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    """Let Python workers import this package: on a local session through PYTHONPATH, else as a zip that Spark ships."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or sc.master == "local":
+        env = sc.environment
+        if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    elif sc.applicationId not in _shipped:
+        name = os.path.join(tempfile.mkdtemp(prefix="textquarry-"), "textquarry.zip")
+        with zipfile.ZipFile(name, "w") as z:
+            for at, _, files in os.walk(os.path.join(ROOT, "textquarry")):
+                for f in files:
+                    if f.endswith(".py"):
+                        z.write(os.path.join(at, f), os.path.relpath(os.path.join(at, f), ROOT))
+        sc.addPyFile(name)
+        atexit.register(shutil.rmtree, os.path.dirname(name), True)
+        _shipped.add(sc.applicationId)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a local session
-    without that setting gets a temporary folder; a cluster without it is refused."""
+    without that setting gets a temporary folder, deleted with the driver; a cluster without it is refused."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="textquarry-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="textquarry-"))
+        atexit.register(shutil.rmtree, _local[0], True)
+    return _local[0]
 
 
 def cut(df: DataFrame, codec: str = "snappy") -> DataFrame:
-    """Cut lineage: write to the shared folder and read again. The table is deleted when the driver ends.
+    """Cut lineage: write to the shared folder, under a folder named after the application, and read again. The table
+    goes with free(), else when the driver ends; what a crashed driver leaves stands under its application's id.
     zstd makes tables that hold text smaller, for some memory and CPU."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textquarry-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/textquarry-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path, compression=codec)
     if not _written:
         atexit.register(_clean)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out._cut_path = path
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and that nothing will read again."""
+    for t in tables:
+        if getattr(t, "_cut_path", None) in _written:
+            _delete(t._cut_path)
 
 
 def _clean() -> None:
-    for spark, path in _written:
+    for path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(path)
         except Exception:  # the session may be gone already
             return
 
@@ -119,3 +151,22 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], most: int = 10_0
         small = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
         out = big.join(small, [*same, F.col(mine) == F.col(salt)], "left").drop(mine, salt)
     return out.drop(*keys)
+
+
+def join_hot(big: DataFrame, small: DataFrame, on: str, count: str, how: str = "inner", least: int = 1_000) -> DataFrame:
+    """big joined to small (a written table with one row per key, none null) on column `on`, where small's column `count`
+    says how many rows of big have the key. A key with more than `limit` rows is dealt to as many tasks as it has
+    multiples of that, its row of small copied for each. limit is at least total / (4 * partitions), so that there
+    are at most 4 * partitions such keys, with twice as many copies: a bound that allows to broadcast them."""
+    spark = big.sparkSession
+    total = small.agg(F.sum(count)).first()[0] or 0
+    limit = max(least, -(-total // (4 * partitions(spark))))
+    key, n, salt, mine = fresh(big.join(small.limit(0), on), "key", "salts", "salt", "mine")
+    hot = small.filter(F.col(count) > limit).select(F.col(on).alias(key), F.ceil(F.col(count) / limit).cast("int").alias(n))
+    if hot.isEmpty():
+        return big.join(small, on, how)
+    size = F.when(F.col(count) > limit, F.ceil(F.col(count) / limit).cast("int")).otherwise(1)
+    small = small.withColumn(salt, F.explode(F.sequence(F.lit(0), size - 1)))
+    rows = F.xxhash64(*[F.col(f"`{c}`") for c in big.columns])
+    big = big.join(F.broadcast(hot), F.col(on) == F.col(key), "left").withColumn(mine, F.pmod(rows, F.coalesce(F.col(n), F.lit(1))).cast("int")).drop(key, n)
+    return big.join(small.withColumnRenamed(on, key), (F.col(on) == F.col(key)) & (F.col(mine) == F.col(salt)), how).drop(key, mine, salt)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
+#: A Mersenne prime, and two bases for it.
+PRIME, BASES = (1 << 31) - 1, (1_234_567_891, 987_654_321)
 _powers: dict[str, np.ndarray] = {}
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,7 +34,8 @@ def _pow(name: str, base: int, n: int) -> np.ndarray:
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial over bytes, modulo 2**64; one more entry than bytes."""
+    """Prefix sums of a polynomial over bytes, modulo 2**64; one more entry than bytes. Different strings can be made to
+    collide, so these hashes only choose places and deal work: no result may rest on them."""
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _pow("up", _BASE, len(data)), out=out[1:])
     return out
@@ -44,17 +47,60 @@ def spans(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((pre[end] - pre[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of every run of bytes other than space, tab to carriage return; runs end with their text."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    solid = ~SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[off] = True
-    first, last = solid.copy(), solid.copy()
-    first[1:] &= ~solid[:-1] | edge[1:-1]
-    last[:-1] &= ~solid[1:] | edge[1:-1]
-    return np.flatnonzero(first), np.flatnonzero(last) + 1
+def _mod(x: np.ndarray) -> np.ndarray:
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+    return np.where(x >= PRIME, x - np.uint64(PRIME), x)
+
+
+def _pow_mod(base: int, n: int) -> np.ndarray:
+    name = f"mod {base}"
+    have = _powers.get(name)
+    if have is None or len(have) < n:
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, _mod(have * np.uint64(pow(base, len(have), PRIME)))])
+        if n <= 1 << 22:
+            _powers[name] = have
+    return have[:n]
+
+
+def prefix_mod(data: np.ndarray) -> list[np.ndarray]:
+    """Prefix sums of two polynomials over numbers below 2**32, modulo PRIME; the sums themselves are not reduced."""
+    out = []
+    for base in BASES:
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_mod((data.astype(np.uint64) + np.uint64(1)) * _pow_mod(base, len(data))), out=sums[1:])
+        out.append(sums)
+    return out
+
+
+def spans_mod(pre: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """62-bit hashes of ranges. Whoever uses them compares the ranges themselves on a hit."""
+    a, b = (_mod(_mod(sums[end] - sums[start]) * _pow_mod(pow(base, -1, PRIME), len(sums))[start]) for sums, base in zip(pre, BASES, strict=True))
+    return mix((a << np.uint64(31) | b) ^ mix((end - start).astype(np.uint64)))
+
+
+class _Words(dict):
+    """Digests of words, kept for the words seen last; a long word is not kept."""
+
+    MOST, LONG = 100_000, 64
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= self.LONG:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_words = _Words()
+
+
+def words(raw: bytes) -> np.ndarray:
+    """A 64-bit blake2b digest of every word; words are runs of bytes other than space, tab to carriage return."""
+    return np.fromiter(map(_words.__getitem__, raw.split()), np.uint64)
 
 
 def shingles(word: np.ndarray, k: int) -> np.ndarray:
@@ -69,7 +115,19 @@ def shingles(word: np.ndarray, k: int) -> np.ndarray:
     return acc
 
 
-def text_shingles(raw: bytes | np.ndarray, k: int) -> np.ndarray:
-    data = np.frombuffer(raw, np.uint8) if isinstance(raw, bytes) else raw
-    start, end = words(data, np.array([0, len(data)]))
-    return shingles(spans(prefix(data), start, end), k)
+def text_shingles(raw: bytes, k: int) -> np.ndarray:
+    return shingles(words(raw), k)
+
+
+def exact_shingles(raws: list[bytes], k: int) -> list[np.ndarray]:
+    """The set of shingles of each text as numbers that stand for the same words in all of them: no hash is involved."""
+    number: dict[bytes, int] = {}
+    ids = [np.fromiter((number.setdefault(w, len(number) + 1) for w in r.split()), np.int64) for r in raws]
+    width = len(number) + 1
+    ids = [np.pad(x, (0, max(0, k - len(x)))) if len(x) else x for x in ids]  # 0 stands after the words of a short text
+    made = [max(0, len(x) - k + 1) for x in ids]
+    acc = np.concatenate([x[:m] for x, m in zip(ids, made, strict=True)]) if ids else np.zeros(0, np.int64)
+    for j in range(1, k):
+        new = np.concatenate([x[j : j + m] for x, m in zip(ids, made, strict=True)]) if ids else acc
+        acc = np.unique(acc * width + new, return_inverse=True)[1].astype(np.int64)  # below 2**31 each, so the product fits
+    return [np.unique(x) for x in np.split(acc, np.cumsum(made)[:-1])] if ids else []

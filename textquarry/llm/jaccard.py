@@ -1,28 +1,33 @@
 """N-gram Jaccard join by chosen paths.
 
-Texts are sets of shingles of five words (all words, if there are fewer); a link is a Jaccard similarity of
-THRESHOLD or more. Documents of equal sets are one class and enter the join once.
-
-A set is embedded as TOKENS minhash values, of which the roots of the runs read the whole value and all else a byte. In
-each of RUNS runs a node splits its sets on sampled
-tokens: sets that share the value of a chosen position go to the same child. A node chooses one position and, for
-every fourth node, a second (1 / THRESHOLD on average), so that a linked pair meets in as many children as it would
-lose. Nodes of at most SMALL sets are leaves; larger ones are split again, up to DEPTH times, and what is still large
-then is compared in blocks of SMALL sets, so that no task holds a whole group. In a leaf all pairs are compared by
-their tokens; a pair belongs to the first leaf, in a fixed order, that holds both its sets, and is counted there only.
-Pairs whose tokens agree are then checked exactly on their shingles. No pair is written out: a leaf gives the number
-of links of each set and the components among its sets, which are joined to components over all leaves.
-
-A pair at the threshold is missed with probability (1 - 1/(d+1))-like terms to the power RUNS: under 1e-6 for leaves
-of depth 1, 0.4 % at depth 3, besides 3e-5 for the comparison by tokens.
+Texts are sets of shingles of five words (all words, if there are fewer); a link is a Jaccard similarity of the
+threshold or more. Documents of equal sets are one class and enter the join once.
+
+A set is embedded as TOKENS minhash values, of which the roots read the whole value and all else a byte. At each root
+and node sets are split on sampled tokens: sets that share the value of a chosen position go to the same child. A node
+chooses 1 / threshold positions on average, so that a linked pair meets in as many children as it would lose. Nodes of
+at most SMALL sets are leaves; larger ones are split again, up to DEPTH times, and what is still large then is compared
+in blocks of SMALL sets, so that no task holds a whole group. In a leaf all pairs are compared by their tokens; a pair
+belongs to the first leaf, in a fixed order, that holds both its sets, and is counted there only. Pairs whose tokens
+agree are then checked on their shingles, word by word. No pair is written out: a leaf gives the number of links of
+each set and the components among its sets, which are joined to components over all leaves.
+
+Repeated runs: the number of roots follows from the threshold, so that by theory a pair at the threshold is missed with
+probability MISS (roots(): 16 at 0.8, 39 at 0.5). The recall is then estimated from the join itself: of the pairs
+found, those that met under one root only and those that met under two tell how many met under none (Chao's estimator).
+Below RECALL the join is done again with twice the roots. Besides, 3e-5 of the pairs at the threshold fail by tokens.
+
+Classes and places are told apart by 128-bit digests of 64-bit blake2b digests of words, or of the words themselves in
+texts of one shingle; similarities come from the words.
 
 Null text, and text without words, has no shingles: it is a class of its own without links. Null doc_ids are kept;
-repeated rows are copies of each other. Extra columns of the input are not read.
+repeated rows are copies of each other. An empty table gives no row. Extra columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -31,23 +36,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import cut, partitions, ready
+from .common import cut, free, join_hot, partitions, ready
 
-WORDS, THRESHOLD, TOKENS, RUNS, DEPTH, SMALL = 5, 0.8, 128, 12, 3, 256
-ROOTS, SLOTS = RUNS + RUNS // 4, (RUNS + RUNS // 4) << (DEPTH - 1)
+WORDS, THRESHOLD, TOKENS, DEPTH, SMALL = 5, 0.8, 128, 3, 256
+MISS, RECALL = 1e-6, 0.99
 _MULT = hashing.mix(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+def most_children(threshold: float) -> int:
+    """1 / threshold, rounded up: a node has so many children, or one fewer."""
+    return math.ceil(1 / threshold - 1e-9)
+
+
+def roots(threshold: float, miss: float = MISS) -> int:
+    """How many roots it takes until a pair at the threshold, in nodes that are split to the full depth, is missed with
+    at most this probability."""
+    most = most_children(threshold)
+    part = most - 1 / threshold  # the share of nodes with one child fewer
+    meets = 1.0
+    for _ in range(DEPTH - 1):
+        lost = 1 - threshold * meets
+        meets = 1 - part * lost ** (most - 1) - (1 - part) * lost**most
+    return min(TOKENS, math.ceil(math.log(miss) / math.log(1 - threshold * meets)))
+
+
+def slots(threshold: float, n_roots: int) -> int:
+    return n_roots * most_children(threshold) ** (DEPTH - 1)
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(hashing.text_shingles((text or "").encode("utf-8", "replace"), WORDS))
 
 
-def tokens(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A byte of the minhash at each of TOKENS positions, and keys of the whole values that the runs' roots split on."""
+def tokens(shingles: np.ndarray, n_roots: int) -> tuple[np.ndarray, np.ndarray]:
+    """A byte of the minhash at each of TOKENS positions, and keys of the whole values that the roots split on."""
     low = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(shingles), 1024):
         low = np.minimum(low, ((shingles[lo : lo + 1024, None] ^ _MULT[None, ::-1]) * _MULT).min(0))
-    at = np.arange(ROOTS)
+    at = np.arange(n_roots)
     keys = hashing.mix(low[at * 8 % TOKENS + at * 8 // TOKENS] + hashing.mix(at.astype(np.uint64) + np.uint64(1)))
     return (hashing.mix(low) & np.uint64(0xFF)).astype(np.uint8), keys.view(np.int64)
 
@@ -57,20 +83,26 @@ def least_tokens(threshold: float) -> int:
     return int(TOKENS * (threshold - 4 * (threshold * (1 - threshold) / TOKENS) ** 0.5))
 
 
-def sets(docs: DataFrame) -> DataFrame:
+def sets(docs: DataFrame, n_roots: int) -> DataFrame:
     """doc_id, th (hash of the text), set (digest of the shingles, null without any), tok (binary) and roots (keys of the
     first split) of every row."""
 
     def run(batches):
         for b in batches:
-            keys, toks, roots = [], [], []
+            keys, toks, first = [], [], []
             for t in b.column(1).to_pylist():
-                s = shingle_set(t)
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                tok, root = tokens(s) if len(s) else (None, None)
-                toks.append(tok.tobytes() if len(s) else None)
-                roots.append(root)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(toks, pa.binary()), pa.array(roots, pa.list_(pa.int64()))], ["doc_id", "th", "set", "tok", "roots"])
+                raw = (t or "").encode("utf-8", "replace")
+                s = np.unique(hashing.text_shingles(raw, WORDS))
+                if not len(s):
+                    key = tok = root = None
+                else:
+                    key = hashlib.blake2b(s.tobytes() if len(s) > 1 else b" ".join(raw.split()[:WORDS]), digest_size=16, person=b"many" if len(s) > 1 else b"one").digest()
+                    tok, root = tokens(s, n_roots)
+                    tok = tok.tobytes()
+                keys.append(key)
+                toks.append(tok)
+                first.append(root)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(toks, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "th", "set", "tok", "roots"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, set binary, tok binary, roots array<bigint>")
@@ -81,44 +113,44 @@ def _byte(i):
     return F.conv(F.hex(F.substr(F.col("tok"), (i + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
 
 
-def leaves(classes: DataFrame) -> DataFrame:
-    """set, leaf (its key), slot (place in the fixed order) and size for all leaves of two sets or more.
+def leaves(classes: DataFrame, threshold: float) -> list[DataFrame]:
+    """Written tables of set, leaf (its key), slot (place in the fixed order) and size for leaves of two sets or more.
 
-    Keys are hashes of the path: run, then position and value at each split."""
-    node = classes.select("set", F.posexplode("roots").alias("r", "leaf")).select("set", (F.col("r") * (1 << (DEPTH - 1))).alias("slot"), "leaf")
-    done = None
+    Keys are 64-bit hashes of the path: root, then position and value at each split."""
+    most = most_children(threshold)
+    fewer = F.pmod(F.xxhash64("leaf", F.lit(7)), F.lit(1 << 20)) < int((most - 1 / threshold) * (1 << 20))
+    node = classes.select("set", F.posexplode("roots").alias("r", "leaf")).select("set", (F.col("r") * most ** (DEPTH - 1)).alias("slot"), "leaf")
+    done = []
     for depth in range(1, DEPTH + 1):
-        node = cut(node)
-        size = node.groupBy("leaf").agg(F.count("*").alias("size")).filter("size > 1")
-        node = cut(node.join(size, "leaf"))
-        small = node if depth == DEPTH else node.filter(F.col("size") <= SMALL)
-        done = small if done is None else done.unionByName(small)
+        all_nodes = cut(node)
+        size = all_nodes.groupBy("leaf").agg(F.count("*").alias("size")).filter("size > 1")
+        node = cut(all_nodes.join(size, "leaf"))
+        free(all_nodes)
+        done.append(node if depth == DEPTH else node.filter(F.col("size") <= SMALL))
         if depth == DEPTH:
             break
         large = node.filter(F.col("size") > SMALL)
         if large.isEmpty():
             break
-        step = 1 << (DEPTH - 1 - depth)
+        step = most ** (DEPTH - 1 - depth)
         large = large.join(classes.select("set", "tok"), "set")
         child = lambda j: F.struct((F.col("slot") + j * step).alias("slot"), F.xxhash64("leaf", F.lit(j), _byte(F.pmod(F.xxhash64("leaf", F.lit(100 + j)), F.lit(TOKENS)))).alias("leaf"))
-        second = F.when(F.pmod(F.xxhash64("leaf", F.lit(7)), F.lit(4)) == 0, child(1))
-        node = large.select("set", F.explode(F.array_compact(F.array(child(0), second))).alias("x")).select("set", "x.slot", "x.leaf")
+        every = [child(j) for j in range(most - 1)] + [F.when(~fewer, child(most - 1))]
+        node = large.select("set", F.explode(F.array_compact(F.array(*every))).alias("x")).select("set", "x.slot", "x.leaf")
     return done
 
 
 def dealt(leaf: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows for the comparisons: group (a pair of blocks of a leaf), slot, side (0, 1, or 2 in a block with itself),
-    set, n, tok and at (all leaves of the set as slot << 32 | part of the key)."""
+    set, n, tok, and at and leaves (slot and key of all leaves of the set)."""
     mine = leaf.groupBy("set").agg(F.collect_list(F.struct("leaf", "slot", "size")).alias("own"))
     mine = mine.join(classes.select("set", "n", "tok"), "set")
-    part = F.col("x.leaf").bitwiseAND(F.lit(0x7FFFFFFF))
-    at = F.transform("own", lambda x: F.shiftleft(x.slot.cast("long"), 32).bitwiseOR(x.leaf.bitwiseAND(F.lit(0x7FFFFFFF))))
-    rows = mine.select("set", "n", "tok", at.alias("at"), F.explode("own").alias("x"))
+    rows = mine.select("set", "n", "tok", F.transform("own", lambda x: x.slot.cast("int")).alias("at"), F.col("own.leaf").alias("leaves"), F.explode("own").alias("x"))
     blocks = F.ceil(F.col("x.size") / SMALL).cast("int")
     block = F.pmod(F.xxhash64("set"), blocks).cast("int")
-    rows = rows.select("set", "n", "tok", "at", F.col("x.leaf").alias("leaf"), F.col("x.slot").alias("slot"), part.alias("part"), block.alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
+    rows = rows.select("set", "n", "tok", "at", "leaves", F.col("x.leaf").alias("leaf"), F.col("x.slot").cast("int").alias("slot"), block.alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
     side = F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1)
-    return rows.select(F.xxhash64("leaf", F.least("b", "o"), F.greatest("b", "o")).alias("g"), "slot", side.alias("side"), "set", "n", "tok", "at")
+    return rows.select(F.xxhash64("leaf", F.least("b", "o"), F.greatest("b", "o")).alias("g"), "slot", side.alias("side"), "set", "n", "tok", "at", "leaves")
 
 
 def _whole_groups(batches, rows: int):
@@ -143,23 +175,27 @@ def _matrix(col) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), -1)
 
 
-def candidates(t: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one group whose tokens agree and whose first common leaf this is."""
+def candidates(t: pa.Table, least: int, n_roots: int, n_slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one group whose tokens agree and whose first common leaf this is, and under how many roots they
+    meet."""
     n = t.num_rows
     g, side, slot = t.column("g").to_numpy(), t.column("side").to_numpy(), t.column("slot").to_numpy()
     tok = _matrix(t.column("tok"))
-    at = t.column("at").combine_chunks()
-    flat, count = at.flatten().to_numpy(), pc.list_value_length(at).to_numpy()
-    where = np.full((n, SLOTS), -1, np.int32)
-    where[np.repeat(np.arange(n), count), flat >> 32] = (flat & 0x7FFFFFFF).astype(np.int32)
+    at, leaf = t.column("at").combine_chunks(), t.column("leaves").combine_chunks()
+    count = pc.list_value_length(at).to_numpy()
+    row = np.repeat(np.arange(n), count)
+    # 0 and every row's own number stand for no leaf: they never agree
+    where = np.empty((n, n_slots), np.int64)
+    where[:] = np.arange(n)[:, None]
+    where[row, at.flatten().to_numpy()] = leaf.flatten().to_numpy()
     start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
     size = np.diff(np.append(start, n))
     # each row with the rows after it in its group
     later = np.repeat(start + size, size) - np.arange(n) - 1
     ends = np.cumsum(later)
-    left, right, lo = [], [], 0
+    left, right, met, lo = [], [], [], 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 100_000, "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 6_000_000 // n_slots, "right")))
         c = later[lo:hi]
         a = np.repeat(np.arange(lo, hi), c)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)
@@ -170,13 +206,19 @@ def candidates(t: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray]:
             a, b = a[ok], b[ok]
             ok = (tok[a] == tok[b]).sum(1) >= least
             a, b = a[ok], b[ok]
-            both = (where[a] == where[b]) & (where[a] >= 0)
+            both = where[a] == where[b]
             ok = both.argmax(1) == slot[a]
             left.append(a[ok])
             right.append(b[ok])
+            met.append(both[ok].reshape(-1, n_roots, n_slots // n_roots).any(2).sum(1))
         lo = hi
     empty = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
+    return tuple(np.concatenate(x) if x else empty for x in (left, right, met))
+
+
+def estimated_recall(pairs: int, once: int, twice: int) -> float:
+    """The share of pairs that met under a root, of all, from how many met under one and under two (Chao, 1987)."""
+    return pairs / (pairs + once * (once - 1) / (2 * (twice + 1))) if pairs else 1.0
 
 
 def overlaps(own: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -213,36 +255,61 @@ def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def links(docs: DataFrame, all_sets: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Classes (set, rep, n) and, for those with a link: set, links (classes), weight (documents), root (a set of the
-    same component; one row for each leaf)."""
-    spark = ready(docs.sparkSession)
-    least = least_tokens(threshold)
-    place = F.struct("doc_id", "th")
-    classes = cut(all_sets.filter("set IS NOT NULL").groupBy("set").agg(F.min(place).alias("rep"), F.count("*").alias("n"), F.first("tok").alias("tok"), F.first("roots").alias("roots")))
-    deal = dealt(leaves(classes), classes).repartition(partitions(spark), "g").sortWithinPartitions("g", "set")
+def _asked(classes: DataFrame, threshold: float, n_roots: int) -> tuple[DataFrame, float]:
+    """The written rows of dealt() that have a partner whose tokens agree, and the estimated recall of their pairs."""
+    least, n_slots = least_tokens(threshold), slots(threshold, n_roots)
+    parts = leaves(classes, threshold)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    deal = dealt(every, classes).repartition(partitions(classes.sparkSession), "g").sortWithinPartitions("g", "set")
 
     def ask(batches):
-        for t in _whole_groups(batches, 20_000):
-            a, b = candidates(t, least)
-            for part in t.take(np.unique(np.concatenate([a, b]))).to_batches(max_chunksize=5_000):
-                yield part
-
-    asked = cut(deal.mapInArrow(ask, deal.schema))
+        for t in _whole_groups(batches, min(20_000, 1_200_000 // n_slots)):
+            a, b, met = candidates(t, least, n_roots, n_slots)
+            took = t.take(np.unique(np.concatenate([a, b])))
+            for name, number in (("pairs", len(a)), ("once", (met == 1).sum()), ("twice", (met == 2).sum())):
+                took = took.append_column(name, pa.array(np.concatenate([[number], np.zeros(max(took.num_rows - 1, 0))])[: took.num_rows].astype(np.int64)))
+            yield from took.to_batches(max_chunksize=5_000)
+
+    out = cut(deal.mapInArrow(ask, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in deal.schema.fields) + ", pairs long, once long, twice long"))
+    free(*parts)
+    seen = out.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("pairs", "once", "twice")]).first()
+    return out, estimated_recall(*seen)
+
+
+def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: every row's set (doc_id, th, set, tok, roots); classes (set, rep, n, tok, roots); and, for classes
+    with a link: set, links (classes), weight (documents), root (a set of the same component; one row for each leaf)."""
+    spark = ready(docs.sparkSession)
+    least, n_roots = least_tokens(threshold), roots(threshold)
+    place = F.struct("doc_id", "th")
+    while True:
+        all_sets = cut(sets(docs, n_roots))
+        classes = cut(all_sets.filter("set IS NOT NULL").groupBy("set").agg(F.min(place).alias("rep"), F.count("*").alias("n"), F.first("tok").alias("tok"), F.first("roots").alias("roots")))
+        asked, reached = _asked(classes, threshold, n_roots)
+        if reached >= recall:
+            break
+        if n_roots >= TOKENS:
+            raise ValueError(f"estimated recall {reached:.3f} of {recall} with all {TOKENS} roots: the threshold is too low for so few tokens")
+        free(all_sets, classes, asked)
+        n_roots = min(TOKENS, 2 * n_roots)
+    n_slots = slots(threshold, n_roots)
     wanted = asked.select("set").distinct().join(classes.select("set", "rep"), "set").select("set", F.col("rep.doc_id").alias("i"), F.col("rep.th").alias("h"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).select("set", "text").dropDuplicates(["set"])
-    check = asked.join(texts, "set").repartition(partitions(spark), "g").sortWithinPartitions("g", "set")
+    check = asked.drop("pairs", "once", "twice").join(texts, "set").repartition(partitions(spark), "g").sortWithinPartitions("g", "set")
 
     def verify(batches):
         for t in _whole_groups(batches, 1_000):
-            a, b = candidates(t, least)
+            a, b, _ = candidates(t, least, n_roots, n_slots)
             if not len(a):
                 continue
             text, key, n = t.column("text"), t.column("set").to_pylist(), t.column("n").to_numpy()
-            own = {i: shingle_set(text[i].as_py()) for i in np.unique(np.concatenate([a, b])).tolist()}
+            used = np.unique(np.concatenate([a, b])).tolist()
+            own = dict(zip(used, hashing.exact_shingles([text[i].as_py().encode("utf-8", "replace") for i in used], WORDS), strict=True))
             size = np.zeros(t.num_rows, np.int64)
-            size[list(own)] = [len(s) for s in own.values()]
+            size[used] = [len(own[i]) for i in used]
             both = overlaps(own, a, b)
             ok = both >= threshold * (size[a] + size[b] - both)
             a, b = a[ok], b[ok]
@@ -252,8 +319,9 @@ def links(docs: DataFrame, all_sets: DataFrame, threshold: float = THRESHOLD) ->
             i = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array([key[j] for j in i], pa.binary()), pa.array(count[i].astype(np.int64)), pa.array(weight[i].astype(np.int64)), pa.array([key[j] for j in root[i]], pa.binary())], ["set", "links", "weight", "root"])
 
-    found = check.mapInArrow(verify, "set binary, links long, weight long, root binary")
-    return classes.drop("tok", "roots"), cut(found)
+    found = cut(check.mapInArrow(verify, "set binary, links long, weight long, root binary"))
+    free(asked)
+    return all_sets, classes, found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -262,51 +330,56 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
-        near = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        new = label.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
+        near = both.join(label.select("node", "root"), F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        new = label.select("node", "root").join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
         up = new.select(F.col("node").alias("up"), F.col("root").alias("top"))
         new = cut(new.join(up, new["root"] == up["up"], "left").select("node", F.least("root", F.coalesce("top", "root")).alias("root"), "old"))
-        changed = not new.filter("root <> old").isEmpty()
-        label = new.drop("old")
-        if not changed:
+        free(label)
+        label = new
+        if new.filter("root <> old").isEmpty():
+            free(both)
             return label
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: doc_id, th, root (a set that names the component, null for rows without links or copies), class_id (the smallest doc_id that links lead to), copy_id (the smallest
-    doc_id with the same shingles), n_links (other documents at the threshold or above, copies among them) and
-    n_class_links (other sets of shingles)."""
-    all_sets = cut(sets(docs))
-    classes, found = links(docs, all_sets, threshold)
-    root = components(found.filter("set <> root").select(F.col("set").alias("a"), F.col("root").alias("b")))
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row per input row: doc_id, th, root (a set that names the component, null for rows without links or copies),
+    first (doc_id and th of the component's first row), class_id (the smallest doc_id that links lead to), copy_id (the smallest doc_id with the same shingles), n_links
+    (other documents at the threshold or above, copies among them) and n_class_links (other sets of shingles)."""
+    all_sets, classes, found = links(docs, threshold, recall)
+    label = components(found.filter("set <> root").select(F.col("set").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("set").agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
-    known = classes.join(linked, "set", "left").filter("n > 1 OR links IS NOT NULL").join(root, F.col("set") == F.col("node"), "left")
-    known = known.select("set", "n", "links", "weight", F.col("rep.doc_id").alias("copy"), F.coalesce("root", "set").alias("root"))
-    lowest = known.groupBy("root").agg(F.min("copy").alias("lowest"))
-    known = known.join(lowest, "root")
-    out = all_sets.drop("tok", "roots").join(known, "set", "left")
+    own = classes.select("set", "rep", "n").join(linked, "set", "left").filter("n > 1 OR links IS NOT NULL").join(label.select("node", F.col("root").alias("top")), F.col("set") == F.col("node"), "left")
+    own = cut(own.select("set", "n", "links", "weight", "rep", F.coalesce("top", "set").alias("root")))
+    free(found, label, classes)
+    # a component of one class has its own first row; of the others, one may hold a large part of all classes
+    several = cut(own.groupBy("root").agg(F.min("rep").alias("first"), F.min("rep.doc_id").alias("lowest"), F.count("*").alias("classes")).filter("classes > 1"))
+    known = join_hot(own, several, "root", "classes", "left")
+    known = cut(known.select("set", "n", "links", "weight", "root", F.col("rep.doc_id").alias("copy"), F.coalesce("lowest", "rep.doc_id").alias("lowest"), F.coalesce("first", "rep").alias("first")))
+    free(own, several)
+    rows = all_sets.select("doc_id", "th", "set")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.select(
-        "doc_id", "th", "root",
+    shape = [
+        "doc_id", "th", "root", "first",
         F.coalesce("lowest", "doc_id").alias("class_id"),
         F.coalesce("copy", "doc_id").alias("copy_id"),
         (F.coalesce(F.col("n"), F.lit(1)) - 1 + zero("weight")).cast("long").alias("n_links"),
         zero("links").cast("long").alias("n_class_links"),
-    )
+    ]
+    # rows without a set, who knows how many, stay out of the join
+    nothing = rows.filter("set IS NULL").select("doc_id", "th", *[F.lit(None).cast(known.schema[c].dataType).alias(c) for c in ("n", "links", "weight", "copy", "root", "lowest", "first")])
+    return join_hot(rows.filter("set IS NOT NULL"), known, "set", "n", "left").select(*shape).unionByName(nothing.select(*shape))
 
 
 def linked_documents(docs: DataFrame) -> DataFrame:
     """op2."""
-    return join(docs).drop("th", "root")
+    return join(docs).drop("th", "root", "first")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the smallest doc_id, and of its rows the smallest text hash."""
-    found = cut(join(docs.select("doc_id", "text")))
-    # a row goes if its component has a smaller doc_id, or the same doc_id with a smaller hash; components are told apart
-    # by root, as those of different texts may share their smallest doc_id, or have only null ones
-    first = found.filter("n_links > 0").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("first"))
-    gone = found.filter("n_links > 0").join(first, "root").filter(F.struct("doc_id", "th") != F.col("first"))
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with one row of each component: the smallest doc_id, and of its rows the smallest text hash. Components are
+    told apart by root, as those of different texts may share their smallest doc_id, or have only null ones."""
+    found = cut(join(docs.select("doc_id", "text"), threshold))
+    gone = found.filter((F.col("n_links") > 0) & (F.struct("doc_id", "th") != F.col("first")))
     gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
     kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_gone_th")), "left_anti")
     again = found.groupBy("doc_id", "th").count().filter("count > 1")
