@@ -53,6 +53,19 @@ def test_bpe_equals_library(spark, docs, empty):
     assert bpe.digests(empty, tokenizer_path()).count() == 0
 
 
+def test_bpe_long_pretokens():
+    """Long pre-tokens equal the library's, in time linear in their length."""
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(tokenizer_path())
+    enc = bpe.Encoder(bpe.Vocabulary(tokenizer_path()))
+    rng = np.random.default_rng(2)
+    for text in ("a" * 5000, "=" * 4000 + "-" * 333, "abcab" * 900, "".join(rng.choice(list("etaoinshrdlu"), 20000)), "".join(thue_morse())):
+        assert enc.batch([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+    cp = np.frombuffer("".join(thue_morse() + thue_morse()).encode("utf-32-le"), np.uint32)
+    first, back = bpe._alike(cp, np.arange(0, 4096, 1024), np.arange(1024, 4097, 1024))
+    assert len(first) == 2 and back[0] == back[2] != back[1] == back[3]
+
+
 def test_fingerprints(docs, empty):
     got = {(r.doc_id, r.n_chars): r for r in fingerprints.edited(clash(docs)).collect()}
     plain = sorted(((i, t or "") for i, t, *_ in rows()), key=lambda x: (x[0] is None, -(x[0] or 0)))

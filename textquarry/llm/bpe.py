@@ -167,8 +167,27 @@ def pretokens(cp: np.ndarray, off: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins[:n])
 
 
+def _alike(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of code points that stand for all of their kind, and which of them each range equals. Ranges are put
+    together by hash, then compared; one that differs from its stand-in stands for itself."""
+    _, first, back = np.unique(hashing.spans_mod(hashing.prefix_mod(cp), start, end), return_index=True, return_inverse=True)
+    size, model = end - start, first[back]
+    other = np.flatnonzero(model != np.arange(len(start)))
+    wrong = size[other] != size[model[other]]
+    same = other[~wrong]
+    n = size[same]
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    differ = cp[np.repeat(start[same], n) + step] != cp[np.repeat(start[model[same]], n) + step]
+    bad = np.concatenate([other[wrong], np.repeat(same, n)[differ]])
+    if len(bad):
+        bad = np.unique(bad)
+        back[bad] = len(first) + np.arange(len(bad))
+        first = np.concatenate([first, bad])
+    return first, back
+
+
 class Encoder:
-    """Encodes batches of texts. Pre-tokens that were seen are kept, at most `most`; then all are forgotten.
+    """Encodes batches of texts. Pre-tokens that were seen are kept, at most `most`, by their text; then all are forgotten.
 
     Up to LONG bytes, the prefixes of many pre-tokens are worked on together, byte by byte; longer
     pre-tokens go one at a time. Both do the same steps."""
@@ -194,6 +213,7 @@ class Encoder:
         joins = sorted((a << 20 | b, rank) for a, b, rank in self.halves.values())
         self.join_key, self.join_rank = (np.array(x, np.int64) for x in zip(*joins, strict=True))
         self.edges = [self._edges(side) for side in (0, 1)]
+        self.joins, self.spines = {a << 20 | b: rank for a, b, rank in self.halves.values()}, ({}, {})
         self.pair_key = np.full(self.SLOTS, -1, np.int64)
         self.pair_ok = np.zeros(self.SLOTS, bool)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -217,7 +237,7 @@ class Encoder:
         return piece, gone
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         self.store, self.store_off = np.zeros(1 << 16, np.int32), np.zeros(self.most + 2, np.int64)
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -303,26 +323,66 @@ class Encoder:
         ids, count = ids[back], count[back]
         return ids[ids >= 0], count
 
+    def _apart(self, a: int, b: int) -> bool:
+        """compatible() for one pair."""
+        for x, gone in self._spine(1, a):
+            for y, absorbed in self._spine(0, b):
+                rank = self.joins.get(x << 20 | y)
+                if rank is not None and rank < gone and rank <= absorbed:
+                    return False
+        return True
+
+    def _spine(self, side: int, token: int) -> list[tuple[int, int]]:
+        got = self.spines[side].get(token)
+        if got is None:
+            piece, gone = (e[token].tolist() for e in self.edges[side])
+            got = self.spines[side][token] = [(p, g) for p, g in zip(piece, gone, strict=True) if p >= 0]
+        return got
+
+    def _ends(self, s: int, n: int) -> list[tuple[int, int]]:
+        """Tokens (id, length) that end where state s was reached with n bytes matched, longest first."""
+        c, out = s if self.token[s] >= 0 and self.length[s] == n else int(self.up[s]), []
+        while c >= 0:
+            out.append((int(self.token[c]), int(self.length[c])))
+            c = int(self.up[c])
+        return out
+
     def word(self, raw: bytes) -> list[int]:
-        """Ids of one pre-token of any length."""
+        """Ids of one pre-token of any length, byte by byte; steps, ends of tokens and pairs are kept for its length."""
         last, width, s, n = [-1] * (len(raw) + 1), [0] * (len(raw) + 1), 0, 0
+        steps: dict[int, tuple[int, int, bool]] = {}  # state and byte: next state, its match if it was shortened, whether it was
+        ends: dict[tuple[int, int], list] = {}
+        apart: dict[int, bool] = {}
         go = lambda s, b: int(self.wide[self.row[s], b]) if self.row[s] >= 0 else int(self.to[s]) if self.only[s] == b else -1
         for i, b in enumerate(raw, 1):
-            while (q := go(s, b)) < 0:
-                s = self.link[s]
-                n = self.length[s]
-            s, n = q, n + 1
-            c = s if self.token[s] >= 0 and self.length[s] == n else self.up[s]
-            while (k := int(self.length[c])) != i and not self.compatible(np.array([last[i - k]]), self.token[c : c + 1])[0]:
-                c = self.up[c]
-            last[i], width[i] = int(self.token[c]), k
+            step = steps.get(s << 8 | b)
+            if step is None:
+                at, m, cut = s, 0, False
+                while (q := go(at, b)) < 0:
+                    at = int(self.link[at])
+                    m, cut = int(self.length[at]), True
+                step = steps[s << 8 | b] = (q, m, cut)
+            s, n = step[0], (step[1] if step[2] else n) + 1
+            found = ends.get((s, n))
+            if found is None:
+                found = ends[s, n] = self._ends(s, n)
+            for t, k in found:
+                if k == i:
+                    break
+                pair = last[i - k] << 20 | t
+                ok = apart.get(pair)
+                if ok is None:
+                    ok = apart[pair] = self._apart(last[i - k], t)
+                if ok:
+                    break
+            last[i], width[i] = t, k
         ids, i = [], len(raw)
         while i:
             ids.append(last[i])
             i -= width[i]
         return ids[::-1]
 
-    def _learn(self, keys: list[int], raw: list[bytes]) -> None:
+    def _learn(self, keys: list[str], raw: list[bytes]) -> None:
         if not raw:
             return
         short = [w for w in raw if len(w) <= self.LONG]
@@ -353,19 +413,16 @@ class Encoder:
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         end = np.append(start[1:], len(cp))
-        pre = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * hashing._pow("up", hashing._BASE, len(cp)), out=pre[1:])
-        key, first, back = np.unique(hashing.spans(pre, start, end), return_index=True, return_inverse=True)
-        if len(self.known) + len(key) > self.most:
+        first, back = _alike(cp, start, end)
+        if len(self.known) + len(first) > self.most:
             self._forget()
-            if len(key) > self.most:
-                self.store_off = np.zeros(len(key) + 2, np.int64)
-        names = key.tolist()
-        new = [i for i, k in enumerate(names) if k not in self.known]
-        a, b = start[first].tolist(), end[first].tolist()
+            if len(first) > self.most:
+                self.store_off = np.zeros(len(first) + 2, np.int64)
+        names = [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        new = [k for k in dict.fromkeys(names) if k not in self.known]
         for i in range(0, len(new), 8_000):
             part = new[i : i + 8_000]
-            self._learn([names[j] for j in part], [whole[a[j] : b[j]].encode("utf-8", "replace") for j in part])
+            self._learn(part, [k.encode("utf-8", "replace") for k in part])
         slot = np.array([self.known[k] for k in names], np.int64)[back]
         at, size = self.store_off[slot], self.store_off[slot + 1] - self.store_off[slot]
         total = np.concatenate([[0], np.cumsum(size)])
