@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textquarry.llm import bpe, chat, classifier, fingerprints, jaccard, langid, line_dedup, mixing, quality_rules, suffix_dedup
+from textquarry.llm import bpe, chat, classifier, common, fingerprints, hashing, jaccard, langid, line_dedup, mixing, quality_rules, suffix_dedup
 from textquarry.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -286,6 +286,46 @@ def test_split_of_crowded_anchors(spark, monkeypatch):
     assert sorted(suffix_dedup.removals(d).collect()) == want
 
 
+def test_strings_that_share_a_fingerprint(spark, docs, monkeypatch):
+    """With only 16 different fingerprints, the family still finds what brute force finds, and nothing else."""
+    strong = hashing.spans_mod
+    weak = lambda *a: strong(*a) % np.uint64(16)
+    rng = np.random.default_rng(7)
+    texts = [bytes(rng.choice(np.frombuffer(b"ab", np.uint8), 420)) for _ in range(40)]
+    for hashed in (strong, weak):
+        monkeypatch.setattr(hashing, "spans_mod", hashed)
+        monkeypatch.setattr(hashing, "mix", hashing.mix if hashed is strong else (lambda x: x % np.uint64(16)))
+        levels = suffix_dedup.Family()
+        segs = [*texts, texts[3][5:] + b"x" * 5, texts[8][:410], texts[9][1:]]
+        anchor = np.array([210] * 40 + [205, 210, 209])
+        for lo in range(0, len(segs), 7):
+            n = len(segs[lo : lo + 7])
+            levels.add(segs[lo : lo + 7], np.zeros(n, np.int64), anchor[lo : lo + 7], np.zeros(n, np.int64), np.full(n, 200))
+        found = {i for i in range(len(segs)) if levels.high[i] >= 0}
+        assert found == {3, 8, 9, 40, 41, 42}
+        assert (levels.low[3], levels.high[3], levels.low[40], levels.high[40], levels.high[8], levels.low[42]) == (10, 20, 5, 15, 10, 9)
+
+
+def test_families_end_with_their_groups(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    cores = [word(450) for _ in range(30)]
+    d = spark.createDataFrame([(i, word(int(rng.integers(0, 300))) + cores[i % 30][i % 3 : 450 - i % 5] + word(200), None, None, None) for i in range(90)], SCHEMA)
+    monkeypatch.setattr(suffix_dedup, "ROOM", 1)
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.removals(d).collect()}
+    assert got == brute_removals([(r.doc_id, r.text.encode()) for r in d.collect()])
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    """A key that most rows have is dealt to several tasks, with the rows of a plain join."""
+    big = spark.range(4000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("key"))
+    small = common.cut(big.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("top")).filter("key <> '9'"))
+    for how in ("inner", "left"):
+        got = common.join_hot(big, small, "key", "n", how, least=100)
+        assert sorted(map(tuple, got.select("id", "key", "n", "top").fillna(-1).collect())) == sorted(map(tuple, big.join(small, "key", how).select("id", "key", "n", "top").fillna(-1).collect()))
+        assert got.columns == ["id", "key", "n", "top"]
+
+
 def test_chat(spark):
     turns = [(1, 2, "assistant", "c <b> \\l"), (1, 0, "user", None), (1, 1, "user", "x </turn>\n<turn>"), (1, 3, "assistant", ""), (None, 0, "system", "s"), (2, 0, None, "t")]
     d = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
