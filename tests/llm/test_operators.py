@@ -1,6 +1,7 @@
 """Operators of textquarry.llm: hard rows, brute force, round trips."""
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -209,7 +210,8 @@ def test_quality_rules(spark, docs, labels, empty):
             continue
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         grams = [tuple(w[j : j + 3]) for j in range(len(w) - 2)]
-        cover = {j + k for j, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)} if len(w) < 2000 else set()
+        seen = Counter(grams)
+        cover = {j + k for j, g in enumerate(grams) if seen[g] > 1 for k in range(3)}
         assert (got[i].n_words, got[i].word_chars, got[i].n_repeat_words) == (len(w), sum(map(len, w)), len(cover))
     assert not got[1].kept and got[4].kept
     assert quality_rules.verdicts(empty, labels).count() == 0
@@ -221,6 +223,46 @@ def test_quality_rules(spark, docs, labels, empty):
         assert r.p == 1.0 if r.k >= 0.05 * r.n else abs(r.p - exact) < 1e-9 * max(exact, 1e-6) + 1e-12
 
 
+STATS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+
+
+def judged(n_symbols):
+    return [(100, 500, x, 0, 0, False) for x in n_symbols]
+
+
+def test_cutoffs_reject_and_bounds_forbid(spark):
+    """With 400 good labels a cutoff is proven and rejects; with 40, or where the good ones look like the bad, none is.
+    Names of extra columns clash."""
+    good = [("many", x) for x in judged([0] * 400)] + [("few", x) for x in judged([0] * 40)] + [("alike", x) for x in judged([0, 250] * 200)]
+    bad = [(lang, x) for lang in ("many", "few", "alike", None) for x in judged([250])]
+    rows = [(i, lang, *x) for i, (lang, x) in enumerate(good + bad)]
+    stats = clash(spark.createDataFrame(rows, STATS)).withColumns({"steps": F.lit("mine"), "step": F.lit("mine"), "i": F.lit("mine")})
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(good))], "doc_id long, quality int, toxic int")
+    safe = quality_rules.cutoffs(stats, labels)
+    got = {r.lang: r for r in safe.collect()}
+    assert got["many"].steps == len(quality_rules.path()) and got["many"].symbols_per_word == 0.05
+    assert got["few"].steps == 0 and got["few"].symbols_per_word is None and got["alike"].symbols_per_word is None
+    out = {r.doc_id: r for r in quality_rules.judge(stats, safe).collect()}
+    assert [out[len(good) + i].kept for i in range(4)] == [False, True, True, True]
+    assert all(out[i].kept and out[i].n == "mine" for i in range(len(good)))
+
+
+def test_risk_is_controlled(spark):
+    """Of many simulated strata, at most the level's share (and chance) gets steps that reject too many good documents."""
+    rng = np.random.default_rng(4)
+    steps, n, strata = len(quality_rules.path()), 250, 200
+    risk_at = quality_rules.RISK + 0.002  # from here on the steps reject a little too many
+    rows = []
+    for lang in range(strata):
+        x = np.where(rng.random(n) < risk_at, 250, 0)
+        rows += [(len(rows) + i, str(lang), *v) for i, v in enumerate(judged(x.tolist()))]
+    stats = spark.createDataFrame(rows, STATS)
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int")
+    got = quality_rules.cutoffs(stats, labels, delta=quality_rules.DELTA * strata).collect()
+    wrong = sum(r.symbols_per_word is not None for r in got)
+    assert len(got) == strata and wrong <= strata * quality_rules.DELTA + 3 * (strata * quality_rules.DELTA) ** 0.5
+
+
 def test_line_dedup(spark, docs, empty):
     out = line_dedup.dedup(clash(docs)).collect()
     assert len(out) == len(rows())

@@ -1,17 +1,21 @@
 """Quality rules with risk-controlled thresholds (DataFrame functions only).
 
-Each rule compares one statistic of a text with a cutoff. The labelled documents of quality 1 that pass the base
-rules are the holdout. For every stratum (language), rule and cutoff of a fixed grid, the exact binomial tail tests
-the hypothesis that the cutoff rejects more than RISK / number of rules of the stratum's good documents; the level
-is DELTA divided by the number of all tests (Bonferroni). The strictest cutoff that passes is used. So, with
-confidence 1 - DELTA for all strata at once, no more than RISK of any stratum's good documents are rejected wrongly.
-Where too few labels allow no proof, a rule rejects nothing.
+Each rule compares one statistic of a text with a cutoff. All rules are tightened together along one fixed path: step by
+step, from the most lenient cutoffs to the strictest, one rule by one notch at a time (path()). A text is rejected from
+the first step on at which some rule rejects it. The labelled documents of quality 1 that pass the base rules are the
+holdout. For every stratum (language) the exact binomial tail tests, step after step, the hypothesis that the rules
+together reject more than RISK of the stratum's good documents; the path is left before the first step without proof.
+As the order is fixed beforehand, all tests of a stratum may use its whole level (fixed-sequence testing), which is
+DELTA divided by the number of strata (Bonferroni). So, with confidence 1 - DELTA for all strata at once, no more than
+RISK of any stratum's good documents are rejected wrongly. 86 good labels suffice for a proof with four strata; where
+there are fewer, nothing is rejected but by the base rules.
 
 The tail P(X <= k) is summed in terms relative to the last one, whose logarithm comes from Stirling's series; what
 is left after TERMS terms is bounded from above by a geometric series, which keeps the guarantee.
 
-Null text has no words and fails the base rules. A null language is a stratum of its own. Conflicting labels of a
-document count as quality 0. Repeated rows are judged alike.
+Null text has no words and fails the base rules. A null language is a stratum of its own; strata are counted over the
+holdout. Conflicting labels of a document count as quality 0, labels without doc_id or quality do not count. Repeated
+rows are judged alike, and count as often as they occur. An empty table gives no row. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,13 +25,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_small
+from .common import cut, fresh, join_small
 
 RISK, DELTA, TERMS = 0.05, 0.05, 5000
 #: Rule: the statistic, whether large values are rejected, and the cutoffs.
 RULES: dict[str, tuple[str, bool, tuple[float, ...]]] = {
     "symbols_per_word": ("n_symbols / n_words", True, (0.05, 0.1, 0.2, 0.3, 0.5, 1.0, 2.0)),
-    "long_words": ("word_chars / n_words", True, (8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 50.0)),
+    "long_words": ("word_chars / n_words", True, (6.5, 7.0, 8.0, 10.0, 15.0, 20.0, 50.0)),
     "short_words": ("word_chars / n_words", False, (4.0, 3.5, 3.0, 2.5, 2.0, 1.5, 1.1)),
     "repeated_lines": ("n_dup_lines / n_words", True, (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3)),
     "repeated_words": ("n_repeat_words / n_words", True, (0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.45)),
@@ -84,32 +88,39 @@ def _value(ratio: str) -> Column:
     return F.try_divide(F.col(above).cast("double"), F.col(below))
 
 
+def path() -> list[tuple[str, float]]:
+    """The fixed path: at each step one rule gets this cutoff, while the others keep theirs."""
+    most = max(len(g) for _, _, g in RULES.values())
+    return [(rule, g[len(g) - 1 - level]) for level in range(most) for rule, (_, _, g) in RULES.items() if level < len(g)]
+
+
+def first_step() -> Column:
+    """The first step (from 1) at which some rule rejects a text; null if none does."""
+    rejects = lambda rule, c: _value(RULES[rule][0]) > c if RULES[rule][1] else _value(RULES[rule][0]) < c
+    return F.least(F.lit(None).cast("int"), *[
+        F.coalesce(*[F.when(rejects(rule, c), F.lit(i)) for i, (name, c) in enumerate(path(), 1) if name == rule]) for rule in RULES])
+
+
 def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """lang and one column per rule: the strictest cutoff that is proven safe, or null."""
+    """lang, n (good labelled documents), steps (of the path, that are proven safe) and one column per rule: its cutoff
+    after those steps, or null."""
     good = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
-    known = stats.filter("NOT base_failed").join(good, "doc_id", "left_semi")
-    counts = [F.count("*").alias("n")]
-    for rule, (value, high, grid) in RULES.items():
-        x = _value(value)
-        counts += [F.count_if(x > c if high else x < c).alias(f"{rule}_{j}") for j, c in enumerate(grid)]
-    counted = cut(known.groupBy("lang").agg(*counts).coalesce(1))
-    tests = max(1, counted.count()) * sum(len(g) for _, _, g in RULES.values())
-    every = [F.struct(F.lit(r).alias("rule"), F.lit(j).alias("j"), F.col(f"{r}_{j}").alias("k")) for r, (_, _, g) in RULES.items() for j in range(len(g))]
-    asked = counted.select("lang", "n", F.explode(F.array(*every)).alias("t")).select("lang", "n", "t.*")
-    safe = cut(asked.withColumn("tail", binomial_tail(F.col("n"), F.col("k"), risk / len(RULES))).filter(F.col("tail") <= delta / tests))
-    first = safe.groupBy("lang").agg(*[F.min(F.when(F.col("rule") == r, F.col("j"))).alias(r) for r in RULES])  # grids go from strict to lenient
-    return first.select("lang", *[F.get(F.lit(list(g)), F.col(r)).alias(r) for r, (_, _, g) in RULES.items()])
+    known = stats.filter("NOT base_failed").join(good, "doc_id", "left_semi").select("lang", first_step().alias("step"))
+    steps = path()
+    ks = F.array(*[F.count_if(F.col("step") <= i + 1) for i in range(len(steps))])
+    counted = cut(known.groupBy("lang").agg(F.count("*").alias("n"), ks.alias("ks")).coalesce(1))
+    level = delta / max(1, counted.count())
+    tested = counted.select("lang", "n", F.posexplode("ks").alias("i", "k")).withColumn("safe", binomial_tail(F.col("n"), F.col("k"), risk) <= level)
+    proven = tested.groupBy("lang").agg(F.first("n").alias("n"), F.coalesce(F.min(F.when(~F.col("safe"), F.col("i"))), F.lit(len(steps))).alias("steps"))
+    last = lambda rule: F.coalesce(*[F.when(F.col("steps") >= i, F.lit(c)) for i, (name, c) in reversed(list(enumerate(steps, 1))) if name == rule])
+    return proven.select("lang", "n", "steps", *[last(r).alias(r) for r in RULES])
 
 
 def judge(stats: DataFrame, safe: DataFrame) -> DataFrame:
-    """Add kept: false where the base rules fail or a safe cutoff rejects."""
-    safe = safe.withColumnsRenamed({r: f"cutoff_{r}" for r in RULES})
-    d = join_small(stats, cut(safe), ["lang"])
-    bad = F.col("base_failed")
-    for rule, (value, high, _) in RULES.items():
-        x, c = _value(value), F.col(f"cutoff_{rule}")
-        bad = bad | F.coalesce(x > c if high else x < c, F.lit(False))
-    return d.withColumn("kept", ~bad)
+    """Add kept: false where the base rules fail or a step that is safe for the language rejects."""
+    (steps,) = fresh(stats, "steps")
+    d = join_small(stats, cut(safe.select("lang", F.col("steps").alias(steps))), ["lang"])
+    return d.withColumn("kept", ~(F.col("base_failed") | F.coalesce(first_step() <= F.col(steps), F.lit(False)))).drop(steps)
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -120,10 +131,8 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    tests = [(r, v, h, c) for r, (v, h, g) in RULES.items() for c in g]
-    values = ", ".join(f"('{r}', {str(h).lower()}, {c}::DOUBLE)" for r, v, h, c in tests)
+    values = ", ".join(f"({i}, '{r}', {str(RULES[r][1]).lower()}, {c}::DOUBLE)" for i, (r, c) in enumerate(path(), 1))
     stat = " ".join(f"WHEN '{r}' THEN {v.replace(' / ', '::DOUBLE / ')}" for r, (v, _, _) in RULES.items())
-    p = RISK / len(RULES)
     return rf"""
 WITH x AS (SELECT doc_id, lang, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
 w AS (SELECT row, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0d]+'), lambda v: v <> '') AS w,
@@ -139,16 +148,16 @@ s AS (SELECT x.row, doc_id, lang, len(w)::BIGINT AS n_words,
       FROM x JOIN w USING (row) LEFT JOIN rep USING (row)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-rules(rule, high, cutoff) AS (VALUES {values}),
-known AS (SELECT b.*, rule, high, cutoff, CASE rule {stat} END AS v FROM b SEMI JOIN good USING (doc_id), rules WHERE NOT base_failed),
-counted AS (SELECT lang, rule, high, cutoff, count(*) AS n, count(*) FILTER (WHERE CASE WHEN high THEN v > cutoff ELSE v < cutoff END) AS k FROM known GROUP BY ALL),
-tested AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))))
-                  <= {DELTA} / (count(*) OVER ()) AS safe FROM counted),
-cut AS (SELECT lang, rule, high, CASE WHEN high THEN min(cutoff) ELSE max(cutoff) END AS cutoff FROM tested WHERE safe GROUP BY lang, rule, high),
-bad AS (SELECT DISTINCT b.row FROM b JOIN cut ON b.lang IS NOT DISTINCT FROM cut.lang
-        WHERE n_words > 0 AND CASE WHEN high THEN (CASE rule {stat} END) > cutoff ELSE (CASE rule {stat} END) < cutoff END)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.row IS NULL AS kept
-FROM b LEFT JOIN bad USING (row)
+rules(step, rule, high, cutoff) AS (VALUES {values}),
+r AS (SELECT row, min(step) AS step FROM (SELECT row, step, high, cutoff, CASE rule {stat} END AS v FROM b, rules WHERE n_words > 0)
+      WHERE CASE WHEN high THEN v > cutoff ELSE v < cutoff END GROUP BY row),
+known AS (SELECT lang, r.step FROM b SEMI JOIN good USING (doc_id) LEFT JOIN r USING (row) WHERE NOT base_failed),
+counted AS (SELECT lang, rules.step, count(*) AS n, count(*) FILTER (WHERE known.step <= rules.step) AS k FROM known, rules GROUP BY ALL),
+tested AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK}))))
+                  <= {DELTA} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM known)) AS safe FROM counted),
+proven AS (SELECT lang, coalesce(min(step) FILTER (WHERE NOT safe), {len(path()) + 1}) AS unsafe FROM tested GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(r.step >= coalesce(unsafe, 0), true) AS kept
+FROM b LEFT JOIN r USING (row) LEFT JOIN proven ON b.lang IS NOT DISTINCT FROM proven.lang
 """
 
 
