@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import cut, fresh, join_hot
 
 WINDOW, PERIOD, BASES, PRIME = 3, 4, (1, 1_000_003, 1_299_709), 2_147_483_647
 
@@ -51,32 +51,34 @@ def _pieces(lines: str, cuts: str) -> Column:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with text cut, and n_lines, n_removed_lines, n_removed_chunks (long) added (or replaced)."""
+    """docs with text cut, and n_lines, n_removed_lines, n_removed_chunks (long) added (or replaced).
+
+    Chunks meet by the md5 of their text: first without their text, to find those that occur again; these are then
+    compared, byte by byte, with the first occurrence. A chunk that very many documents share is dealt to many tasks."""
     slim = _prepared(docs.select("doc_id", "text").filter(F.col("text").isNotNull()), "lines", "hashes", "cuts")
     slim = slim.select("doc_id", F.md5("text").alias("th"), F.posexplode(_pieces("lines", "cuts")).alias("k", "c"))
     slim = slim.filter((F.col("c.n") >= 2) & F.col("c.body").rlike("[^ \\x09-\\x0d]"))
+    slim = slim.select("doc_id", "th", "k", F.unhex(F.md5("c.body")).alias("h"), F.col("c.body").alias("body"))
     place = F.struct("doc_id", "th", "k")
-    slim = slim.select("doc_id", "th", "k", F.xxhash64("c.body").alias("h"), F.col("c.body").alias("body"))
-    first = slim.groupBy("h").agg(F.count("*").alias("n"), F.min_by("body", place).alias("body"), F.min(place).alias("first"))
-    first = first.filter("n > 1").drop("n")
-    again = slim.drop("body").join(first, "h").filter(place != F.col("first"))
-    i, th, again_col, lines, hashes, cuts, pieces, gone = fresh(docs, "i", "th", "again", "lines", "hashes", "cuts", "pieces", "gone")
-    again = again.groupBy(F.col("doc_id").alias(i), F.col("th").alias(th)).agg(F.collect_list(F.struct("k", "body")).alias(again_col))
+    first = cut(slim.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"))
+    shared = cut(join_hot(slim, first, "h", "n"), "zstd")
+    bodies = cut(shared.filter(place == F.col("first")).select("h", "n", F.col("body").alias("own")).dropDuplicates(["h"]), "zstd")
+    again = join_hot(shared.filter(place != F.col("first")).drop("n", "first"), bodies, "h", "n").filter(F.col("body") == F.col("own"))
+    i, th, lines, hashes, cuts, pieces, gone = fresh(docs, "i", "th", "lines", "hashes", "cuts", "pieces", "gone")
+    again = again.groupBy(F.col("doc_id").alias(i), F.col("th").alias(th)).agg(F.collect_set("k").alias(gone))
     own = f"{th}_"
     d = docs.withColumn(own, F.md5("text"))
     d = d.join(again, d["doc_id"].eqNullSafe(F.col(i)) & (F.col(own) == F.col(th)), "left").drop(i, th, own)
     d = _prepared(d, lines, hashes, cuts)
     d = d.withColumn(pieces, _pieces(lines, cuts)).drop(cuts)
-    # the byte comparison: a chunk goes only if it equals the first occurrence
-    same = F.filter(again_col, lambda x: F.get(F.col(pieces), x.k).body == x.body)
-    d = d.withColumn(gone, F.array_distinct(F.transform(same, lambda x: x.k))).drop(again_col)
-    some = F.coalesce(F.size(F.when(F.col(gone).isNotNull(), F.col(gone))), F.lit(0)) > 0
-    lost = F.when(some, F.aggregate(gone, F.lit(0), lambda acc, k: acc + F.get(F.col(pieces), k).n)).otherwise(0)
+    some = F.col(gone).isNotNull()
+    lost = F.aggregate(gone, F.lit(0), lambda acc, k: acc + F.get(F.col(pieces), k).n)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col(gone))
     out = {
         "n_lines": F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long"),
-        "n_removed_lines": lost.cast("long"),
+        "n_removed_lines": F.when(some, lost).otherwise(0).cast("long"),
         "n_removed_chunks": F.when(some, F.size(gone)).otherwise(0).cast("long"),
-        "text": F.when(some, F.array_join(F.transform(F.filter(pieces, lambda p, k: ~F.array_contains(gone, k)), lambda p: p.body), "\n")).otherwise(F.col("text")),
+        "text": F.when(some, F.array_join(F.transform(kept, lambda k: F.get(F.col(pieces), k).body), "\n")).otherwise(F.col("text")),
     }
     # a generator stands between these columns and later filters on them, which would else repeat all the work above
     (made,) = fresh(d, "made")
@@ -104,8 +106,9 @@ def passages(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).select("doc_id", _place_of_text(F.col("text")).alias("th"), _lines(F.col("text")).alias("lines"))
     slim = slim.select("doc_id", "th", F.explode(_pairs(F.col("lines"))).alias("p")).select("doc_id", "th", "p.a", "p.b", "p.h")
     place = F.struct("doc_id", "th", "a")
-    first = slim.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
-    again = slim.join(first, "h").filter(place != F.col("first"))
+    # the table of repeated pairs stays until the driver ends, as the result reads it
+    first = cut(slim.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"))
+    again = join_hot(slim, first, "h", "n").filter(place != F.col("first"))
     i, th, lines, gone, own = fresh(docs, "i", "th", "lines", "gone", "own")
     again = again.groupBy(F.col("doc_id").alias(i), F.col("th").alias(th)).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", "b")))).alias(gone))
     d = docs.withColumn(own, _place_of_text(F.col("text")))
