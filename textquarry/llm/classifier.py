@@ -11,7 +11,9 @@ held out. Everything else covers all rows: the word vectors, which see no labels
 
 Null text is empty; an empty text gets the score of the mean features. Labels without a quality are ignored, and a
 document with conflicting labels counts as 0. Without labels of both kinds all scores are the share of label 1
-(0.5 without any). Repeated rows score alike.
+(0.5 without any). Repeated rows score alike; of a labelled doc_id with several texts, the one with the smallest hash is
+fitted on. Sums of contexts are whole numbers, so that no order of rows or partitions changes them. An empty table gives
+no row. Extra columns stay as they are in score(), and one named score is replaced.
 """
 
 from __future__ import annotations
@@ -75,7 +77,7 @@ def contexts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         for x, y in ((b[d:][same], b[:-d][same]), (b[:-d][same], b[d:][same])):
             for s in range(SIGNS):
                 total += np.bincount(x * DIM + place[y, s], weights=sign[y, s], minlength=BUCKETS * DIM)
-    return total.astype(np.float32).reshape(BUCKETS, DIM)
+    return total.reshape(BUCKETS, DIM)
 
 
 def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
@@ -88,18 +90,18 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
             data, off = utf8(b.column(0))
             for i, j in chunks(off, 1 << 21):
                 total += contexts(data[off[i] : off[j]], off[i : j + 1] - off[i])
-        parts = np.split(total.astype(np.float32), TABLE_PARTS)
+        parts = np.split(total, TABLE_PARTS)
         yield pa.RecordBatch.from_arrays([pa.array(range(TABLE_PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "total"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "total": [sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["total"]).astype(np.float32).tobytes()]})
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "total": [sum(np.frombuffer(x, np.float64) for x in pdf["total"]).tobytes()]})
 
     rows = docs.select(text).coalesce(most).mapInArrow(partial, "part int, total binary").groupBy("part").applyInPandas(add, "part int, total binary").collect()
-    table = np.zeros((TABLE_PARTS, BUCKETS // TABLE_PARTS, DIM), np.float32)
+    table = np.zeros((TABLE_PARTS, BUCKETS // TABLE_PARTS, DIM))
     for r in rows:
-        table[r["part"]] = np.frombuffer(bytes(r["total"]), np.float32).reshape(-1, DIM)
+        table[r["part"]] = np.frombuffer(bytes(r["total"]), np.float64).reshape(-1, DIM)
     table = table.reshape(BUCKETS, DIM)
-    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+    table = (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     place, sign = index_vectors()
     for s in range(SIGNS):
         table[np.arange(BUCKETS), place[:, s]] += sign[:, s] / SIGNS**0.5
@@ -181,7 +183,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int =
     known = known.groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # the limit bounds this side, so it may be broadcast
-    fitting = cut(docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(cut(known)), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y"))
+    found = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(cut(known)), "doc_id")
+    found = found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("first"))
+    fitting = cut(found.select("doc_id", "first.text", "y"))
     table = word_vectors(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
