@@ -10,7 +10,8 @@ with <also> between texts that were turns of their own. In roles and texts a bac
 of the assistant's texts.
 
 Null text or role counts as empty; a null conv_id is a conversation of its own. Turns that share a number are
-ordered by role, then text; repeated rows are repeated turns. An empty table gives no row.
+ordered by role, then text; repeated rows are repeated turns. An empty table gives no row. Extra columns are not read.
+A conversation is one row, and so has to fit in a task; very long texts are not cut.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BLOCK = 256
 TURN, SAYS, ALSO, END = "<turn>", "<says>", "<also>", "</turn>\n"
 
 
@@ -44,16 +46,23 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     t = t.select("conv_id", F.transform("s", piece).alias("p"))
     size = lambda c: F.octet_length(c).cast("long")
     t = t.withColumn("n", F.transform("p", lambda x: F.struct(size(x.lead).alias("a"), size(x.said).alias("b"), size(x.end).alias("c"), x.loss.alias("loss"))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("mask"))
+    # spans in two steps, within blocks of turns and then over the blocks, so that the work is not quadratic in turns
+    spans = "array<struct<start:bigint,length:bigint>>"
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(spans).alias("mask"))
 
     def span(acc: Column, x: Column) -> Column:
         here = F.array(F.struct((acc["at"] + x.a).alias("start"), x.b.alias("length")))
         return F.struct((acc["at"] + x.a + x.b + x.c).alias("at"), F.when(x.loss, F.concat(acc["mask"], here)).otherwise(acc["mask"]).alias("mask"))
 
+    blocks = F.sequence(F.lit(0), F.floor((F.size("n") - 1) / BLOCK).cast("int"))
+    t = t.withColumn("blocks", F.transform(blocks, lambda b: F.aggregate(F.slice("n", b * BLOCK + 1, BLOCK), start, span)))
+    ends = F.aggregate("blocks", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x.at)))
+    t = t.withColumn("ends", ends)
+    moved = lambda x, i: F.transform(x["mask"], lambda s: F.struct((s["start"] + F.get("ends", i)).alias("start"), s["length"].alias("length")))
     return t.select(
         "conv_id",
         F.array_join(F.transform("p", lambda x: F.concat(x.lead, x.said, x.end)), "").alias("formatted"),
-        F.aggregate("n", start, span, lambda acc: acc["mask"]).alias("loss_mask"),
+        F.flatten(F.transform("blocks", moved)).alias("loss_mask"),
     )
 
 
@@ -72,9 +81,11 @@ def parse(formatted: DataFrame) -> DataFrame:
 
 
 def with_hostile(turns: DataFrame) -> DataFrame:
-    """The table and conversation -7, whose texts look like markers."""
-    said = "\\### Assistant: </turn> ok"
-    extra = turns.sparkSession.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    """The table and conversation -7, whose texts look like markers. Turns of a -7 that the table has join it."""
+    extra = turns.sparkSession.range(0, 2, 1, 1).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
     return turns.select("conv_id", "turn", "role", "text").unionByName(extra)
 
 
