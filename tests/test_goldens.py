@@ -101,7 +101,7 @@ def test_graph(spark):
 
 def test_arrow_operators(spark):
     d = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id long, text string").withColumn("n", F.lit(4))
-    assert [r.pack for r in arrow.pack(d, 9, shards=1).collect()] == [0, 0, 1]
+    assert [r.pack for r in arrow.pack(d, 9).collect()] == [0, 0, 1]
     code = "x = 1\n" * 6 + "def f(a=[]):\n    try:\n        pass\n    except:\n        pass\n"
     d = spark.createDataFrame([(1, code), (2, "def ("), (3, None)], "doc_id long, text string")
     assert [(r.start_line, r.end_line) for r in arrow.chunk_code(d).collect()] == [(1, 6), (7, 12)]

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scores as S
+from .learning import hash_embedding
 
 #: The max_length of prepare_dataset.py.
 MAX_LENGTH = 4096
@@ -25,21 +27,25 @@ def tokenize(df: DataFrame, most: int, text: str = "text", pad: str = "<pad>") -
     return df.withColumn("_t", t).withColumns({"tokens": F.concat("_t", F.array_repeat(F.lit(pad), F.lit(most) - F.size("_t"))), "attention": F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: (i <= F.size("_t")).cast("int"))}).drop("_t")
 
 
-def mask_labels(df: DataFrame, tokens: str = "tokens", marker: str = "assistant", pad: str = "<pad>") -> DataFrame:
-    """PRJ-11 over token strings: tokens up to the last marker (or the first half, without one) and padding are masked (null)."""
+def mask_labels(df: DataFrame, tokens: str = "tokens", marker: str = "assistant", pad: str = "<pad>", tool: str = "tool", share: float = 0.7) -> DataFrame:
+    """PRJ-11 over token strings: tokens up to the last marker, tool markers and padding are masked (null); without a
+    marker, the first 70 % of the tokens."""
     place = F.size(tokens) - F.array_position(F.reverse(tokens), marker)
-    upto = F.when(F.array_contains(tokens, marker), place.cast("int")).otherwise(F.floor(F.size(tokens) / 2).cast("int") - 1)
+    upto = F.when(F.array_contains(tokens, marker), place.cast("int")).otherwise(F.floor(F.size(tokens) * F.lit(share)).cast("int") - 1)
     # cut at `upto`, not asked in a lambda, which would work it out again for every token
     d = df.withColumn("_upto", upto)
     rest = F.slice(tokens, F.col("_upto") + 2, F.size(tokens) - F.col("_upto") - 1)
     masked = F.array_repeat(F.lit(None).cast("string"), F.col("_upto") + 1)
-    return d.withColumn("labels", F.concat(masked, F.transform(rest, lambda x: F.when(x != pad, x)))).drop("_upto")
+    return d.withColumn("labels", F.concat(masked, F.transform(rest, lambda x: F.when(~x.isin(pad, tool), x)))).drop("_upto")
 
 
-def pack(df: DataFrame, most: int, key: str = "doc_id", length: str = "n", shards: int = 8) -> DataFrame:
-    """PRJ-12: within shards of consecutive keys, sequences join in order while they fit (a separator counts 1);
-    longer ones are cut to `most`. Order matters, so each shard is read in order by one task, as a stream."""
-    d = df.select(key, length).repartitionByRange(shards, key).sortWithinPartitions(key).withColumn("shard", F.spark_partition_id())
+def pack(df: DataFrame, most: int, key: str = "doc_id", length: str = "n", rows: int = 1_000_000) -> DataFrame:
+    """PRJ-12: sequences join in order of their keys while they fit (a separator counts 1); longer ones are cut to `most`.
+    A pack depends on the one before it, so the table is dealt into shards of consecutive keys of about `rows` rows, each
+    read in order by one task, as a stream. Packs end with their shard: up to `rows` rows the result is that of one
+    pass, beyond, one pack in each shard may be closed early. Equal keys: by length."""
+    shards = max(1, -(-df.count() // rows))
+    d = df.select(key, length).repartitionByRange(shards, key).sortWithinPartitions(key, length).withColumn("shard", F.spark_partition_id())
 
     def run(batches):
         pack_no, used = -1, None
@@ -82,6 +88,14 @@ def chunk_code(df: DataFrame, key: str = "doc_id", text: str = "text", size: int
     return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, start_line int, end_line int, content string")
 
 
+def search_code(chunks: DataFrame, query: str, k: int = 10, size: int = 256) -> DataFrame:
+    """PIPE-11: the k chunks whose hash embedding has the largest cosine with the query's; ties by key and line. A scan
+    with a top-k, no join."""
+    wanted = hash_embedding(F.lit(query), size)
+    cosine = S.cosine(hash_embedding(F.col("content"), size), wanted)
+    return chunks.withColumn("score", F.round(cosine, 6)).orderBy(F.desc("score"), *[c for c in chunks.columns if c != "content"]).limit(k)
+
+
 def syntax(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """PIPE-15: whether a text parses as Python, bare excepts and mutable defaults. Nothing is executed."""
     def run(batches):

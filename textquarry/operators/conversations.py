@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from . import nlp
 from .corpus import structure_score
 
 #: Words that mark a correction, and a satisfied user.
@@ -109,3 +110,14 @@ def valid_tool_calls(calls: Column) -> Column:
     one). An empty list passes; anything else, null and broken JSON included, does not. A function that is no object fails."""
     each = F.try_variant_get(F.try_parse_json(calls), "$", "array<variant>")
     return F.coalesce(F.forall(each, lambda c: F.coalesce(F.try_variant_get(c, "$.function.name", "variant").isNotNull(), F.lit(False))), F.lit(False))
+
+
+def process(turns: DataFrame, found: DataFrame, key: str, kinds: tuple[str, ...] = tuple(nlp.ENTITIES)) -> DataFrame:
+    """PIPE-12: turns with intent and confidence, the number of entities of some kinds (before overlaps are settled),
+    sentiment, tone and context: the ids of the texts found for them (key, doc_id, score), the best first. Entities as
+    nodes of a graph: nlp.entity_spans() and stores.graph_of()."""
+    d = nlp.sentiment(nlp.intents(turns))
+    n = sum((F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(nlp.ENTITIES[k]), F.lit(0))) for k in kinds), F.lit(0))
+    best = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id"))).alias("_x"))  # as many as are found for a turn
+    d = d.withColumn("n_entities", n.cast("long")).join(best, key, "left")
+    return d.withColumn("context", F.coalesce(F.transform("_x", lambda x: x.doc_id.cast("string")), F.array().cast("array<string>"))).drop("_x")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,10 +70,17 @@ def worst(breakdown: DataFrame, k: int = 5) -> DataFrame:
     return breakdown.orderBy("accuracy", "tool").limit(k)
 
 
+def _refuse(df: DataFrame, most: int) -> None:
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows to hold every row of the other table against")
+
+
 def lessons_for(tasks: DataFrame, lessons: DataFrame, task: str, *texts: str, most: int = 1_000) -> DataFrame:
-    """JOIN-07: lessons one of whose texts names the task. Tasks are broadcast up to `most`, counted first."""
+    """JOIN-07: lessons one of whose texts names the task. Tasks are broadcast; more than `most`, counted first, are refused,
+    as every lesson is held against every task."""
     t = tasks.select(F.col(task).alias("_task")).distinct()
-    t = F.broadcast(t) if t.count() <= most else t
+    _refuse(t, most)
+    t = F.broadcast(t)
     hit = None
     for c in texts:
         one = F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lower(F.col("_task")))
@@ -79,10 +90,10 @@ def lessons_for(tasks: DataFrame, lessons: DataFrame, task: str, *texts: str, mo
 
 def recommend(options: DataFrame, memories: DataFrame, similarity: Column, key: str, k: int = 3, least: float = 0.3, most: int = 1_000, salts: int = 64) -> DataFrame:
     """JOIN-12, TOP-04: per option the k most similar memories (of at least `least`), their mean success_rate as the
-    score (0.5 without any) and uses / 10 as confidence. Options are broadcast up to `most`, counted first; the k best
-    are taken within salts before they meet in one task per option."""
-    o = F.broadcast(options) if options.count() <= most else options
-    d = memories.join(o).select("option", key, "success_rate", "use_count", F.round(similarity, 6).alias("_s")).filter(F.col("_s") >= least)
+    score (0.5 without any) and uses / 10 as confidence. Options are broadcast; more than `most`, counted first, are
+    refused. The k best are taken within salts before they meet in one task per option."""
+    _refuse(options, most)
+    d = memories.join(F.broadcast(options)).select("option", key, "success_rate", "use_count", F.round(similarity, 6).alias("_s")).filter(F.col("_s") >= least)
     best = lambda *by: F.row_number().over(Window.partitionBy("option", *by).orderBy(F.desc("_s"), key))
     d = d.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts))).withColumn("_r", best("_salt")).filter(F.col("_r") <= k)
     d = d.withColumn("_r", best()).filter(F.col("_r") <= k)
@@ -287,6 +298,18 @@ def hash_embedding(c: Column, size: int = 256) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.conv(F.substr(digest, i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255)
 
 
+def seeded_embedding(df: DataFrame, key: str, text: str = "text", size: int = 128) -> DataFrame:
+    """HASH-02: (key, embedding), normal numbers of the legacy generator seeded with the last 32 bits of the digest.
+    That generator has no built-in form, hence an Arrow function per batch."""
+    def run(batches):
+        for b in batches:
+            seeds = [int(hashlib.sha256((t or "").encode()).hexdigest(), 16) % 2**32 for t in b.column(1).to_pylist()]
+            rows = [np.random.RandomState(s).randn(size).astype(np.float32).tolist() for s in seeds]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float32()))], [key, "embedding"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, embedding array<float>")
+
+
 def export_tables(frames: dict[str, DataFrame], folder: str) -> None:
     """SNK-03: one JSON dataset per table; fields without a value are written too."""
     for name, df in frames.items():

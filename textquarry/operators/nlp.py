@@ -61,7 +61,10 @@ PATTERNS = {
     "file_io": "open\\(|read\\(|write\\(", "error_handling": "try:|except|finally:", "class_definition": "class\\s+\\w+|def\\s+__init__",
     "function_composition": "\\.map\\(|\\.filter\\(|\\.reduce\\(",
 }
-#: Routing rules in order; every group of words must have one that occurs.
+#: Fixed value: the pattern type with back-references.
+RECURSION = "def\\s+(\\w+)\\s*\\([^)]*\\):\\s*.*\\1\\(|return\\s+(\\w+)\\s*\\([^)]*\\)\\s*\\2\\("
+#: Routing rules in order; every group of words must have one that occurs. Tasks are never created or
+#: updated, as those words match earlier rules, there as here.
 ROUTES: list[tuple[list[list[str]], str]] = [
     ([["read", "show", "display", "view", "cat", "open"], ["pattern", "find"]], "GlobTool"),
     ([["read", "show", "display", "view", "cat", "open"]], "FileReadTool"),
@@ -71,7 +74,9 @@ ROUTES: list[tuple[list[list[str]], str]] = [
     ([["grep", "search"]], "GrepTool"),
     ([["git", "commit", "push", "pull", "branch"]], "BashTool"),
     ([["run", "execute", "shell", "bash", "command"]], "BashTool"),
+    ([["task"], ["create"]], "TaskCreateTool"),
     ([["task"], ["list"]], "TaskListTool"),
+    ([["task"], ["update"]], "TaskUpdateTool"),
     ([["task"]], "TaskGetTool"),
     ([["todo"]], "TodoWriteTool"),
     ([["fetch", "url"]], "WebFetchTool"),
@@ -81,8 +86,9 @@ ROUTES: list[tuple[list[list[str]], str]] = [
 
 
 def intent_scores(text: Column, rules: dict | None = None) -> Column:
-    """array<struct<score,intent>> of the intents with a score: 1.0 per keyword, 1.5 per pattern."""
-    t = F.lower(text)
+    """array<struct<score,intent>> of the intents with a score, in the order of the rules: 1.0 per keyword, 1.5 per
+    pattern, in the text without white space around it."""
+    t = S.strip(F.lower(text))
     each = [F.struct((S.hits(t, words) + 1.5 * sum((t.rlike(p).cast("int") for p in pats), F.lit(0))).alias("score"), F.lit(name).alias("intent")) for name, (words, pats) in (rules or INTENTS).items()]
     return F.filter(F.array(*each), lambda x: x.score > 0)
 
@@ -93,9 +99,17 @@ def with_rules(extra: dict[str, tuple[list[str], list[str]]]) -> dict:
 
 
 def intents(df: DataFrame, text: str = "text", rules: dict | None = None, least: float = 0.3) -> DataFrame:
-    """NLP-01: the intent with the largest score and its share of it; general below `least`. Ties: first by name."""
-    ranked = F.array_sort(intent_scores(F.coalesce(F.col(text), F.lit("")), rules), lambda a, b: F.when(a.score > b.score, -1).when(a.score < b.score, 1).when(a.intent < b.intent, -1).otherwise(1))
-    return df.withColumn("_r", ranked).withColumns({"intent": F.coalesce(F.get("_r", F.lit(0)).intent, F.lit("general")), "raw_score": F.coalesce(F.get("_r", F.lit(0)).score, F.lit(0.0)), "alternatives": F.transform(F.slice("_r", 2, 3), lambda x: x.intent)}).drop("_r")
+    """NLP-01: the intent with the largest score, raw_score, and confidence, its share of the largest score (so 1.0);
+    up to three others as alternatives, whose share is at least `least`. Without a score, or with `least` over 1, it is
+    general, with confidence 1.0. Ties: in the order of the rules."""
+    placed = F.transform(intent_scores(F.coalesce(F.col(text), F.lit("")), rules), lambda x, i: F.struct((-x.score).alias("minus"), i.alias("i"), x.intent.alias("intent")))
+    df = df.withColumn("_r", F.array_sort(placed))
+    first = F.get("_r", F.lit(0))
+    df = df.withColumn("_r", F.when((F.size("_r") > 0) & (F.lit(1.0) >= least), F.col("_r")).otherwise(F.slice("_r", 1, 0)))
+    shares = F.transform(F.slice("_r", 2, 3), lambda x: F.struct(x.intent.alias("intent"), F.round(x.minus / first.minus, 6).alias("confidence")))
+    return df.withColumns({
+        "intent": F.coalesce(first.intent, F.lit("general")), "raw_score": F.coalesce(-first.minus, F.lit(0.0)), "confidence": F.lit(1.0),
+        "alternatives": F.filter(shares, lambda x: x.confidence >= least)}).drop("_r")
 
 
 def intents_multi(df: DataFrame, text: str = "text", least: float = 1.0) -> DataFrame:
@@ -113,11 +127,39 @@ def sentiment(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("tone", tone).drop("_p", "_n")
 
 
+#: How a reply begins in each tone, and what is added for a negative message.
+PREFIXES = {"empathetic": "I understand. ", "enthusiastic": "Great question! ", "supportive": "No problem at all. ", "helpful": "Happy to help! ", "neutral": ""}
+REASSURANCE = " I'm here to help you work through this."
+
+
+def empathy(df: DataFrame, message: str, reply: str) -> DataFrame:
+    """NLP-11: tone, dominant_emotion (frustrated, else confused for a call for help, else the first of the emotions),
+    needs_empathy, said (the reply with the prefix of its tone, and reassurance for a negative message) and brief (the
+    reply; for the frustrated its first paragraph)."""
+    t, answer = F.lower(F.coalesce(F.col(message), F.lit(""))), F.coalesce(F.col(reply), F.lit(""))
+    d = sentiment(df, message)
+    prefix = F.create_map(*[F.lit(x) for kv in PREFIXES.items() for x in kv])[F.col("tone")]
+    full = F.concat(prefix, answer)
+    stop = F.when(full.rlike("(?:\\. |[!?])\\z"), F.lit("")).otherwise(F.lit("."))
+    sad = F.col("sentiment") == "negative"
+    return d.withColumns({
+        "dominant_emotion": F.when(F.col("frustrated"), "frustrated").when(F.col("asks_help"), "confused").otherwise(F.coalesce(F.get(ranked_emotions(t), F.lit(0)).emotion, F.lit("neutral"))),
+        "needs_empathy": sad | F.col("frustrated"),
+        "said": F.when(sad & (F.col("tone") == "empathetic"), F.concat(full, stop, F.lit(REASSURANCE))).otherwise(full),
+        "brief": F.when(F.col("frustrated"), F.get(F.split(answer, "\n\n", 2), F.lit(0))).otherwise(answer),
+    })
+
+
+def ranked_emotions(t: Column) -> Column:
+    """array<struct<minus,emotion>> of the emotions that a text in lower case has, the strongest first; ties by name."""
+    each = F.array(*[F.struct((-F.round(S.hits(t, w) / len(w), 6)).alias("minus"), F.lit(e).alias("emotion")) for e, w in EMOTIONS.items()])
+    return F.array_sort(F.filter(each, lambda x: x.minus < 0))
+
+
 def emotions(df: DataFrame, key: str, text: str = "text", top: int = 3) -> DataFrame:
     """NLP-08, NLP-09: up to three emotions by hits / lexicon size; ties by name."""
     t = F.lower(F.coalesce(F.col(text), F.lit("")))
-    each = F.array(*[F.struct((-F.round(S.hits(t, w) / len(w), 6)).alias("minus"), F.lit(e).alias("emotion")) for e, w in EMOTIONS.items()])
-    d = df.select(key, F.posexplode(F.slice(F.array_sort(F.filter(each, lambda x: x.minus < 0)), 1, top)).alias("p", "e"))
+    d = df.select(key, F.posexplode(F.slice(ranked_emotions(t), 1, top)).alias("p", "e"))
     return d.select(key, (F.col("p") + 1).alias("rank"), F.col("e.emotion").alias("emotion"), (-F.col("e.minus")).alias("score"))
 
 
@@ -150,9 +192,10 @@ def entity_spans(df: DataFrame, key: str, text: str = "text") -> DataFrame:
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = sorted(((m.end() - m.start(), m.start(), m.end(), k, m.group()) for k, p in compiled.items() for m in p.finditer(t or "")), key=lambda x: (-x[0], x[1], x[3]))
-                kept: list[tuple] = []
-                for f in found:
-                    if all(f[2] <= o[1] or f[1] >= o[2] for o in kept):
+                taken, kept = bytearray(len(t or "")), []
+                for f in found:  # a longer span never lies within a shorter one: its ends tell whether it is free
+                    if f[0] and not (taken[f[1]] or taken[f[2] - 1]):
+                        taken[f[1] : f[2]] = b"\1" * f[0]
                         kept.append(f)
                 rows += [(i, k, e, s, z) for _, s, z, k, e in sorted(kept, key=lambda x: x[1])]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
@@ -162,9 +205,24 @@ def entity_spans(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, kind string, entity string, start long, stop long")
 
 
+def structures(df: DataFrame, text: str = "text") -> DataFrame:
+    """PIPE-03: (pattern_type, snippet, n): the first function that a text defines and every class, counted over texts."""
+    c = F.coalesce(F.col(text), F.lit(""))
+    one = F.transform(F.slice(F.regexp_extract_all(c, F.lit("def\\s+(\\w+)\\s*\\([^)]*\\):"), F.lit(1)), 1, 1), lambda x: F.struct(F.lit("function_definition").alias("t"), F.concat(F.lit("def "), x, F.lit("(...)")).alias("s")))
+    every = F.transform(F.regexp_extract_all(c, F.lit("class\\s+(\\w+)"), F.lit(1)), lambda x: F.struct(F.lit("class_definition").alias("t"), F.concat(F.lit("class "), x).alias("s")))
+    d = df.select(F.explode(F.concat(one, every)).alias("x"))
+    return d.groupBy(F.col("x.t").alias("pattern_type"), F.col("x.s").alias("snippet")).agg(F.count("*").alias("n"))
+
+
+def recursive(c: Column) -> Column:
+    """PIPE-03: whether a function calls itself on the line of its definition or in what it returns; RE2 has no
+    back-references, so that this type stands beside PATTERNS."""
+    return F.coalesce(c.rlike(RECURSION), F.lit(False))
+
+
 def mine_patterns(df: DataFrame, text: str = "text") -> DataFrame:
     """PIPE-03, AGG-01/02: texts with each pattern type."""
-    each = F.array(*[F.when(F.col(text).rlike(p), F.lit(k)) for k, p in PATTERNS.items()])
+    each = F.array(*[F.when(F.col(text).rlike(p), F.lit(k)) for k, p in PATTERNS.items()], F.when(recursive(F.col(text)), F.lit("recursion")))
     return df.select(F.explode(F.array_compact(each)).alias("pattern_type")).groupBy("pattern_type").agg(F.count("*").alias("n"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
-from .texts import keywords, term_vectors
+from .texts import keywords, length_of, term_counts, term_vectors
 
 
 def candidates(docs: DataFrame, query: str) -> DataFrame:
@@ -20,14 +20,30 @@ def candidates(docs: DataFrame, query: str) -> DataFrame:
 
 
 def retrieve(docs: DataFrame, query: str, k: int = 5, least: float = 0.0) -> DataFrame:
-    """PIPE-10: sparse dot product of unit term vectors (Q10), top k; ties by id."""
-    d = term_vectors(docs)
-    q = docs.sparkSession.createDataFrame([(query,)], "text string").select(F.explode(keywords(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
+    """PIPE-10: sparse dot product of unit term vectors (Q10), top k; ties by id. Terms are counted in the row, so that
+    only the k best rows of each task travel; the query's terms are one row, worked out first."""
+    asked = term_counts(docs.sparkSession.range(1), keywords(F.lit(query))).first().terms
+    ks = docs.select("doc_id", keywords(F.coalesce("text", F.lit(""))).alias("_w"))
+    ks = ks.filter(F.arrays_overlap("_w", F.lit([x.term for x in asked]))) if asked else ks.limit(0)
+    d = term_counts(ks, F.col("_w"), "_t")
+    has = lambda term: F.coalesce(F.get(F.filter("_t", lambda x: x.term == term), F.lit(0)).tf, F.lit(0))
+    d = d.select("doc_id", length_of("_t").alias("_n"), *[has(x.term).alias(f"_q{i}") for i, x in enumerate(asked)])
+    if not asked:
+        return d.select("doc_id", F.lit(0.0).alias("score"))
     # terms that no text has are dropped before the query is scaled
-    q = q.join(d.select("term").distinct(), "term", "left_semi")
-    total = F.sqrt(F.sum(F.col("qtf") * F.col("qtf")).over(Window.partitionBy(F.lit(1))))
-    q = q.withColumn("qw", F.col("qtf") / total)
-    return d.join(F.broadcast(q), "term").groupBy("doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score")).filter(F.col("score") >= least).orderBy(F.desc("score"), "doc_id").limit(k)
+    known = d.agg(*[F.coalesce(F.max(f"_q{i}"), F.lit(0)) for i in range(len(asked))]).first()
+    scale = sum(x.tf**2 for x, n in zip(asked, known, strict=True) if n) ** 0.5 or 1.0
+    score = sum((F.col(f"_q{i}") / F.col("_n") * (x.tf / scale) for i, x in enumerate(asked)), F.lit(0.0))
+    return d.select("doc_id", F.round(score, 6).alias("score")).filter(F.col("score") >= least).orderBy(F.desc("score"), "doc_id").limit(k)
+
+
+def retrieve_many(queries: DataFrame, docs: DataFrame, key: str, k: int = 3, text: str = "text", salts: int = 16) -> DataFrame:
+    """PIPE-10 for a table of queries: (key, doc_id, score), the k best texts of each. Queries and texts meet by term; a
+    term that many texts have is dealt to `salts` tasks, and dots are summed before the best are taken."""
+    q = term_vectors(queries, key, text).select(key, "term", F.col("weight").alias("_w")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    d = term_vectors(docs, "doc_id", "text").select("doc_id", "term", F.col("weight").alias("_v")).withColumn("_salt", F.pmod(F.hash("doc_id"), F.lit(salts)))
+    dots = d.join(q, ["term", "_salt"]).groupBy(key, "doc_id").agg(F.round(F.sum(F.col("_w") * F.col("_v")), 6).alias("score"))
+    return dots.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "doc_id"))).filter(F.col("_r") <= k).drop("_r")
 
 
 def budget_context(found: DataFrame, docs: DataFrame, budget: int) -> DataFrame:

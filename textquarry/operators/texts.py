@@ -19,12 +19,29 @@ def keywords(c: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
 
 
+def term_counts(df: DataFrame, words: Column, out: str = "terms") -> DataFrame:
+    """Add an array<struct<term,tf>> of an array of words, in order of the terms: runs of the sorted array are counted,
+    so that the row stays where it is. Each step is a column of its own, as a lambda would work it out for every term."""
+    before = df.columns
+    df = df.withColumn("_k", F.sort_array(words))
+    df = df.withColumn("_s", F.filter(F.sequence(F.lit(0), F.size("_k")), lambda i: (i == 0) | (i == F.size("_k")) | (F.get("_k", i) != F.get("_k", i - 1))))
+    at = F.sequence(F.lit(0), F.size("_s") - 2)
+    runs = F.transform(at, lambda j: F.struct(F.get("_k", F.get("_s", j)).alias("term"), (F.get("_s", j + 1) - F.get("_s", j)).cast("long").alias("tf")))
+    runs = F.when(F.size("_k") > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+    # a generator stands between these steps and later filters, which would else repeat them all
+    return df.select(*before, F.explode(F.array(F.struct(runs.alias("x")))).alias("_m")).select(*before, F.col("_m.x").alias(out))
+
+
+def length_of(terms: str) -> Column:
+    return F.sqrt(F.aggregate(terms, F.lit(0).cast("long"), lambda s, x: s + x.tf * x.tf))
+
+
 def term_vectors(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """STR-06: (key, term, tf, weight), the weights of a text having length one. Terms are counted within the row."""
-    ks = F.array_sort(keywords(F.coalesce(F.col(text), F.lit(""))))
-    d = df.select(key, F.explode(ks).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(key)))
-    return d.withColumn("weight", F.col("tf") / norm)
+    """STR-06: (key, term, tf, weight), the weights of a text having length one. Terms are counted within the row. Rows
+    are texts: two rows of one key are two texts."""
+    d = term_counts(df.select(key, F.col(text).alias("_text")), keywords(F.coalesce("_text", F.lit(""))), "_t")
+    d = d.select(key, length_of("_t").alias("_n"), F.explode("_t").alias("_x"))
+    return d.select(key, F.col("_x.term").alias("term"), F.col("_x.tf").alias("tf"), (F.col("_x.tf") / F.col("_n")).alias("weight"))
 
 
 def lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,7 +94,7 @@ def domain_filter(df: DataFrame, url: str, blocked: list[str] = (), allowed: lis
 
 
 def complexity(df: DataFrame, text: str = "text") -> DataFrame:
-    """STR-12, STR-14, STR-15."""
+    """STR-12, STR-14."""
     c = F.coalesce(F.col(text), F.lit(""))
     n = lambda p: S.count_of(c, p).cast("long")
     loc = F.size(F.filter(F.split(c, "\n", -1), lambda x: x.rlike("\\S") & ~x.rlike("^\\s*#"))).cast("long")
@@ -87,6 +104,25 @@ def complexity(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("maintainability", F.round(index, 6))
 
 
+#: What is suggested, in order.
+SUGGESTIONS = {
+    "complex": "High cyclomatic complexity - consider breaking into smaller functions",
+    "large": "Large function - consider splitting into smaller modules",
+    "bare_except": "Use specific exception types instead of bare except",
+    "print": "Use logging instead of print statements for production code",
+    "none": "Use 'is None' instead of '== None'",
+    "enumerate": "Use enumerate() instead of range(len())",
+}
+
+
+def suggestions(df: DataFrame, text: str = "text") -> DataFrame:
+    """STR-15: array of suggestions from six rules, over the figures of complexity()."""
+    c = F.coalesce(F.col(text), F.lit(""))
+    has = lambda w: F.contains(c, F.lit(w))
+    rules = {"complex": F.col("cyclomatic") > 10, "large": F.col("loc") > 500, "bare_except": has("except:"), "print": has("print("), "none": has("==") & has("None"), "enumerate": c.rlike("for\\s+\\w+\\s+in\\s+range\\s*\\(\\s*len\\s*\\(")}
+    return complexity(df, text).withColumn("suggestions", F.array_compact(F.array(*[F.when(rules[k], F.lit(v)) for k, v in SUGGESTIONS.items()])))
+
+
 def code_issues(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """STR-13: (key, issue, line_no or null). Line rules per line, the others once a text."""
     c = F.col(text)
@@ -127,6 +163,22 @@ def final_answer(c: Column) -> Column:
     return F.coalesce(*got, F.try_element_at(F.regexp_extract_all(c, F.lit("\\d+"), F.lit(0)), F.lit(-1)), c)
 
 
+def same_answer(response: Column, correct: Column) -> Column:
+    """STR-19: whether the final answer of a response is the correct one, as text or as a number; null is no answer."""
+    got, want = S.strip(final_answer(response)), S.strip(correct)
+    return F.coalesce((got == want) | F.coalesce(got.try_cast("double") == want.try_cast("double"), F.lit(False)), F.lit(False))
+
+
+def same_text(a: Column, b: Column) -> Column:
+    """STR-20: equality without case and white space around; null equals nothing."""
+    return F.coalesce(S.strip(F.lower(a)) == S.strip(F.lower(b)), F.lit(False))
+
+
+def has_code(c: Column, words: tuple[str, ...] = ("```",)) -> Column:
+    """FLT-13: whether a text holds a code block, or one of other words."""
+    return F.coalesce(S.any_of(c, list(words)), F.lit(False))
+
+
 def error_type(c: Column, known: dict[str, str]) -> Column:
     """STR-16, JOIN-08: advice for the error named in a text."""
     name = F.regexp_extract(c, "(\\w+Error):", 1)
@@ -159,3 +211,19 @@ def replace_counted(df: DataFrame, pattern: str, new: str, text: str = "text") -
 def delete_lines(c: Column, pattern: str) -> Column:
     """STR-21."""
     return F.array_join(F.filter(F.split(c, "\n", -1), lambda x: ~x.rlike(pattern)), "\n")
+
+
+def delete_range(c: Column, first: int, last: int) -> Column:
+    """STR-21: the text without lines first to last (from 1); a range that does not lie in the text changes nothing."""
+    ls = F.split(c, "\n", -1)
+    if not 1 <= first <= last:
+        return c
+    return F.when(F.size(ls) < last, c).otherwise(F.array_join(F.filter(ls, lambda x, i: (i < first - 1) | (i >= last)), "\n"))
+
+
+def insert_line(c: Column, at: int, line: str) -> Column:
+    """STR-21: the text with a line put before line `at` (from 1, one past the last allowed; else nothing changes)."""
+    ls = F.split(c, "\n", -1)
+    if at < 1:
+        return c
+    return F.when(F.size(ls) < at - 1, c).otherwise(F.array_join(F.concat(F.slice(ls, 1, at - 1), F.array(F.lit(line)), F.slice(ls, F.lit(at), F.size(ls))), "\n"))

@@ -14,6 +14,8 @@ from ..sources import files
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Queries that SQL cannot express, and the tests that hold them against plain Python.
+DONE_BY_TESTS: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -204,17 +206,21 @@ def _(c):
 
 # --- rules: NLP, STR-26, PIPE-03/12 --------------------------------------------------------------------------------
 T = "lower(coalesce(text, ''))"
+STRIPPED = f"regexp_replace({T}, '^\\s+|\\s+$', '', 'g')"
 INTENTS = " UNION ALL ".join(
-    f"SELECT conv_id, turn, '{k}' AS intent, {sql_hits('t', w)} + 1.5::DOUBLE * (" + " + ".join(f"{sql_re('t', p)}::INT" for p in ps) + ") AS raw_score FROM c"
-    for k, (w, ps) in nlp.INTENTS.items())
+    f"SELECT conv_id, turn, {i} AS i, '{k}' AS intent, {sql_hits('t', w)} + 1.5::DOUBLE * (" + " + ".join(f"{sql_re('t', p)}::INT" for p in ps) + ") AS raw_score FROM c"
+    for i, (k, (w, ps)) in enumerate(nlp.INTENTS.items()))
 
 
-@on("conversations", "intent_detect", f"WITH c AS (SELECT conv_id, turn, {T} AS t FROM conversations), s AS ({INTENTS}) SELECT c.conv_id, c.turn, coalesce(arg_min(intent, (-raw_score, intent)), 'general') AS intent, coalesce(max(raw_score), 0.0)::DOUBLE AS raw_score FROM c LEFT JOIN (SELECT * FROM s WHERE raw_score > 0) s USING (conv_id, turn) GROUP BY 1, 2")
+@on("conversations", "intent_detect", f"""WITH c AS (SELECT conv_id, turn, {STRIPPED} AS t FROM conversations), s AS ({INTENTS}), r AS (SELECT *, raw_score / max(raw_score) OVER (PARTITION BY conv_id, turn) AS share, row_number() OVER (PARTITION BY conv_id, turn ORDER BY raw_score DESC, i) AS place FROM s WHERE raw_score > 0)
+ SELECT c.conv_id, c.turn, coalesce(max(intent) FILTER (WHERE place = 1), 'general') AS intent, coalesce(max(raw_score), 0.0)::DOUBLE AS raw_score, 1.0::DOUBLE AS confidence,
+ coalesce(string_agg(intent || ':' || (round(share, 6) * 1000000)::BIGINT, '|' ORDER BY place) FILTER (WHERE place BETWEEN 2 AND 4 AND round(share, 6) >= 0.3), '') AS alternatives FROM c LEFT JOIN r USING (conv_id, turn) GROUP BY 1, 2""")
 def _(c):
-    return nlp.intents(c).select("conv_id", "turn", "intent", F.col("raw_score").cast("double").alias("raw_score"))
+    others = F.transform("alternatives", lambda x: F.concat(x.intent, F.lit(":"), F.round(x.confidence * 1_000_000).cast("bigint").cast("string")))
+    return nlp.intents(c).select("conv_id", "turn", "intent", F.col("raw_score").cast("double").alias("raw_score"), "confidence", F.array_join(others, "|").alias("alternatives"))
 
 
-@on("conversations", "intent_multi", f"WITH c AS (SELECT conv_id, turn, {T} AS t FROM conversations), s AS ({INTENTS}) SELECT conv_id, turn, intent, raw_score::DOUBLE AS raw_score FROM s WHERE raw_score >= 1")
+@on("conversations", "intent_multi", f"WITH c AS (SELECT conv_id, turn, {STRIPPED} AS t FROM conversations), s AS ({INTENTS}) SELECT conv_id, turn, intent, raw_score::DOUBLE AS raw_score FROM s WHERE raw_score >= 1")
 def _(c):
     return nlp.intents_multi(c).select("conv_id", "turn", "intent", F.col("raw_score").cast("double").alias("raw_score"))
 
@@ -635,11 +641,6 @@ def _(d):
     return arrow.tokenize(d, arrow.MAX_LENGTH).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
-@on("documents", "mask_labels")
-def _(d):
-    return arrow.mask_labels(arrow.words(d), marker="the").select("doc_id", F.size(F.filter("labels", lambda x: x.isNotNull())).alias("n_kept"))
-
-
 @on("documents", "pack_sequences")
 def _(d):
     return arrow.pack(d.select("doc_id", F.size(F.split("text", "\\s+")).alias("n")), 2048)
@@ -655,4 +656,8 @@ def _(d):
     return arrow.syntax(d)
 
 
-from . import learning_queries  # noqa: E402, F401  it registers its queries
+from . import learning_queries, rule_queries  # noqa: E402, F401  they register their queries
+
+ORACLES["rag_context"] = rule_queries.FOLD.format(found=FOUND)
+ORACLES["ttl_cache"] = rule_queries.CACHE
+DONE_BY_TESTS |= dict.fromkeys(["entity_spans", "entity_summary", "pack_sequences", "code_chunks", "code_syntax", "markdown_sections"], "tests/test_plain.py")
