@@ -62,6 +62,9 @@ def statistics(docs: DataFrame) -> DataFrame:
     d = d.withColumn("s", F.when(F.col("again"), F.array_sort(F.transform(F.filter("s", lambda x, j: twin(x, F.get("s", j - 1)) | twin(x, F.get("s", j + 1))), lambda x: x.i))))
     covered = F.aggregate(F.transform("s", lambda p, j: F.least(F.coalesce(F.get("s", j + 1) - p, F.lit(3)), F.lit(3))), F.lit(0), lambda a, b: a + b)
     d = d.withColumn("n_repeat_words", F.when(F.col("again"), covered).otherwise(0).cast("long")).drop("s", "again")
+    # a generator stands between these steps and later filters, which would else repeat them all
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    d = d.select("doc_id", "lang", F.explode(F.array(F.struct(*counts))).alias("c")).select("doc_id", "lang", *[F.col(f"c.{c}") for c in counts])
     return d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
