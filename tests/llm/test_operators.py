@@ -146,6 +146,16 @@ def test_links_equal_brute_force(spark, monkeypatch, threshold, depth):
     assert sum(got.values()) >= 0.99 * sum(want) > 2000
 
 
+def test_components_of_stars_and_chains(spark, monkeypatch):
+    """A hub with most of the nodes, a long chain and loose pairs: the smallest node of each component."""
+    plain = common.join_hot
+    monkeypatch.setattr(jaccard, "join_hot", lambda *a, **k: plain(*a, **{**k, "least": 10}))
+    edges = [(500, i) for i in range(501, 800)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2001), (2003, 2002)]
+    got = {r.node: r.root for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 500 for i in range(500, 800)}, **{i: 1000 for i in range(1000, 1061)}, 2000: 2000, 2001: 2000, 2002: 2002, 2003: 2002}
+    assert jaccard.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_roots_follow_from_threshold():
     assert [jaccard.roots(t) for t in (0.9, 0.8, 0.5, 0.3)] == [10, 16, 39, 79]
     assert jaccard.estimated_recall(100, 0, 5) == 1.0 and jaccard.estimated_recall(100, 50, 10) < 0.5

@@ -325,18 +325,19 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node of its component) for edges (a, b). Each round takes the smallest label among
-    the neighbours and then that label's own label; tables are cut between rounds."""
+    """node and root (the smallest node of its component) for edges (a, b), as a written table. Each round takes the
+    smallest label among the neighbours and then that label's own label, so that rounds grow with the logarithm of a
+    component's size; nodes with very many neighbours, and labels that very many nodes have, are dealt to many tasks."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"), F.count("*").alias("degree")))
     while True:
-        near = both.join(label.select("node", "root"), F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        new = label.select("node", "root").join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
-        up = new.select(F.col("node").alias("up"), F.col("root").alias("top"))
-        new = cut(new.join(up, new["root"] == up["up"], "left").select("node", F.least("root", F.coalesce("top", "root")).alias("root"), "old"))
-        free(label)
-        label = new
-        if new.filter("root <> old").isEmpty():
+        near = join_hot(both, label.select(F.col("node").alias("b"), "root", "degree"), "b", "degree").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        new = cut(label.select("node", "root", "degree").join(near, "node").select("node", F.least("root", "near").alias("root"), "degree", F.col("root").alias("old")))
+        tops = cut(new.groupBy("root").agg(F.count("*").alias("n")).join(new.select(F.col("node").alias("root"), F.col("root").alias("top")), "root"))
+        up = cut(join_hot(new, tops, "root", "n", "left").select("node", F.least("root", F.coalesce("top", "root")).alias("root"), "degree", "old"))
+        free(label, new, tops)
+        label = up
+        if label.filter("root <> old").isEmpty():
             free(both)
             return label
 
