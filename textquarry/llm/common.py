@@ -55,11 +55,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[0]
 
 
-def cut(df: DataFrame, codec: str = "snappy") -> DataFrame:
+def cut(df: DataFrame, codec: str = "snappy", share: int = 1) -> DataFrame:
     """Cut lineage: write to the shared folder, under a folder named after the application, and read again. The table
     goes with free(), else when the driver ends; what a crashed driver leaves stands under its application's id.
-    zstd makes tables that hold text smaller, for some memory and CPU."""
+    zstd makes tables that hold text smaller, for some memory and CPU. A table that is much smaller than what it comes
+    from is written as partitions / share files: many small files cost more than they hold, and on local file systems
+    each makes the JVM start a process."""
     spark = df.sparkSession
+    if share > 1:
+        df = df.coalesce(max(1, partitions(spark) // share))
     path = f"{shared_dir(spark)}/textquarry-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path, compression=codec)
     if not _written:

@@ -122,9 +122,9 @@ def leaves(classes: DataFrame, threshold: float) -> list[DataFrame]:
     node = classes.select("set", F.posexplode("roots").alias("r", "leaf")).select("set", (F.col("r") * most ** (DEPTH - 1)).alias("slot"), "leaf")
     done = []
     for depth in range(1, DEPTH + 1):
-        all_nodes = cut(node)
+        all_nodes = cut(node, share=4) if depth > 1 else node  # the roots are read from the written classes
         size = all_nodes.groupBy("leaf").agg(F.count("*").alias("size")).filter("size > 1")
-        node = cut(all_nodes.join(size, "leaf"))
+        node = cut(all_nodes.join(size, "leaf"), share=4)
         free(all_nodes)
         done.append(node if depth == DEPTH else node.filter(F.col("size") <= SMALL))
         if depth == DEPTH:
@@ -328,13 +328,13 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) for edges (a, b), as a written table. Each round takes the
     smallest label among the neighbours and then that label's own label, so that rounds grow with the logarithm of a
     component's size; nodes with very many neighbours, and labels that very many nodes have, are dealt to many tasks."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"), F.count("*").alias("degree")))
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), share=8)
+    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"), F.count("*").alias("degree")), share=8)
     while True:
         near = join_hot(both, label.select(F.col("node").alias("b"), "root", "degree"), "b", "degree").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        new = cut(label.select("node", "root", "degree").join(near, "node").select("node", F.least("root", "near").alias("root"), "degree", F.col("root").alias("old")))
-        tops = cut(new.groupBy("root").agg(F.count("*").alias("n")).join(new.select(F.col("node").alias("root"), F.col("root").alias("top")), "root"))
-        up = cut(join_hot(new, tops, "root", "n", "left").select("node", F.least("root", F.coalesce("top", "root")).alias("root"), "degree", "old"))
+        new = cut(label.select("node", "root", "degree").join(near, "node").select("node", F.least("root", "near").alias("root"), "degree", F.col("root").alias("old")), share=8)
+        tops = cut(new.groupBy("root").agg(F.count("*").alias("n")).join(new.select(F.col("node").alias("root"), F.col("root").alias("top")), "root"), share=16)
+        up = cut(join_hot(new, tops, "root", "n", "left").select("node", F.least("root", F.coalesce("top", "root")).alias("root"), "degree", "old"), share=8)
         free(label, new, tops)
         label = up
         if label.filter("root <> old").isEmpty():
@@ -350,12 +350,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     label = components(found.filter("set <> root").select(F.col("set").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("set").agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
     own = classes.select("set", "rep", "n").join(linked, "set", "left").filter("n > 1 OR links IS NOT NULL").join(label.select("node", F.col("root").alias("top")), F.col("set") == F.col("node"), "left")
-    own = cut(own.select("set", "n", "links", "weight", "rep", F.coalesce("top", "set").alias("root")))
+    own = cut(own.select("set", "n", "links", "weight", "rep", F.coalesce("top", "set").alias("root")), share=4)
     free(found, label, classes)
     # a component of one class has its own first row; of the others, one may hold a large part of all classes
-    several = cut(own.groupBy("root").agg(F.min("rep").alias("first"), F.min("rep.doc_id").alias("lowest"), F.count("*").alias("classes")).filter("classes > 1"))
+    several = cut(own.groupBy("root").agg(F.min("rep").alias("first"), F.min("rep.doc_id").alias("lowest"), F.count("*").alias("classes")).filter("classes > 1"), share=16)
     known = join_hot(own, several, "root", "classes", "left")
-    known = cut(known.select("set", "n", "links", "weight", "root", F.col("rep.doc_id").alias("copy"), F.coalesce("lowest", "rep.doc_id").alias("lowest"), F.coalesce("first", "rep").alias("first")))
+    known = cut(known.select("set", "n", "links", "weight", "root", F.col("rep.doc_id").alias("copy"), F.coalesce("lowest", "rep.doc_id").alias("lowest"), F.coalesce("first", "rep").alias("first")), share=4)
     free(own, several)
     rows = all_sets.select("doc_id", "th", "set")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

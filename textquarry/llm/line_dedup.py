@@ -60,9 +60,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     slim = slim.filter((F.col("c.n") >= 2) & F.col("c.body").rlike("[^ \\x09-\\x0d]"))
     slim = slim.select("doc_id", "th", "k", F.unhex(F.md5("c.body")).alias("h"), F.col("c.body").alias("body"))
     place = F.struct("doc_id", "th", "k")
-    first = cut(slim.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"))
+    first = cut(slim.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"), share=4)
     shared = cut(join_hot(slim, first, "h", "n"), "zstd")
-    bodies = cut(shared.filter(place == F.col("first")).select("h", "n", F.col("body").alias("own")).dropDuplicates(["h"]), "zstd")
+    bodies = cut(shared.filter(place == F.col("first")).select("h", "n", F.col("body").alias("own")).dropDuplicates(["h"]), "zstd", share=4)
     again = join_hot(shared.filter(place != F.col("first")).drop("n", "first"), bodies, "h", "n").filter(F.col("body") == F.col("own"))
     i, th, lines, hashes, cuts, pieces, gone = fresh(docs, "i", "th", "lines", "hashes", "cuts", "pieces", "gone")
     again = again.groupBy(F.col("doc_id").alias(i), F.col("th").alias(th)).agg(F.collect_set("k").alias(gone))
@@ -107,7 +107,7 @@ def passages(docs: DataFrame) -> DataFrame:
     slim = slim.select("doc_id", "th", F.explode(_pairs(F.col("lines"))).alias("p")).select("doc_id", "th", "p.a", "p.b", "p.h")
     place = F.struct("doc_id", "th", "a")
     # the table of repeated pairs stays until the driver ends, as the result reads it
-    first = cut(slim.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"))
+    first = cut(slim.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"), share=4)
     again = join_hot(slim, first, "h", "n").filter(place != F.col("first"))
     i, th, lines, gone, own = fresh(docs, "i", "th", "lines", "gone", "own")
     again = again.groupBy(F.col("doc_id").alias(i), F.col("th").alias(th)).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", "b")))).alias(gone))

@@ -203,7 +203,7 @@ def repeated(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(2).take(row), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "th", "at", "h"])
 
     found = cut(rows.mapInArrow(find, f"doc_id {kind}, th long, at int, h long"), "zstd")
-    shared = cut(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "zstd")
+    shared = cut(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "zstd", share=8)
     places = join_hot(found, shared, "h", "n").groupBy(F.col("doc_id").alias("i"), F.col("th").alias("t")).agg(F.array_sort(F.array_distinct(F.collect_list("at"))).alias("places"))
     with_places = packed(rows).join(places, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "z", "places")
 
@@ -231,7 +231,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     each = around.groupBy("key").agg(F.count("*").alias("n"), F.first("seg", ignorenulls=True).alias("seg"), F.first("anchor").alias("anchor"))
     each = cut(each.withColumn("h", F.xxhash64(F.substr("seg", F.col("anchor") + 1, F.lit(GRAM)))), "zstd")
     differ = each.groupBy("h").agg(F.count("*").alias("different"), F.min("n").alias("least")).filter("different > 1 AND least = 1").drop("least")
-    differ = cut(differ)
+    differ = cut(differ, share=16)
     ranges = F.lit(SPLITS[-1][1])
     for most, n in reversed(SPLITS[:-1]):
         ranges = F.when(F.col("different") <= most, n).otherwise(ranges)
@@ -272,7 +272,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     single = asked.mapInArrow(family, "key binary, a int, b int").groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.lit(1).cast("long").alias("n"))
     several = each.filter((F.col("n") > 1) & (F.octet_length("seg") >= LENGTH)).select("key", F.lit(0).alias("a"), F.octet_length("seg").alias("b"), "n")
-    verdict = cut(single.unionByName(several))
+    verdict = cut(single.unionByName(several), share=4)
     free(each, differ)
     told_rows = join_hot(around.select("doc_id", "th", "lo", "key"), verdict, "key", "n")
     return told_rows.select("doc_id", "th", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("b")).alias("stop"))
