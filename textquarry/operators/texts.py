@@ -19,6 +19,13 @@ def keywords(c: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
 
 
+def settled(df: DataFrame, *kept: str, **made: Column) -> DataFrame:
+    """kept columns and made ones, which are worked out once: a generator stands between them and what follows, as later
+    filters and generators would else repeat their expressions."""
+    d = df.select(*kept, F.explode(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))).alias("_m"))
+    return d.select(*kept, *[F.col(f"_m.{k}").alias(k) for k in made])
+
+
 def term_counts(df: DataFrame, words: Column, out: str = "terms") -> DataFrame:
     """Add an array<struct<term,tf>> of an array of words, in order of the terms: runs of the sorted array are counted,
     so that the row stays where it is. Each step is a column of its own, as a lambda would work it out for every term."""
@@ -28,8 +35,7 @@ def term_counts(df: DataFrame, words: Column, out: str = "terms") -> DataFrame:
     at = F.sequence(F.lit(0), F.size("_s") - 2)
     runs = F.transform(at, lambda j: F.struct(F.get("_k", F.get("_s", j)).alias("term"), (F.get("_s", j + 1) - F.get("_s", j)).cast("long").alias("tf")))
     runs = F.when(F.size("_k") > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
-    # a generator stands between these steps and later filters, which would else repeat them all
-    return df.select(*before, F.explode(F.array(F.struct(runs.alias("x")))).alias("_m")).select(*before, F.col("_m.x").alias(out))
+    return settled(df, *before, **{out: runs})
 
 
 def length_of(terms: str) -> Column:
@@ -40,7 +46,7 @@ def term_vectors(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """STR-06: (key, term, tf, weight), the weights of a text having length one. Terms are counted within the row. Rows
     are texts: two rows of one key are two texts."""
     d = term_counts(df.select(key, F.col(text).alias("_text")), keywords(F.coalesce("_text", F.lit(""))), "_t")
-    d = d.select(key, length_of("_t").alias("_n"), F.explode("_t").alias("_x"))
+    d = settled(d, key, _n=length_of("_t"), _t=F.col("_t")).select(key, "_n", F.explode("_t").alias("_x"))
     return d.select(key, F.col("_x.term").alias("term"), F.col("_x.tf").alias("tf"), (F.col("_x.tf") / F.col("_n")).alias("weight"))
 
 
