@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, classifier, fingerprints, jaccard, langid, line_dedup, mixing, quality_rules, suffix_dedup
+from . import bpe, chat, classifier, fingerprints, jaccard, langid, line_dedup, mixing, quality_rules, repair, suffix_dedup
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -35,5 +35,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": lambda s, d: suffix_dedup.removals(read(s, d, "documents")),
     "op9_chat": lambda s, d: chat.digests(read(s, d, "conversations")),
     "op10_language_id": lambda s, d: langid.identify(read(s, d, "documents")),
+    "op13_structure_repair": lambda s, d: repair.audits(read(s, d, "conversations")),
 }
-ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.SQL, "op4_line_dedup": line_dedup.SQL, "op4_passage_dedup": line_dedup.PASSAGES_SQL, "op6_mixing": mixing.SQL, "op9_chat": chat.SQL}
+ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.SQL, "op4_line_dedup": line_dedup.SQL, "op4_passage_dedup": line_dedup.PASSAGES_SQL, "op6_mixing": mixing.SQL, "op9_chat": chat.SQL, "op13_structure_repair": repair.SQL}
