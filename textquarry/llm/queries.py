@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, classifier, fingerprints, jaccard, langid, line_dedup, mixing, quality_rules, repair, sessions, suffix_dedup
+from . import bpe, chat, classifier, fingerprints, jaccard, langid, line_dedup, mixing, neighbours, quality_rules, repair, sessions, suffix_dedup
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -35,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": lambda s, d: suffix_dedup.removals(read(s, d, "documents")),
     "op9_chat": lambda s, d: chat.digests(read(s, d, "conversations")),
     "op10_language_id": lambda s, d: langid.identify(read(s, d, "documents")),
+    "op11_nearest_neighbours": lambda s, d: neighbours.nearest(read(s, d, "embeddings")),
     "op12_session_merging": lambda s, d: sessions.session_versions(read(s, d, "conversations")),
     "op13_structure_repair": lambda s, d: repair.audits(read(s, d, "conversations")),
 }
