@@ -8,7 +8,8 @@ to partitions, and sorted there, by an md5 of their own: a global shuffle that i
 
 Without given weights, a source's share is proportional to size ** ALPHA. Given weights name sources; a source
 that is not named gets none. A null source is a source of its own. A source without a character has rate 0.
-Null text is kept as null and has size 0. Repeated rows get the same number. An empty table gives no row.
+Null text is kept as null and has size 0. Repeated rows get the same number. An empty table gives no row. Texts are never cut:
+a very long one only weighs more in its source. Extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,15 +55,15 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: s
         F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int").alias("parts"),
         F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), first, grow, lambda acc: acc["cdf"]).alias("cdf"),
     )
-    parts, cdf, n, key, replica, shuffle_key = fresh(docs, "parts", "cdf", "n", "key", "replica", "shuffle_key")
+    parts, cdf, draws, key, replica, shuffle_key = fresh(docs, "parts", "cdf", "draws", "key", "replica", "shuffle_key")
     d = join_small(docs, table.withColumnsRenamed({"parts": parts, "cdf": cdf}), ["source"])
     d = d.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    draw = lambda j: F.size(F.filter(F.col(cdf), lambda c: c < uniform(F.lit(seed), F.col(key), j.cast("string"))))
-    single = F.size(F.filter(F.col(cdf), lambda c: c < F.col(n)))
-    d = d.withColumn(n, uniform(F.lit(seed), F.col(key), F.lit("0")))
-    many = F.aggregate(F.sequence(F.lit(0), F.col(parts) - 1), F.lit(0), lambda acc, j: acc + draw(j))
-    d = d.withColumn(n, F.when(F.col(parts) == 1, single).otherwise(many)).drop(parts, cdf).filter(F.col(n) > 0)
-    d = d.withColumn(replica, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n)
+    # a generator stands between the numbers and the table's lambda, which would else hash anew for each of its steps
+    drawn = F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda j: uniform(F.lit(seed), F.col(key), j.cast("string")))
+    d = d.withColumn(draws, F.explode(F.array(drawn)))
+    n = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col(cdf), lambda c: c < u)))
+    d = d.select("*", F.posexplode(F.array_repeat(F.lit(True), n)).alias(replica, f"{replica}_")).drop(parts, cdf, draws, f"{replica}_")
+    d = d.withColumn(replica, F.col(replica) + 1)
     d = d.withColumn(shuffle_key, F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col(key), F.col(replica).cast("string")))).drop(key)
     d = d.repartition(shuffle_key).sortWithinPartitions(shuffle_key)
     return d.drop("replica", "shuffle_key").withColumnsRenamed({replica: "replica", shuffle_key: "shuffle_key"})
