@@ -9,7 +9,7 @@ its temperature is fitted on a fifth of the sample that the weights never saw.
 The fit of the network uses at most SAMPLE labelled documents (those with the smallest hash of doc_id), none of which is
 held out. Everything else covers all rows: the word vectors, which see no labels, and the scores of every whole text.
 
-Null text is empty; an empty text gets the score of the mean features. Labels without a quality are ignored, and a
+Null text is empty; a very long one is read whole, some tokens at a time; an empty text gets the score of the mean features. Labels without a quality are ignored, and a
 document with conflicting labels counts as 0. Without labels of both kinds all scores are the share of label 1
 (0.5 without any). Repeated rows score alike; of a labelled doc_id with several texts, the one with the smallest hash is
 fitted on. Sums of contexts are whole numbers, so that no order of rows or partitions changes them. An empty table gives
@@ -19,14 +19,13 @@ no row. Extra columns stay as they are in score(), and one named score is replac
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing
-from .common import chunks, crc_mod, cut, fresh, partitions, ready, utf8
+from .common import chunks, crc_mod, cut, fresh, partitions, ready, summed, utf8
 
 SAMPLE, BUCKETS, DIM, SIGNS, REACH, HIDDEN, CUTOFF = 16_000, 1 << 14, 64, 4, 2, 32, 0.7
 TABLE_PARTS = 16
@@ -93,10 +92,8 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
         parts = np.split(total, TABLE_PARTS)
         yield pa.RecordBatch.from_arrays([pa.array(range(TABLE_PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "total"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "total": [sum(np.frombuffer(x, np.float64) for x in pdf["total"]).tobytes()]})
-
-    rows = docs.select(text).coalesce(most).mapInArrow(partial, "part int, total binary").groupBy("part").applyInPandas(add, "part int, total binary").collect()
+    rows = docs.select(text).coalesce(most).mapInArrow(partial, "part int, total binary")
+    rows = summed(rows, "part", max(1, round(most**0.5))).collect()  # the table: a bounded size
     table = np.zeros((TABLE_PARTS, BUCKETS // TABLE_PARTS, DIM))
     for r in rows:
         table[r["part"]] = np.frombuffer(bytes(r["total"]), np.float64).reshape(-1, DIM)

@@ -10,6 +10,7 @@ import uuid
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +101,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def summed(rows: DataFrame, key: str, slots: int) -> DataFrame:
+    """Sums of the float64 vectors in binary column `total` per key (none null), on two levels: by slot of the partitions first, so that
+    no task holds a vector of every partition."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def add(*by: str):
+        def total(pdf: pd.DataFrame) -> pd.DataFrame:
+            whole = np.zeros(0)
+            for x in pdf["total"]:
+                whole = np.frombuffer(x, np.float64) + (whole if len(whole) else 0)
+            return pd.DataFrame({**{c: pdf[c].iloc[:1] for c in by}, "total": [whole.tobytes()]})
+        return total
+
+    rows = rows.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(slots)))
+    rows = rows.groupBy(key, "slot").applyInPandas(add(key, "slot"), f"{key} {kind}, slot int, total binary")
+    return rows.select(key, "total").groupBy(key).applyInPandas(add(key), f"{key} {kind}, total binary")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that the frame does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

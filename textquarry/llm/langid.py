@@ -6,22 +6,24 @@ one; a language's prototype bundles its documents. A document gets the language
 largest cosine. Runs of anything but letters count as one blank, which is a symbol like the letters.
 
 Null text, and text without a letter, gives `und` with score 0. Without any row to learn from, every
-document is `und`. Repeated rows, ties (the smaller language name wins) and extra columns need no care.
+document is `und`. Repeated rows, ties (the smaller language name wins) and extra columns need no care;
+very long texts are read whole, some at a time. An empty table gives no row.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing
-from .common import crc_mod, fresh, ready
+from .common import crc_mod, fresh, ready, summed
 
 DIM, UNKNOWN = 1024, "und"
+#: Groups of partitions whose sums are added first.
+SLOTS = 512
 _letters: list[np.ndarray] = []
 
 
@@ -110,10 +112,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "total"])
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "total": [sum(np.frombuffer(x, np.float64) for x in pdf["total"]).tobytes()]})
-
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna().mapInArrow(partial, "lang string, total binary").groupBy("lang").applyInPandas(total, "lang string, total binary").collect()
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropna().mapInArrow(partial, "lang string, total binary")
+    rows = summed(rows, "lang", SLOTS).collect()  # one vector a language
     rows = sorted((r["lang"], np.frombuffer(bytes(r["total"]), np.float64)) for r in rows)
     rows = [(n, v / np.linalg.norm(v)) for n, v in rows if v.any()]
     return [n for n, _ in rows], np.array([v for _, v in rows], np.float32).reshape(len(rows), DIM)
