@@ -123,9 +123,9 @@ def leaves(classes: DataFrame, threshold: float) -> list[DataFrame]:
     done = []
     for depth in range(1, DEPTH + 1):
         all_nodes = cut(node, share=4) if depth > 1 else node  # the roots are read from the written classes
-        size = all_nodes.groupBy("leaf").agg(F.count("*").alias("size")).filter("size > 1")
-        node = cut(all_nodes.join(size, "leaf"), share=4)
-        free(all_nodes)
+        size = cut(all_nodes.groupBy("leaf").agg(F.count("*").alias("size")).filter("size > 1"), share=8)
+        node = cut(join_hot(all_nodes, size, "leaf", "size"), share=4)
+        free(all_nodes, size)
         done.append(node if depth == DEPTH else node.filter(F.col("size") <= SMALL))
         if depth == DEPTH:
             break
@@ -153,12 +153,12 @@ def dealt(leaf: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("leaf", F.least("b", "o"), F.greatest("b", "o")).alias("g"), "slot", side.alias("side"), "set", "n", "tok", "at", "leaves")
 
 
-def _whole_groups(batches, rows: int):
-    """Tables that hold whole groups (column g, sorted), of about so many rows."""
+def _whole_groups(batches, rows: int, most: int = 64 << 20):
+    """Tables that hold whole groups (column g, sorted), of about so many rows, or so many bytes, if those are fewer rows."""
     held = []
     for b in batches:
         held.append(pa.Table.from_batches([b]))
-        if sum(t.num_rows for t in held) < rows:
+        if sum(t.num_rows for t in held) < rows and sum(t.nbytes for t in held) < most:
             continue
         t = pa.concat_tables(held).combine_chunks()
         g = t.column("g").to_numpy()
