@@ -12,16 +12,19 @@ generalised Jaccard similarity, sum of min weights over sum of max weights. The
 of POOL rows drawn once from a fixed seed; two separate hashes of s choose the rows of (r, b) and of c.
 
 A text without a word has fingerprint "" and likeness 1 to another such text, 0 to any other text.
-Null text counts as empty. Equal texts have equal fingerprints.
+Null text counts as empty. Equal texts have equal fingerprints. Very long texts are read whole, some shingles at a
+time. An empty table gives no row. Extra columns stay in fingerprints(), which replaces one named fingerprint; edited() reads doc_id and text only.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,36 +89,53 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint")
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(tmp, T.StringType())])).drop(name).withColumnRenamed(tmp, name)
 
 
+def _listed(numbers: list[int | None]) -> Column:
+    """An array that the optimizer folds into one literal, however long."""
+    return F.from_json(F.lit(json.dumps(numbers)), "array<bigint>")
+
+
 def with_next(docs: DataFrame, per_partition: int = 16) -> DataFrame:
     """Rows (bucket, tail, doc_id, text) so dealt and sorted that, in a partition, each document is followed by
     the one that comes next in descending doc_id; a bucket ends with a copy of the next bucket's first document,
     marked tail, and the last bucket with a copy of the very first one. Nulls come last, rows of one doc_id in the
     order of their text's hash and text. The buckets' borders are quantiles of doc_id, a number of them that
-    follows the number of partitions; texts are shuffled once."""
+    follows the number of partitions; a doc_id that is several quantiles at once, and null, get as many buckets by ranges of the
+    text's hash (only rows alike in both stay together). Texts are shuffled once."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     n = parts * per_partition
-    borders = sorted(set(d.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / n for i in range(1, n)], 0.25 / n)))
+    total, known = d.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    found = Counter(int(x) for x in d.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / n for i in range(1, n)], 0.25 / n))
+    borders, nulls = sorted(found), max(1, -(-n * (total - known) // max(1, total)))
+    # numbers of buckets, in ascending order of the documents: nulls, below the first border, and for each border its own ones, if it is hot, and those above it
+    hot = [0, *[found[x] if found[x] > 1 else 0 for x in borders]]
+    start = (nulls + np.arange(len(hot)) + np.cumsum(hot) - hot).tolist()
     key, at = F.col("doc_id"), F.lit(0)
     if borders:
-        known = F.lit([int(x) for x in borders])
+        listed = _listed(borders)
         steps = F.sequence(F.lit(0), F.lit(len(borders).bit_length()))
-        low = lambda s, _: F.when(s.lo >= s.hi, s).otherwise(F.when(F.get(known, F.floor((s.lo + s.hi) / 2).cast("int")) <= key, F.struct(F.floor((s.lo + s.hi) / 2 + 1).cast("int").alias("lo"), s.hi.alias("hi"))).otherwise(F.struct(s.lo.alias("lo"), F.floor((s.lo + s.hi) / 2).cast("int").alias("hi"))))
-        at = F.when(key.isNull(), 0).otherwise(F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(borders)).alias("hi")), low).lo)
-    d = d.withColumn("bucket", at.cast("int"))
-    heads = sorted(map(tuple, d.groupBy("bucket").agg(F.max("doc_id")).collect()))
+        low = lambda s, _: F.when(s.lo >= s.hi, s).otherwise(F.when(F.get(listed, F.floor((s.lo + s.hi) / 2).cast("int")) <= key, F.struct(F.floor((s.lo + s.hi) / 2 + 1).cast("int").alias("lo"), s.hi.alias("hi"))).otherwise(F.struct(s.lo.alias("lo"), F.floor((s.lo + s.hi) / 2).cast("int").alias("hi"))))
+        at = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(borders)).alias("hi")), low).lo
+    d = d.withColumn("at", at.cast("int"))
+    # rows of one doc_id come by ascending hash, and buckets are read from the last to the first
+    piece = lambda m: m - 1 - F.shiftright((F.shiftright("h", 33) + (1 << 30)) * m, 31)
+    own, first = F.get(_listed(hot), F.col("at")), F.get(_listed(start), F.col("at"))
+    is_hot = (own > 0) & (key == F.get(_listed([None, *borders]), F.col("at")))
+    bucket = F.when(key.isNull(), piece(F.lit(nulls).cast("long"))).when(is_hot, first + piece(own)).otherwise(first + own)
+    d = d.select("doc_id", "text", "h", bucket.cast("int").alias("bucket"))
+    heads = sorted((r.bucket, r.x.doc, r.x.h) for r in d.groupBy("bucket").agg(F.min(F.struct(key.isNull().alias("none"), (-key).alias("down"), "h", key.alias("doc"))).alias("x")).collect())  # a row a bucket
     if not heads:
         return d.select("bucket", F.lit(False).alias("tail"), "doc_id", "text")
-    head, above = [None] * (len(borders) + 1), [None] * (len(borders) + 1)
-    for i, (b, top) in enumerate(heads):
-        head[b], above[b] = top, heads[(i + 1) % len(heads)][0]
-    of = lambda xs: F.get(F.array(*[F.lit(None).cast("long")]) if all(x is None for x in xs) else F.lit([-1 if x is None else x for x in xs]), F.col("bucket"))
-    nulls = F.lit([x is None for x in head])
-    is_head = F.when(F.get(nulls, F.col("bucket")), key.isNull()).otherwise(F.coalesce(key == of(head), F.lit(False)))
-    d = d.select("doc_id", "text", F.posexplode(F.array_compact(F.array(F.col("bucket"), F.when(is_head, of(above).cast("int"))))).alias("p", "bucket"))
-    d = d.select("bucket", (F.col("p") == 1).alias("tail"), "doc_id", "text").repartition(parts, "bucket")
-    return d.sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    size = start[-1] + hot[-1] + 1
+    head, hashes, above = [None] * size, [None] * size, [None] * size
+    for i, (b, top, h) in enumerate(heads):
+        head[b], hashes[b], above[b] = top, h, heads[(i + 1) % len(heads)][0]
+    of = lambda xs: F.get(_listed(xs), F.col("bucket"))
+    is_head = key.eqNullSafe(of(head)) & (F.col("h") == of(hashes))
+    d = d.select("doc_id", "text", "h", F.posexplode(F.array_compact(F.array(F.col("bucket"), F.when(is_head, of(above).cast("int"))))).alias("p", "bucket"))
+    d = d.select("bucket", (F.col("p") == 1).alias("tail"), "doc_id", "text", "h").repartition(parts, "bucket")
+    return d.sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), "h", "text").drop("h")
 
 
 def edited(docs: DataFrame) -> DataFrame:
