@@ -51,6 +51,11 @@ def test_json_sources_and_sinks(spark, tmp_path):
     (tmp_path / "src" / "node_modules" / "b.py").write_text("x = 1")
     (tmp_path / "src" / "c.md").write_text("x")
     assert [r.content for r in files.code_files(spark, str(tmp_path / "src"), (".py",)).collect()] == ["x = 1"]
+    below = tmp_path / "dist" / ".hidden" / "build"  # names above the root do not matter, those below it do
+    for name in ("a.PY", "sub dir/b.py", ".git2/c.py", "build/d.py", "sub dir/dist/e.py", ".f.py", ".py"):
+        (below / name).parent.mkdir(parents=True, exist_ok=True)
+        (below / name).write_text(name)
+    assert sorted(r.content for r in files.code_files(spark, str(below), (".py",)).collect()) == ["a.PY", "sub dir/b.py"]
     files.write_jsonl(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "out"))
     assert '"b":null' in "".join(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
     d = corpus.hash_split(spark.range(100), "id")

@@ -3,6 +3,7 @@ import ast
 import datetime
 import hashlib
 import os
+import random
 import re
 from collections import Counter
 
@@ -52,19 +53,31 @@ def test_packs(spark):
             pack, used = pack + 1, n
         else:
             used += 1 + n
-        want.append((i, 0, pack))
+        want.append((i, pack))
     assert got(spark, "pack_sequences") == want
 
 
-def test_packs_across_shards(spark):
-    """Each shard starts a pack of its own; nothing else changes, and no row is lost."""
-    d = spark.range(100).select(F.col("id").alias("doc_id"), F.lit(3).alias("n"))
-    one = {r.doc_id: (r.shard, r.pack) for r in arrow.pack(d, 11).collect()}
-    assert {s for s, _ in one.values()} == {0} and [one[i][1] for i in range(100)] == [i // 3 for i in range(100)]
-    many = arrow.pack(d, 11, rows=30).collect()
-    assert len(many) == 100 and len({r.shard for r in many}) == 4
-    sizes = Counter((r.shard, r.pack) for r in many)
-    assert max(sizes.values()) == 3 and sum(n < 3 for n in sizes.values()) <= 4
+@pytest.mark.parametrize(("parts", "most"), [(1, 11), (3, 11), (40, 11), (60, 300), (7, 2)])
+def test_packs_over_any_partitions(spark, parts, most):
+    """One pass over the whole table, whatever the partitions; lengths of 0, null, too long, and keys that repeat."""
+    rng = random.Random(parts)
+    rows = [(rng.choice([i, 5, None]), rng.choice([None, 0, 1, 3, 9, most, most + 50, rng.randrange(most + 1)])) for i in range(700)]
+    want, used, no = [], None, -1
+    for k, n in sorted(((k, min(n or 0, most)) for k, n in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        fits = used is not None and used + 1 + n <= most
+        used, no = (used + 1 + n, no) if fits else (n, no + 1)
+        want.append((k, no))
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = arrow.pack(spark.createDataFrame(rows, "doc_id long, n int"), most)
+        assert out.rdd.getNumPartitions() == parts
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+        assert arrow.pack(spark.createDataFrame([], "doc_id long, n int"), most).collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
 
 
 def chunks(text):
@@ -121,7 +134,9 @@ def test_every_query_is_held_against_something():
 
 def test_cron(spark):
     words = {"* * * * *": "every minute", "*/5 * * * *": "every 5 minutes", "0 * * * *": "every hour", "0 */2 * * *": "every 2 hours", "5 14 * * *": "daily at 2:05 pm", "0 0 * * *": "daily at 12:00 am", "30 6 1 7 *": "on day 1 of month 7 at 6:30", "0 9 * * 1": "weekly on Mon at 9:0", "0 9-17 * 3 2-4": "at 9-17:0"}
-    assert {k: schedule.describe(k) for k in words} == words
+    words |= {"every day": None, "": None, "0 0 * * 9": "weekly on 9 at 0:0", " 7  0 * * *": "daily at 12:07 am"}
+    rules = spark.createDataFrame([(k,) for k in words] + [(None,)], "rule string").select("rule", schedule.described(F.col("rule")).alias("said"))
+    assert {r.rule: r.said for r in rules.collect()} == words | {None: None}
     at = datetime.datetime(2024, 2, 28, 23, 58, 30)
     d = spark.createDataFrame([(at,)], "ts timestamp_ntz")
     for rule, want in {"* * * * *": (2024, 2, 28, 23, 59), "58 23 * * *": (2024, 2, 29, 23, 58), "*/5 * * * *": (2024, 2, 29, 0, 0), "0 0 29 2 *": (2024, 2, 29, 0, 0), "15 10 * * 0": (2024, 3, 3, 10, 15), "0 12 1,15 1-6 *": (2024, 3, 1, 12, 0), "0 0 31 2 *": None}.items():
@@ -140,6 +155,27 @@ def test_damped_weights(spark):
     assert all(abs(got[k] - v / sum(w.values())) < 1e-9 for k, v in w.items())
     with pytest.raises(ValueError):
         stores.damped_weights(d, near, most=2)
+    # names that no model has, null names and nulls in a weight
+    odd = near.union(spark.createDataFrame([("a", "zz", 0.99), (None, "b", 0.99), ("a", None, 0.99)], near.schema))
+    more = d.union(spark.createDataFrame([("e", None, 1000, 1.0), (None, 0.5, 1000, 1.0)], d.schema))
+    assert {r.name: r.weight for r in stores.damped_weights(more, odd).collect()} == pytest.approx({**{k: v / sum(w.values()) for k, v in w.items()}, "e": 0.0})
+
+
+def test_graph_keeps_the_ends_of_its_edges(spark):
+    entities = spark.createDataFrame([(str(i), "t", i) for i in range(6)] + [("y", "late", 50), (None, "t", 0)], "id string, type string, at long")
+    relations = spark.createDataFrame([("4", "x", "r", 10), ("x", "y", "r", 11), ("x", "y", "s", 12), ("q", "z", "r", 13), (None, "z", "r", 1)], "src string, dst string, type string, at long")
+    nodes, edges = stores.graph_of(entities, relations, 3, 2)
+    assert sorted(map(tuple, edges.collect())) == [("4", "x", "r"), ("x", "y", "s")]
+    assert sorted(map(tuple, nodes.collect())) == [("0", "t"), ("1", "t"), ("2", "t"), ("4", "t"), ("x", "unknown"), ("y", "late")]
+
+
+def test_entity_scores(spark):
+    """With scores by kind a shorter span of a larger score wins, and what it touches goes."""
+    d = spark.createDataFrame([(1, "see 'a@b.co is here' now")], "doc_id long, text string")
+    kinds = lambda **how: [(r.kind, r.entity) for r in nlp.entity_spans(d, "doc_id", **how).collect()]
+    assert kinds() == [("QUOTED_STRING", "'a@b.co is here'")]
+    assert kinds(scores={"EMAIL": 2.0}) == [("EMAIL", "a@b.co")]
+    assert kinds(scores={"QUOTED_STRING": 0.5}) == [("EMAIL", "a@b.co")]
 
 
 def test_seeded_embedding(spark):
@@ -152,6 +188,7 @@ def test_seeded_embedding(spark):
 def test_masks(spark):
     d = spark.createDataFrame([(["u", "assistant", "x", "tool", "y", "<pad>"],), ([f"t{i}" for i in range(10)],), ([],)], "tokens array<string>")
     assert [r.labels for r in arrow.mask_labels(d).collect()] == [[None, None, "x", None, "y", None], [None] * 7 + ["t7", "t8", "t9"], []]
+    assert [r.labels for r in arrow.mask_labels(d, share=0.5).collect()][1] == [None] * 5 + [f"t{i}" for i in range(5, 10)]
 
 
 def test_recursion_pattern(spark):
@@ -171,9 +208,3 @@ def test_intents(spark):
 def test_terms(spark):
     d = spark.createDataFrame([(1, "river stone river"), (2, ""), (3, None), (1, "stone")], "doc_id long, text string")
     assert sorted((r.doc_id, r.term, r.tf) for r in texts.term_vectors(d).collect()) == [(1, "river", 2), (1, "stone", 1), (1, "stone", 1)]
-
-
-def test_refusals(spark):
-    many = spark.range(1_200).select(F.col("id").cast("string").alias("task"))
-    with pytest.raises(ValueError):
-        learning.lessons_for(many, many.withColumnRenamed("task", "text"), "task", "text")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..functions.lineage import checkpointed
 from .learning import hash_embedding
 
 #: The max_length of prepare_dataset.py.
@@ -29,7 +32,7 @@ def tokenize(df: DataFrame, most: int, text: str = "text", pad: str = "<pad>") -
 
 def mask_labels(df: DataFrame, tokens: str = "tokens", marker: str = "assistant", pad: str = "<pad>", tool: str = "tool", share: float = 0.7) -> DataFrame:
     """PRJ-11 over token strings: tokens up to the last marker, tool markers and padding are masked (null); without a
-    marker, the first 70 % of the tokens."""
+    marker, the first 70 % of the tokens, or with share 0.5 the first half."""
     place = F.size(tokens) - F.array_position(F.reverse(tokens), marker)
     upto = F.when(F.array_contains(tokens, marker), place.cast("int")).otherwise(F.floor(F.size(tokens) * F.lit(share)).cast("int") - 1)
     # cut at `upto`, not asked in a lambda, which would work it out again for every token
@@ -39,28 +42,93 @@ def mask_labels(df: DataFrame, tokens: str = "tokens", marker: str = "assistant"
     return d.withColumn("labels", F.concat(masked, F.transform(rest, lambda x: F.when(~x.isin(pad, tool), x)))).drop("_upto")
 
 
-def pack(df: DataFrame, most: int, key: str = "doc_id", length: str = "n", rows: int = 1_000_000) -> DataFrame:
-    """PRJ-12: sequences join in order of their keys while they fit (a separator counts 1); longer ones are cut to `most`.
-    A pack depends on the one before it, so the table is dealt into shards of consecutive keys of about `rows` rows, each
-    read in order by one task, as a stream. Packs end with their shard: up to `rows` rows the result is that of one
-    pass, beyond, one pack in each shard may be closed early. Equal keys: by length."""
-    shards = max(1, -(-df.count() // rows))
-    d = df.select(key, length).repartitionByRange(shards, key).sortWithinPartitions(key, length).withColumn("shard", F.spark_partition_id())
+class _Fills:
+    """What a run of sequences makes of the pack that is open before it: for every fill (and for none, the first entry) the fill
+    after it and how many packs it opens. Fills that have come to be alike are carried on as one."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.fill, self.packs = np.append(most + 1, np.arange(most + 1)), np.zeros(most + 2, np.int64)
+        self.of, self.more = np.arange(most + 2), np.zeros(most + 2, np.int64)
+
+    def add(self, sizes: list[int]) -> None:
+        for i, n in enumerate(sizes):
+            fits = self.fill + 1 + n <= self.most
+            self.fill, self.packs = np.where(fits, self.fill + 1 + n, n), self.packs + ~fits
+            if len(self.fill) > 1 and i % 8 == 0:
+                self._merge()
+            if len(self.fill) == 1:  # alike, whatever came before
+                fill, packs = int(self.fill[0]), int(self.packs[0])
+                for n in sizes[i + 1 :]:
+                    if fill + 1 + n <= self.most:
+                        fill += 1 + n
+                    else:
+                        fill, packs = n, packs + 1
+                self.fill[0], self.packs[0] = fill, packs
+                return
+
+    def _merge(self) -> None:
+        fill, first, to = np.unique(self.fill, return_index=True, return_inverse=True)
+        self.more += (self.packs - self.packs[first][to])[self.of]
+        self.of, self.fill, self.packs = to[self.of], fill, self.packs[first]
+
+    def runs(self) -> list[tuple[int, int, int]]:
+        """(first entry, fill, packs) of runs of entries that end alike."""
+        fill, packs = self.fill[self.of], self.packs[self.of] + self.more
+        at = np.flatnonzero(np.append(True, (fill[1:] != fill[:-1]) | (packs[1:] != packs[:-1])))
+        return [(int(i), int(fill[i]), int(packs[i])) for i in at]
+
+
+def pack(df: DataFrame, most: int, key: str = "doc_id", length: str = "n") -> DataFrame:
+    """PRJ-12: (key, pack): sequences join in order of their keys (then lengths) while they fit (a separator counts 1); longer ones are
+    cut to `most`, null counts as 0. A pack depends on all before it, yet the result is that of one pass over the whole table,
+    however it is partitioned: each partition of consecutive keys first works out what it makes of any pack that may be open
+    before it; these steps are composed from partition to partition (some numbers each, `most` + 2 at the very most); then every
+    partition is packed by itself, from the fill and pack number that reach it."""
+    size = F.least(F.coalesce(F.col(length), F.lit(0)), F.lit(most)).cast("int")
+    # the last column deals rows that are alike
+    d = df.select(F.col(key).alias("k"), size.alias("n")).withColumn("u", F.rand(7)).repartitionByRange("k", "n", "u").sortWithinPartitions("k", "n")
+    d = checkpointed(d.drop("u")).withColumn("part", F.spark_partition_id())
+
+    def steps(batches):
+        fills, part = _Fills(most), None
+        for b in batches:
+            if len(b):
+                part = b.column(2)[0].as_py()
+                fills.add(b.column(1).to_pylist())
+        if part is not None:
+            runs = fills.runs()
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(runs), pa.int32()), *[pa.array(c, pa.int64()) for c in zip(*runs, strict=True)]], ["part", "entry", "fill", "packs"])
+
+    by: dict[int, list] = {}
+    for r in d.mapInArrow(steps, "part int, entry long, fill long, packs long").collect():
+        by.setdefault(r.part, []).append((r.entry, r.fill, r.packs))
+    starts, entry, packs = {}, 0, 0
+    for part in sorted(by):
+        starts[part] = entry - 1, packs - 1
+        runs = sorted(by[part])
+        _, fill, opened = runs[bisect.bisect_right(runs, (entry, float("inf"), 0)) - 1]
+        entry, packs = fill + 1, packs + opened
+    sent = df.sparkSession.sparkContext.broadcast(starts)
 
     def run(batches):
-        pack_no, used = -1, None
+        used, no = None, 0
         for b in batches:
-            ids, sizes, shard, out = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), []
-            for n in sizes:
-                n = min(n or 0, most)
-                if used is None or used + 1 + n > most:
-                    pack_no, used = pack_no + 1, n
-                else:
+            if not len(b):
+                continue
+            if used is None:
+                used, no = sent.value[b.column(2)[0].as_py()]
+                used = most + 1 if used < 0 else used
+            out = []
+            for n in b.column(1).to_pylist():
+                if used + 1 + n <= most:
                     used += 1 + n
-                out.append(pack_no)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(shard, pa.int32()), pa.array(out, pa.int64())], [key, "shard", "pack"])
+                else:
+                    used, no = n, no + 1
+                out.append(no)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], [key, "pack"])
 
-    return d.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, shard int, pack long")
+    return d.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, pack long")
 
 
 _BORDER = re.compile(r"^\s*(?:def|class|function|export|async|public|private|interface|fn|func)\b")

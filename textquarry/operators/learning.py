@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from .blocks import find_words, top_k_many
 
 #: Fixed value: the extensions of each language; any other is text.
 EXTENSIONS = {
@@ -70,33 +71,16 @@ def worst(breakdown: DataFrame, k: int = 5) -> DataFrame:
     return breakdown.orderBy("accuracy", "tool").limit(k)
 
 
-def _refuse(df: DataFrame, most: int) -> None:
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows to hold every row of the other table against")
-
-
-def lessons_for(tasks: DataFrame, lessons: DataFrame, task: str, *texts: str, most: int = 1_000) -> DataFrame:
-    """JOIN-07: lessons one of whose texts names the task. Tasks are broadcast; more than `most`, counted first, are refused,
-    as every lesson is held against every task."""
-    t = tasks.select(F.col(task).alias("_task")).distinct()
-    _refuse(t, most)
-    t = F.broadcast(t)
-    hit = None
-    for c in texts:
-        one = F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lower(F.col("_task")))
-        hit = one if hit is None else hit | one
-    return lessons.join(t, hit).withColumnRenamed("_task", "task")
-
-
-def recommend(options: DataFrame, memories: DataFrame, similarity: Column, key: str, k: int = 3, least: float = 0.3, most: int = 1_000, salts: int = 64) -> DataFrame:
-    """JOIN-12, TOP-04: per option the k most similar memories (of at least `least`), their mean success_rate as the
-    score (0.5 without any) and uses / 10 as confidence. Options are broadcast; more than `most`, counted first, are
-    refused. The k best are taken within salts before they meet in one task per option."""
-    _refuse(options, most)
-    d = memories.join(F.broadcast(options)).select("option", key, "success_rate", "use_count", F.round(similarity, 6).alias("_s")).filter(F.col("_s") >= least)
-    best = lambda *by: F.row_number().over(Window.partitionBy("option", *by).orderBy(F.desc("_s"), key))
-    d = d.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts))).withColumn("_r", best("_salt")).filter(F.col("_r") <= k)
-    d = d.withColumn("_r", best()).filter(F.col("_r") <= k)
+def lessons_for(tasks: DataFrame, lessons: DataFrame, task: str, *texts: str) -> DataFrame:
+    """JOIN-07: lessons one of whose texts names the task, as column `task`; any number of tasks (see blocks.find_words)."""
+    return find_words(lessons, tasks, task, *texts, out="task")
+
+
+def recommend(options: DataFrame, memories: DataFrame, key: str, k: int = 3, least: float = 0.3, vector: str = "embedding", **bounds: int) -> DataFrame:
+    """JOIN-12, TOP-04 over options (option, q) and memories (key, vector, success_rate, use_count): per option the k most similar
+    memories (of at least `least`), their mean success_rate as the score (0.5 without any) and uses / 10 as confidence.
+    Any number of options (see blocks.top_k_many)."""
+    d = top_k_many(options, memories, "option", key, k, least, "q", vector, ("success_rate", "use_count"), **bounds)
     found = d.groupBy("option").agg(F.avg("success_rate").alias("_score"), F.sum("use_count").alias("_uses"), F.count("*").alias("_n"))
     return options.select("option").join(found, "option", "left").select(
         "option", F.round(F.coalesce("_score", F.lit(0.5)), 6).alias("score"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from .texts import free_names, settled
 
 #: Keywords and patterns of each intent.
 INTENTS: dict[str, tuple[list[str], list[str]]] = {
@@ -85,12 +86,16 @@ ROUTES: list[tuple[list[list[str]], str]] = [
 ]
 
 
-def intent_scores(text: Column, rules: dict | None = None) -> Column:
-    """array<struct<score,intent>> of the intents with a score, in the order of the rules: 1.0 per keyword, 1.5 per
-    pattern, in the text without white space around it."""
-    t = S.strip(F.lower(text))
-    each = [F.struct((S.hits(t, words) + 1.5 * sum((t.rlike(p).cast("int") for p in pats), F.lit(0))).alias("score"), F.lit(name).alias("intent")) for name, (words, pats) in (rules or INTENTS).items()]
-    return F.filter(F.array(*each), lambda x: x.score > 0)
+def intent_scores(df: DataFrame, text: str, out: str, rules: dict | None = None) -> DataFrame:
+    """Add an array<struct<score,intent>> of the intents with a score, in the order of the rules: 1.0 per keyword, 1.5 per
+    pattern, in the text without white space around it. The text is prepared once, and the scores once from it."""
+    (t,) = free_names(df, "_t")
+    before = df.columns
+    df = settled(df, *before, **{t: S.strip(F.lower(F.coalesce(F.col(text), F.lit(""))))})
+    c = F.col(t)
+    each = [F.struct((S.hits(c, words) + 1.5 * sum((c.rlike(p).cast("int") for p in pats), F.lit(0))).alias("score"), F.lit(name).alias("intent")) for name, (words, pats) in (rules or INTENTS).items()]
+    df = settled(df, *before, **{out: F.array(*each)})
+    return df.withColumn(out, F.filter(out, lambda x: x.score > 0))
 
 
 def with_rules(extra: dict[str, tuple[list[str], list[str]]]) -> dict:
@@ -102,19 +107,23 @@ def intents(df: DataFrame, text: str = "text", rules: dict | None = None, least:
     """NLP-01: the intent with the largest score, raw_score, and confidence, its share of the largest score (so 1.0);
     up to three others as alternatives, whose share is at least `least`. Without a score, or with `least` over 1, it is
     general, with confidence 1.0. Ties: in the order of the rules."""
-    placed = F.transform(intent_scores(F.coalesce(F.col(text), F.lit("")), rules), lambda x, i: F.struct((-x.score).alias("minus"), i.alias("i"), x.intent.alias("intent")))
-    df = df.withColumn("_r", F.array_sort(placed))
-    first = F.get("_r", F.lit(0))
-    df = df.withColumn("_r", F.when((F.size("_r") > 0) & (F.lit(1.0) >= least), F.col("_r")).otherwise(F.slice("_r", 1, 0)))
-    shares = F.transform(F.slice("_r", 2, 3), lambda x: F.struct(x.intent.alias("intent"), F.round(x.minus / first.minus, 6).alias("confidence")))
+    (r,) = free_names(df, "_r")
+    df = intent_scores(df, text, r, rules)
+    df = settled(df, *[c for c in df.columns if c != r], **{r: F.sort_array(F.transform(r, lambda x, i: F.struct((-x.score).alias("minus"), i.alias("i"), x.intent.alias("intent"))))})
+    first = F.get(r, F.lit(0))
+    df = df.withColumn(r, F.when((F.size(r) > 0) & (F.lit(1.0) >= least), F.col(r)).otherwise(F.slice(r, 1, 0)))
+    shares = F.transform(F.slice(r, 2, 3), lambda x: F.struct(x.intent.alias("intent"), F.round(x.minus / first.minus, 6).alias("confidence")))
     return df.withColumns({
         "intent": F.coalesce(first.intent, F.lit("general")), "raw_score": F.coalesce(-first.minus, F.lit(0.0)), "confidence": F.lit(1.0),
-        "alternatives": F.filter(shares, lambda x: x.confidence >= least)}).drop("_r")
+        "alternatives": F.filter(shares, lambda x: x.confidence >= least)}).drop(r)
 
 
 def intents_multi(df: DataFrame, text: str = "text", least: float = 1.0) -> DataFrame:
     """NLP-02: one row for each intent with a score of at least `least`."""
-    return df.select("*", F.explode(intent_scores(F.coalesce(F.col(text), F.lit("")))).alias("_s")).filter(F.col("_s.score") >= least).withColumns({"intent": F.col("_s.intent"), "raw_score": F.col("_s.score")}).drop("_s")
+    (r,) = free_names(df, "_r")
+    df = intent_scores(df, text, r)
+    df = df.select(*[c for c in df.columns if c != r], F.explode(r).alias(r)).filter(F.col(f"{r}.score") >= least)
+    return df.withColumns({"intent": F.col(f"{r}.intent"), "raw_score": F.col(f"{r}.score")}).drop(r)
 
 
 def sentiment(df: DataFrame, text: str = "text") -> DataFrame:
@@ -136,30 +145,36 @@ def empathy(df: DataFrame, message: str, reply: str) -> DataFrame:
     """NLP-11: tone, dominant_emotion (frustrated, else confused for a call for help, else the first of the emotions),
     needs_empathy, said (the reply with the prefix of its tone, and reassurance for a negative message) and brief (the
     reply; for the frustrated its first paragraph)."""
-    t, answer = F.lower(F.coalesce(F.col(message), F.lit(""))), F.coalesce(F.col(reply), F.lit(""))
+    answer = F.coalesce(F.col(reply), F.lit(""))
     d = sentiment(df, message)
+    (top,) = free_names(d, "_e")
+    d = ranked_emotions(d, message, top)
     prefix = F.create_map(*[F.lit(x) for kv in PREFIXES.items() for x in kv])[F.col("tone")]
     full = F.concat(prefix, answer)
     stop = F.when(full.rlike("(?:\\. |[!?])\\z"), F.lit("")).otherwise(F.lit("."))
     sad = F.col("sentiment") == "negative"
     return d.withColumns({
-        "dominant_emotion": F.when(F.col("frustrated"), "frustrated").when(F.col("asks_help"), "confused").otherwise(F.coalesce(F.get(ranked_emotions(t), F.lit(0)).emotion, F.lit("neutral"))),
+        "dominant_emotion": F.when(F.col("frustrated"), "frustrated").when(F.col("asks_help"), "confused").otherwise(F.coalesce(F.get(top, F.lit(0)).emotion, F.lit("neutral"))),
         "needs_empathy": sad | F.col("frustrated"),
         "said": F.when(sad & (F.col("tone") == "empathetic"), F.concat(full, stop, F.lit(REASSURANCE))).otherwise(full),
         "brief": F.when(F.col("frustrated"), F.get(F.split(answer, "\n\n", 2), F.lit(0))).otherwise(answer),
-    })
+    }).drop(top)
 
 
-def ranked_emotions(t: Column) -> Column:
-    """array<struct<minus,emotion>> of the emotions that a text in lower case has, the strongest first; ties by name."""
-    each = F.array(*[F.struct((-F.round(S.hits(t, w) / len(w), 6)).alias("minus"), F.lit(e).alias("emotion")) for e, w in EMOTIONS.items()])
-    return F.array_sort(F.filter(each, lambda x: x.minus < 0))
+def ranked_emotions(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add an array<struct<minus,emotion>> of the emotions that a text has, the strongest first; ties by name."""
+    (t,) = free_names(df, "_t")
+    before = df.columns
+    df = settled(df, *before, **{t: F.lower(F.coalesce(F.col(text), F.lit("")))})
+    each = F.array(*[F.struct((-F.round(S.hits(F.col(t), w) / len(w), 6)).alias("minus"), F.lit(e).alias("emotion")) for e, w in EMOTIONS.items()])
+    df = settled(df, *before, **{out: each})
+    return df.withColumn(out, F.sort_array(F.filter(out, lambda x: x.minus < 0)))
 
 
 def emotions(df: DataFrame, key: str, text: str = "text", top: int = 3) -> DataFrame:
     """NLP-08, NLP-09: up to three emotions by hits / lexicon size; ties by name."""
-    t = F.lower(F.coalesce(F.col(text), F.lit("")))
-    d = df.select(key, F.posexplode(F.slice(ranked_emotions(t), 1, top)).alias("p", "e"))
+    d = ranked_emotions(df.select(F.col(key).alias("k"), F.col(text).alias("t")), "t", "_e")
+    d = d.select(F.col("k").alias(key), F.posexplode(F.slice("_e", 1, top)).alias("p", "e"))
     return d.select(key, (F.col("p") + 1).alias("rank"), F.col("e.emotion").alias("emotion"), (-F.col("e.minus")).alias("score"))
 
 
@@ -182,19 +197,20 @@ def entity_texts(df: DataFrame, key: str, text: str = "text", kinds: tuple[str,
     return d.groupBy(key, "kind", "entity").agg(F.count("*").alias("n"))
 
 
-def entity_spans(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """NLP-04, NLP-05, JOIN-11: spans of all kinds; of overlapping ones the longer stays, then in order of start.
-    Offsets of all matches have no built-in form, hence an Arrow function per batch."""
-    compiled = {k: re.compile(p) for k, p in ENTITIES.items()}
+def entity_spans(df: DataFrame, key: str, text: str = "text", scores: dict[str, float] | None = None) -> DataFrame:
+    """NLP-04, NLP-05, JOIN-11: spans of all kinds; of overlapping ones that of the larger score stays, then the longer, then
+    in order of start. scores: by kind, 1.0 for others. Offsets of all matches have no built-in form, hence an Arrow
+    function per batch."""
+    compiled, weight = {k: re.compile(p) for k, p in ENTITIES.items()}, scores or {}
 
     def run(batches):
         for b in batches:
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = sorted(((m.end() - m.start(), m.start(), m.end(), k, m.group()) for k, p in compiled.items() for m in p.finditer(t or "")), key=lambda x: (-x[0], x[1], x[3]))
+                found = sorted(((m.end() - m.start(), m.start(), m.end(), k, m.group()) for k, p in compiled.items() for m in p.finditer(t or "")), key=lambda x: (-weight.get(x[3], 1.0), -x[0], x[1], x[3]))
                 taken, kept = bytearray(len(t or "")), []
-                for f in found:  # a longer span never lies within a shorter one: its ends tell whether it is free
-                    if f[0] and not (taken[f[1]] or taken[f[2] - 1]):
+                for f in found:  # with equal scores a longer span never lies within a shorter one: its ends tell whether it is free
+                    if f[0] and not (taken[f[1]] or taken[f[2] - 1] or (weight and any(taken[f[1] : f[2]]))):
                         taken[f[1] : f[2]] = b"\1" * f[0]
                         kept.append(f)
                 rows += [(i, k, e, s, z) for _, s, z, k, e in sorted(kept, key=lambda x: x[1])]

@@ -39,15 +39,19 @@ def merged_maps(log: DataFrame, key: str, version: str, column: str) -> DataFram
 
 
 def graph_of(entities: DataFrame, relations: DataFrame, max_nodes: int = 10_000, max_edges: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """GRF-01 over logs (id, type, at) and (src, dst, type, at): the nodes that appear first, up to max_nodes, and the
-    edges that appear first, up to max_edges, each with the type written last; ends that nobody added are unknown. The
-    caps are the feature; what is kept is bounded by them. Equal times: by id, or by src and dst."""
-    ends = relations.select(F.col("src").alias("id"), "at").unionByName(relations.select(F.col("dst").alias("id"), "at"))
-    seen = entities.select("id", "type", "at", F.lit(True).alias("own")).unionByName(ends.select("id", F.lit("unknown").alias("type"), "at", F.lit(False).alias("own")))
-    nodes = seen.groupBy("id").agg(F.min("at").alias("_at"), F.max_by("type", F.when(F.col("own"), F.col("at"))).alias("type"))
-    nodes = nodes.orderBy("_at", "id").limit(max_nodes).select("id", F.coalesce("type", F.lit("unknown")).alias("type"))
+    """GRF-01 over logs (id, type, at) and (src, dst, type, at). Edges: those that appear first, up to max_edges, each with the
+    type written last. Nodes: those that appear first, alone or as an end of such an edge, up to max_nodes; ends of the edges are
+    nodes whatever their number, as adding an edge adds them. Ends that nobody added are unknown. The caps are the feature; what is
+    kept is bounded by them. Equal times: by id, or by src and dst; null ids are none."""
+    relations = relations.filter("src is not null and dst is not null")
     edges = relations.groupBy("src", "dst").agg(F.min("at").alias("_at"), F.max_by("type", "at").alias("type"))
-    return nodes, edges.orderBy("_at", "src", "dst").limit(max_edges).select("src", "dst", "type")
+    edges = edges.orderBy("_at", "src", "dst").limit(max_edges)
+    ends = edges.select(F.col("src").alias("id"), "_at").unionByName(edges.select(F.col("dst").alias("id"), "_at")).groupBy("id").agg(F.min("_at").alias("_end"))
+    own = entities.filter("id is not null").groupBy("id").agg(F.min("at").alias("_own"), F.max_by("type", "at").alias("type"))
+    nodes = own.join(ends, "id", "full_outer").withColumn("_at", F.least("_own", "_end"))
+    first = nodes.orderBy("_at", "id").limit(max_nodes)
+    nodes = first.unionByName(nodes.filter("_end is not null").join(first.select("id"), "id", "left_anti"))
+    return nodes.select("id", F.coalesce("type", F.lit("unknown")).alias("type")), edges.select("src", "dst", "type")
 
 
 def channel_info(messages: DataFrame, channels: DataFrame, channel: str) -> DataFrame:
@@ -67,11 +71,15 @@ def damped_weights(models: DataFrame, similar: DataFrame, least: float = 0.9, da
     """AGG-22 over (name, score, examples, overlap) and (a, b, similarity): weights score * examples / 1000 * overlap;
     pairs of very similar models, by name, pull each other towards their mean, one pair after another; then the weights
     are scaled to sum 1 (equal ones, if the sum is 0). Each pair changes what the next one sees, so one task folds
-    them: the tables list models, and more than `most` are refused."""
-    if models.count() > most:
+    them: the tables list models, and more than `most` are refused. Pairs with a name that no model has are ignored, as are
+    models without a name; of a name that repeats the smallest weight counts; a weight with a null in it is 0."""
+    weight = F.coalesce(F.col("score") * F.col("examples") / 1000.0 * F.col("overlap"), F.lit(0.0))
+    rows = models.filter("name is not null").groupBy("name").agg(F.min(weight).alias("weight")).select(F.lit(1).alias("g"), "name", "weight")
+    if rows.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} models")
-    near = similar.filter((F.col("similarity") > least) & (F.col("a") < F.col("b"))).select(F.lit(1).alias("g"), "a", "b")
-    rows = models.select(F.lit(1).alias("g"), "name", (F.col("score") * F.col("examples") / 1000.0 * F.col("overlap")).alias("weight"))
+    known = lambda c: rows.select(F.col("name").alias(c))
+    near = similar.filter((F.col("similarity") > least) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    near = near.join(known("a"), "a", "left_semi").join(known("b"), "b", "left_semi").select(F.lit(1).alias("g"), "a", "b")
 
     def fold(m: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         m = m.sort_values("name")

@@ -19,11 +19,23 @@ def keywords(c: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the frame does not have (names compare without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def settled(df: DataFrame, *kept: str, **made: Column) -> DataFrame:
     """kept columns and made ones, which are worked out once: a generator stands between them and what follows, as later
     filters and generators would else repeat their expressions."""
-    d = df.select(*kept, F.explode(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))).alias("_m"))
-    return d.select(*kept, *[F.col(f"_m.{k}").alias(k) for k in made])
+    (m,) = free_names(df, "_m")
+    d = df.select(*kept, F.explode(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))).alias(m))
+    return d.select(*kept, *[F.col(f"{m}.{k}").alias(k) for k in made])
 
 
 def term_counts(df: DataFrame, words: Column, out: str = "terms") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
-from ..operators import learning, metrics
+from ..operators import blocks, learning, metrics
 from .catalog import COS, OK, SUCCESS, on
 
 PIVOT = "SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS u, arg_min(text, turn) FILTER (WHERE role = 'assistant') AS a, arg_min(text, turn) FILTER (WHERE role = 'system') AS s FROM conversations GROUP BY 1"
@@ -72,7 +72,7 @@ RECOMMENDED = f"""WITH o AS ({OPTIONS}), s AS (SELECT option, vec_id, (vec_id %
 def _recommended(e: DataFrame) -> DataFrame:
     options = e.groupBy(F.col("label").alias("option")).agg(F.min_by("embedding", "vec_id").alias("q"))
     memories = e.select("vec_id", "embedding", (F.col("vec_id") % 10 / 10).alias("success_rate"), (F.col("vec_id") % 7).alias("use_count"))
-    return learning.recommend(options, memories, S.cosine(F.col("embedding"), F.col("q")), "vec_id")
+    return learning.recommend(options, memories, "vec_id")
 
 
 @on("embeddings", "topk_per_option", RECOMMENDED)
@@ -80,6 +80,13 @@ def _(e):
     return _recommended(e)
 
 
+@on("embeddings", "vector_topk_many", f"""SELECT q.vec_id AS query_id, e.vec_id, round({COS.format(a='q.embedding', b='e.embedding')}, 6) AS score,
+ row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS.format(a='q.embedding', b='e.embedding')}, 6) DESC, e.vec_id)::INT AS rank
+ FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 QUALIFY rank <= 5""")
+def _(e):
+    return blocks.top_k_many(e.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e, "query_id", "vec_id", 5, query_vector="q")
+
+
 @on("embeddings", "best_option", f"SELECT * FROM ({RECOMMENDED}) ORDER BY score DESC, option LIMIT 1")
 def _(e):
     return learning.best_option(_recommended(e))

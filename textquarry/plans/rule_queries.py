@@ -47,6 +47,45 @@ def _(d):
     return d.select("doc_id", texts.has_code(F.col("text"), ("```", "import ", " | ")).alias("has_code"))
 
 
+#: Advice for errors, as an operator's user would give it.
+ERRORS = {"TypeError": "check the types", "KeyError": "check the keys", "ImportError": "install it"}
+NAMED = "coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN chr(10) || 'TypeError: bad' WHEN 1 THEN ' KeyError: ' || lang WHEN 2 THEN ' OSError: x KeyError: y' ELSE ' Error: none' END"
+
+
+def _named(d):
+    i = F.col("doc_id") % 5
+    return F.concat(F.coalesce("text", F.lit("")), F.when(i == 0, F.lit("\nTypeError: bad")).when(i == 1, F.concat(F.lit(" KeyError: "), "lang")).when(i == 2, F.lit(" OSError: x KeyError: y")).otherwise(F.lit(" Error: none")))
+
+
+@on("documents", "error_advice", f"SELECT doc_id, coalesce(CASE regexp_extract(t, '([A-Za-z0-9_]+Error):', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ERRORS.items()) + f" END, 'unknown') AS advice FROM (SELECT doc_id, {NAMED} AS t FROM documents)")
+def _(d):
+    return d.select("doc_id", texts.error_type(_named(d), ERRORS).alias("advice"))
+
+
+FRAMES = f"replace(replace({NAMED}, '. ', chr(10) || '  File \"'), ', ', chr(10) || 'Exception in ')"
+
+
+@on("documents", "traceback_frames", f"""SELECT doc_id, len(list_filter(l, lambda x: regexp_matches(x, '^\\s*File \"')))::INT AS n_frames, md5(coalesce(list_filter(l, lambda x: regexp_matches(x, 'Error|Exception'))[-1], '')) AS error_line
+ FROM (SELECT doc_id, string_split({FRAMES}, chr(10)) AS l FROM documents)""")
+def _(d):
+    t = F.replace(F.replace(_named(d), F.lit(". "), F.lit('\n  File "')), F.lit(", "), F.lit("\nException in "))
+    return texts.traceback_parts(d.select("doc_id", t.alias("text"))).select("doc_id", "n_frames", F.md5(F.coalesce("error_line", F.lit(""))).alias("error_line"))
+
+
+@on("documents", "substituted", "SELECT doc_id, '[' || lang || '] ' || source || ' ' || n_chars || ' {other}' AS said FROM documents")
+def _(d):
+    return d.select("doc_id", texts.substitute(F.lit("[{lang}] {source} {n} {other}"), {"lang": F.col("lang"), "source": F.col("source"), "n": F.col("n_chars").cast("string")}).alias("said"))
+
+
+@on("conversations", "tool_call_results", """SELECT a.conv_id, a.turn, length(b.text) AS n_result FROM (SELECT * FROM conversations WHERE role = 'user') a
+ LEFT JOIN (SELECT * FROM conversations WHERE role = 'assistant') b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+def _(c):
+    key = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string")).alias("tool_call_id")
+    calls = c.filter("role = 'user'").select("conv_id", "turn", key(F.col("turn") + 1))
+    results = c.filter("role = 'assistant'").select(key(F.col("turn")), F.length("text").cast("long").alias("n_result"))
+    return conversations.tool_call_results(calls, results).drop("tool_call_id")
+
+
 # --- rules: NLP-11, PIPE-03, FLT-15 --------------------------------------------------------------------------------
 TONE = SENTIMENT.format(key="conv_id, turn, t, coalesce(text, '') AS reply", table="conversations")
 BY_EMOTION = "list_sort(list_filter([" + ", ".join(f"{{'minus': -round({sql_hits('t', w)} / {len(w)}.0::DOUBLE, 6), 'emotion': '{e}'}}" for e, w in nlp.EMOTIONS.items()) + "], lambda x: x.minus < 0))"
@@ -107,8 +146,11 @@ def _log(e):
     return stores.graph_of(entities, relations, 30, 40)
 
 
-@on("events", "graph_nodes", f"""SELECT id, coalesce(type, 'unknown') AS type FROM (SELECT id, min(pos) AS pos, arg_max(type, pos) FILTER (WHERE own) AS type FROM (
- SELECT src AS id, type, pos, true AS own FROM {LOG} WHERE type <> 'view' UNION ALL SELECT src, NULL, pos, false FROM {LOG} UNION ALL SELECT dst, NULL, pos, false FROM {LOG}) GROUP BY 1 ORDER BY 2, 1 LIMIT 30)""")
+@on("events", "graph_nodes", f"""WITH g AS (SELECT src, dst, min(pos) AS pos FROM {LOG} GROUP BY 1, 2 ORDER BY pos, 1, 2 LIMIT 40),
+ o AS (SELECT src AS id, min(pos) AS pos, arg_max(type, pos) AS type FROM {LOG} WHERE type <> 'view' GROUP BY 1),
+ e AS (SELECT id, min(pos) AS pos FROM (SELECT src AS id, pos FROM g UNION ALL SELECT dst, pos FROM g) GROUP BY 1),
+ n AS (SELECT id, type, e.pos IS NOT NULL AS is_end, row_number() OVER (ORDER BY least(o.pos, e.pos), id) AS place FROM o FULL JOIN e USING (id))
+ SELECT id, coalesce(type, 'unknown') AS type FROM n WHERE place <= 30 OR is_end""")
 def _(e):
     return _log(e)[0]
 
@@ -135,6 +177,17 @@ def _(e):
     return e.select("event_id", schedule.next_fire(F.col("ts"), "*/15 9 * * 1").alias("next_fire"))
 
 
+RULE = "CASE event_id % 8 WHEN 0 THEN '* * * * *' WHEN 1 THEN '*/' || (event_id % 30 + 1) || ' * * * *' WHEN 2 THEN '0 */' || (event_id % 11 + 1) || ' * * *' WHEN 3 THEN '0 * * * *' WHEN 4 THEN minute(ts) || ' ' || hour(ts) || ' * * *' WHEN 5 THEN minute(ts) || ' ' || hour(ts) || ' ' || day(ts) || ' ' || month(ts) || ' *' WHEN 6 THEN minute(ts) || ' ' || hour(ts) || ' * * ' || event_id % 7 ELSE '1-5 ' || hour(ts) || ' * 3 2,4' END"
+
+
+@on("events", "cron_described", f"""SELECT event_id, CASE k WHEN 0 THEN 'every minute' WHEN 1 THEN 'every ' || (event_id % 30 + 1) || ' minutes' WHEN 2 THEN 'every ' || (event_id % 11 + 1) || ' hours' WHEN 3 THEN 'every hour'
+ WHEN 4 THEN 'daily at ' || CASE WHEN h % 12 = 0 THEN 12 ELSE h % 12 END || ':' || lpad(m::VARCHAR, 2, '0') || CASE WHEN h < 12 THEN ' am' ELSE ' pm' END
+ WHEN 5 THEN 'on day ' || day(ts) || ' of month ' || month(ts) || ' at ' || h || ':' || m WHEN 6 THEN 'weekly on ' || ['Sun', 'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat'][event_id % 7 + 1] || ' at ' || h || ':' || m
+ ELSE 'at ' || h || ':1-5' END AS said FROM (SELECT *, event_id % 8 AS k, minute(ts) AS m, hour(ts) AS h FROM events)""")
+def _(e):
+    return e.select("event_id", schedule.described(F.expr(RULE)).alias("said"))
+
+
 # --- retrieval and packs: TOP-07, PIPE-12, PRJ-11, STM-07 ----------------------------------------------------------
 FOLD = f"""WITH RECURSIVE f AS (SELECT doc_id, score, length(text) AS n, row_number() OVER (ORDER BY score DESC, doc_id) AS i FROM ({{found}}) JOIN documents USING (doc_id)),
  s(i, used, took) AS (SELECT 0::BIGINT, 0::BIGINT, NULL::BIGINT UNION ALL SELECT f.i, s.used + CASE WHEN s.used + f.n <= 5000 THEN f.n ELSE 0 END, CASE WHEN s.used + f.n <= 5000 THEN f.doc_id END FROM s JOIN f ON f.i = s.i + 1)

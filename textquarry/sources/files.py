@@ -38,10 +38,17 @@ def json_folder(spark: SparkSession, path: str, glob: str = "*.json") -> DataFra
 
 
 def code_files(spark: SparkSession, path: str, extensions: tuple[str, ...], skipped: tuple[str, ...] = ("node_modules", ".git", "dist", "build")) -> DataFrame:
-    """SRC-08: path and content of files by extension, without skipped and hidden folders."""
+    """SRC-08: path and content of files by extension (upper and lower case alike), without those in skipped or hidden folders
+    below `path`; the names of the folders above it do not matter. Files whose own names begin with _ or . are not listed by
+    Spark's readers."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    depth = len([x for x in root.getFileSystem(conf).makeQualified(root).toUri().getPath().split("/") if x])
     d = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    d = d.filter(F.element_at(F.split("path", "\\."), -1).isin([e.lstrip(".") for e in extensions]))
-    return d.filter(~F.exists(F.split("path", "/"), lambda p: p.isin(list(skipped)) | (p.startswith(".") & (F.length(p) > 1))))
+    parts = F.split(F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/", ""), "/")  # folders and the file
+    name, folders = F.element_at(parts, -1), F.slice(parts, 1 + depth, F.greatest(F.size(parts) - 1 - depth, F.lit(0)))
+    d = d.filter(F.lower(F.regexp_extract(name, r"[^.]\.([^.]+)$", 1)).isin([e.lstrip(".").lower() for e in extensions]))
+    return d.filter(~F.exists(folders, lambda p: p.isin(list(skipped)) | p.startswith(".")))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
