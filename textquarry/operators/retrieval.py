@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..functions.lineage import checkpointed
+from ..functions.skew import join_dealt
 from .texts import keywords, length_of, term_counts, term_vectors
 
 
@@ -37,13 +39,61 @@ def retrieve(docs: DataFrame, query: str, k: int = 5, least: float = 0.0) -> Dat
     return d.select("doc_id", F.round(score, 6).alias("score")).filter(F.col("score") >= least).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
-def retrieve_many(queries: DataFrame, docs: DataFrame, key: str, k: int = 3, text: str = "text", salts: int = 16) -> DataFrame:
-    """PIPE-10 for a table of queries: (key, doc_id, score), the k best texts of each. Queries and texts meet by term; a
-    term that many texts have is dealt to `salts` tasks, and dots are summed before the best are taken."""
-    q = term_vectors(queries, key, text).select(key, "term", F.col("weight").alias("_w")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    d = term_vectors(docs, "doc_id", "text").select("doc_id", "term", F.col("weight").alias("_v")).withColumn("_salt", F.pmod(F.hash("doc_id"), F.lit(salts)))
-    dots = d.join(q, ["term", "_salt"]).groupBy(key, "doc_id").agg(F.round(F.sum(F.col("_w") * F.col("_v")), 6).alias("score"))
-    return dots.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "doc_id"))).filter(F.col("_r") <= k).drop("_r")
+#: Terms of the queries up to which they are broadcast to the texts.
+ASKED_TERMS = 1 << 20
+#: What rounding to six places, and the order of a sum, may move a score by.
+_SLACK = 2e-6
+
+
+def _scored(pairs: DataFrame, index: DataFrame, weights: DataFrame, key: str) -> DataFrame:
+    """(key, row, doc_id, score) of pairs (key, row): exact, from the text's own row and the query's weights."""
+    dot = F.aggregate("terms", F.lit(0.0), lambda s, x: s + x.v * F.coalesce(F.try_element_at("_w", x.term), F.lit(0.0)))
+    return pairs.join(index, "row").join(weights, key).select(key, "row", "doc_id", F.round(dot, 6).alias("score"))
+
+
+def asked_terms(queries: DataFrame, docs: DataFrame, key: str, k: int, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What retrieve_many() works with. index, written: (row, doc_id, terms), an array of (term, v) of the terms that any query has;
+    counts, written: (term, n, most), of the texts that have a term their number and the largest weight; weights: (key, a map of the
+    query's terms); terms, written: (key, term, w, rest, floor, essential). floor is the k-th best score among the texts in which a term of the query weighs
+    most, so k texts reach it. Terms that together cannot reach it are not essential: they add up to at most rest, the sum of their
+    largest contributions or, as texts have length one, the length of their weights."""
+    q = term_vectors(queries, key, text).groupBy(key, "term").agg(F.sum("weight").alias("w"))
+    q = checkpointed(q)
+    asked = q.select("term").distinct()
+    few = asked.limit(ASKED_TERMS + 1).count() <= ASKED_TERMS
+    d = term_vectors(docs.withColumn("_row", F.struct(F.monotonically_increasing_id().alias("row"), "doc_id")), "_row", "text")
+    d = d.join(F.broadcast(asked) if few else asked, "term", "left_semi")
+    d = d.groupBy("_row").agg(F.collect_list(F.struct("term", F.col("weight").alias("v"))).alias("terms"))  # a text each
+    index = checkpointed(d.select("_row.row", "_row.doc_id", "terms"))
+    posting = index.select("row", F.explode("terms").alias("x")).select("row", "x.term", "x.v")
+    counts = checkpointed(posting.groupBy("term").agg(F.count("*").alias("n"), F.max("v").alias("most")))
+    weights = q.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("_w"))  # the terms of one query
+    best = posting.withColumn("_r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("v"), "row"))).filter(F.col("_r") <= k)
+    seeds = _scored(best.join(q, "term").select(key, "row").distinct(), index, weights, key)
+    seeds = seeds.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "row"))).filter(F.col("_r") == k)
+    t = q.join(counts, "term").withColumn("_u", F.col("w") * F.col("most")).join(seeds.select(key, F.col("score").alias("floor")), key, "left").fillna(0.0, ["floor"])
+    by = Window.partitionBy(key)  # the terms of one query
+    upto = by.orderBy("_u", "term").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("_reach", F.least(F.sum("_u").over(upto), F.sqrt(F.sum(F.col("w") * F.col("w")).over(upto))))
+    t = t.withColumn("essential", F.col("_reach") >= F.col("floor") - _SLACK)
+    t = t.withColumn("rest", F.coalesce(F.max(F.when(~F.col("essential"), F.col("_reach"))).over(by), F.lit(0.0)))
+    return index, counts, weights, checkpointed(t.select(key, "term", "w", "rest", "floor", "essential"))
+
+
+def retrieve_many(queries: DataFrame, docs: DataFrame, key: str, k: int = 3, text: str = "text") -> DataFrame:
+    """PIPE-10 for a table of queries: (key, doc_id, score), the k best texts of each, ties by doc_id. An inverted index with the largest
+    weight of each term tells which terms of a query are essential: only texts that have one of them are met, by term, the frequent terms dealt to many
+    tasks; those whose essential terms and the most of all others stay below the k-th score known are dropped; the rest get their exact
+    score from their own row. Rows that share a doc_id are texts of their own. Null keys and texts without a keyword find nothing."""
+    index, counts, weights, terms = asked_terms(queries, docs, key, k, text)
+    posting = index.select("row", F.explode("terms").alias("x")).select("row", "x.term", "x.v")
+    essential = terms.filter("essential").drop("essential")
+    used = checkpointed(counts.join(essential.select("term").distinct(), "term", "left_semi").select("term", "n"))
+    met = join_dealt(posting, essential, used, "term", "row")
+    met = met.groupBy(key, "row").agg(F.sum(F.col("w") * F.col("v")).alias("_part"), F.first("rest").alias("rest"), F.first("floor").alias("floor"))
+    met = met.filter(F.col("_part") + F.col("rest") >= F.col("floor") - _SLACK).select(key, "row")
+    found = _scored(met, index, weights, key).drop("row")
+    return found.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "doc_id"))).filter(F.col("_r") <= k).drop("_r")
 
 
 def budget_context(found: DataFrame, docs: DataFrame, budget: int) -> DataFrame:
