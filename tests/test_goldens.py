@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import scores as S
 from textquarry.operators import arrow, conversations, corpus, metrics, nlp, retrieval, texts
-from textquarry.sources import files
+from textquarry.sources import files, json_arrays
 from textquarry.streaming import state
 
 
@@ -45,7 +45,7 @@ def test_json_sources_and_sinks(spark, tmp_path):
     (tmp_path / "in" / "other.txt").write_text("x")
     assert files.json_folder(spark, str(tmp_path / "in"), "session_*.json").count() == 1
     (tmp_path / "all.json").write_text(json.dumps([{"id": 1}, {"id": 2}]))
-    assert files.json_array(spark, str(tmp_path / "all.json")).count() == 2
+    assert json_arrays.json_array(spark, str(tmp_path / "all.json")).count() == 2
     (tmp_path / "src" / "node_modules").mkdir(parents=True)
     (tmp_path / "src" / "a.py").write_text("x = 1")
     (tmp_path / "src" / "node_modules" / "b.py").write_text("x = 1")

@@ -1,4 +1,4 @@
-"""Readers and writers (SRC-01..10, SNK-01..05, SNK-07)."""
+"""Readers and writers (SRC-01..04, 06, 08..10, SNK-01..05, SNK-07); JSON arrays and SQLite have modules of their own."""
 
 from __future__ import annotations
 
@@ -27,11 +27,6 @@ def jsonl(spark: SparkSession, paths: str | list[str], mode: str = "lenient") ->
     return spark.read.option("mode", "FAILFAST" if mode == "strict" else "PERMISSIVE").json(paths)
 
 
-def json_array(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-05."""
-    return spark.read.option("multiLine", True).json(path)
-
-
 def json_folder(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """SRC-06: a record per file; malformed files are skipped."""
     return spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", glob).json(path)
