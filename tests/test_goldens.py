@@ -47,10 +47,10 @@ def test_json_sources_and_sinks(spark, tmp_path):
     (tmp_path / "all.json").write_text(json.dumps([{"id": 1}, {"id": 2}]))
     assert json_arrays.json_array(spark, str(tmp_path / "all.json")).count() == 2
     (tmp_path / "src" / "node_modules").mkdir(parents=True)
-    (tmp_path / "src" / "a.py").write_text("x = 1")
+    (tmp_path / "src" / "a.py").write_text("x = 1\ny = 2\n")
     (tmp_path / "src" / "node_modules" / "b.py").write_text("x = 1")
     (tmp_path / "src" / "c.md").write_text("x")
-    assert [r.content for r in files.code_files(spark, str(tmp_path / "src"), (".py",)).collect()] == ["x = 1"]
+    assert [r.content for r in files.code_files(spark, str(tmp_path / "src"), (".py",)).collect()] == ["x = 1\ny = 2\n"]  # a row a file
     below = tmp_path / "dist" / ".hidden" / "build"  # names above the root do not matter, those below it do
     for name in ("a.PY", "sub dir/b.py", ".git2/c.py", "build/d.py", "sub dir/dist/e.py", ".f.py", ".py"):
         (below / name).parent.mkdir(parents=True, exist_ok=True)

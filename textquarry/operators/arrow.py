@@ -5,15 +5,17 @@ from __future__ import annotations
 import ast
 import bisect
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.lineage import checkpointed
-from .learning import hash_embedding
+from ..sources import files
+from .learning import hash_embedding, language_of_path
 
 #: The max_length of prepare_dataset.py.
 MAX_LENGTH = 4096
@@ -134,28 +136,55 @@ def pack(df: DataFrame, most: int, key: str = "doc_id", length: str = "n") -> Da
 _BORDER = re.compile(r"^\s*(?:def|class|function|export|async|public|private|interface|fn|func)\b")
 
 
+def chunks_of(text: str | None, size: int = 2000, least: int = 4, border_after: int = 5) -> Iterator[tuple[int, int, str]]:
+    """PIPE-11: (first line, last line, content) of a text's chunks; one ends when it exceeds `size` characters, or before a definition
+    once it has more than `border_after` lines; chunks under `least` lines are dropped."""
+    held, first, chars = [], 1, 0
+    for no, line in enumerate([*(text or "").split("\n"), None], 1):
+        if held and (line is None or chars + len(line) > size or (_BORDER.match(line) and len(held) > border_after)):
+            if len(held) >= least:
+                yield first, no - 1, "\n".join(held)
+            held, first, chars = [], no, 0
+        if line is not None:
+            held.append(line)
+            chars += len(line) + 1
+
+
 def chunk_code(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2000, least: int = 4, border_after: int = 5) -> DataFrame:
-    """PIPE-11: chunks of lines; one ends when it exceeds `size` characters, or before a definition once it has more
-    than `border_after` lines; chunks under `least` lines are dropped."""
+    """PIPE-11: (key, start_line, end_line, content) of the chunks of every text."""
     def run(batches):
         for b in batches:
-            rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held, first, chars = [], 1, 0
-                for no, line in enumerate([*(t or "").split("\n"), None], 1):
-                    if held and (line is None or chars + len(line) > size or (_BORDER.match(line) and len(held) > border_after)):
-                        if len(held) >= least:
-                            rows.append((i, first, no - 1, "\n".join(held)))
-                        held, first, chars = [], no, 0
-                    if line is not None:
-                        held.append(line)
-                        chars += len(line) + 1
+            rows = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in chunks_of(t, size, least, border_after)]
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, [b.schema.field(0).type, pa.int32(), pa.int32(), pa.string()], strict=True)], [key, "start_line", "end_line", "content"])
 
     return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, start_line int, end_line int, content string")
 
 
+#: Fixed value: the extensions of code that is indexed.
+CODE = (".ts", ".tsx", ".js", ".jsx", ".py", ".go", ".rs", ".java", ".c", ".cpp", ".h", ".hpp", ".cs", ".rb", ".php", ".swift", ".kt", ".scala", ".vue", ".svelte", ".json", ".yaml", ".yml", ".md", ".txt", ".sh", ".bash", ".zsh")
+
+
+class CodeChunks:
+    """The table function behind index_code()."""
+
+    def eval(self, content: str) -> Iterator[tuple[int, int, str]]:
+        yield from chunks_of(content)
+
+
+def index_code(spark: SparkSession, path: str, extensions: tuple[str, ...] = CODE) -> DataFrame:
+    """PIPE-11: (path, language, start_line, end_line, content) of all chunks of the code below a folder: a walk, and a table function
+    called for each file by a lateral join."""
+    found = files.code_files(spark, path, extensions)
+    chunk = F.udtf(CodeChunks, returnType="start_line int, end_line int, content string")
+    return found.alias("f").lateralJoin(chunk(F.col("f.content").outer()).alias("c")).select("f.path", language_of_path(F.col("f.path")).alias("language"), "c.start_line", "c.end_line", "c.content")
+
+
+def find_code(spark: SparkSession, path: str, query: str, k: int = 10, extensions: tuple[str, ...] = CODE) -> DataFrame:
+    """PIPE-11 as one query: walk, chunk, embed, and the k chunks nearest to what is asked."""
+    return search_code(index_code(spark, path, extensions), query, k)
+
+
 def search_code(chunks: DataFrame, query: str, k: int = 10, size: int = 256) -> DataFrame:
     """PIPE-11: the k chunks whose hash embedding has the largest cosine with the query's; ties by key and line. A scan
     with a top-k, no join."""

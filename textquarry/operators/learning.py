@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..functions.lineage import checkpointed
 from .blocks import find_words, top_k_many
 
 #: Fixed value: the extensions of each language; any other is text.
@@ -254,18 +255,88 @@ def reflect(calls: DataFrame, key: str, ok: Column, response: Column, least: flo
     return d.withColumn("needs_reflection", (F.col("failed_calls") > 0) | (F.col("confidence") < least) | (F.col("response_length") < 20))
 
 
+def _fills(times: np.ndarray, life: int) -> np.ndarray:
+    """For each request, if it fills the cache: the last fill that follows from it within these times (sorted)."""
+    out = times.copy()
+    following = np.searchsorted(times, times + life, "left")
+    for i in range(len(times) - 1, -1, -1):
+        if following[i] < len(times):
+            out[i] = out[following[i]]
+    return out
+
+
 def ttl_cache(df: DataFrame, key: str, ts: str, seconds: int = 300) -> DataFrame:
-    """STM-07: whether each request finds a fresh entry; a hit does not renew it. A pause as long as the lifetime
-    always ends with a fill, so requests are folded between such pauses only."""
-    micros, life = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
-    w = Window.partitionBy(key).orderBy("_t")
-    d = df.select(key, micros.alias("_t")).withColumn("_new", F.coalesce(F.col("_t") - F.lag("_t").over(w) >= life, F.lit(True)).cast("int"))
-    d = d.withColumn("_seg", F.sum("_new").over(w)).groupBy(key, "_seg").agg(F.array_sort(F.collect_list("_t")).alias("x"))
-    start = F.struct(F.lit(None).cast("bigint").alias("at"), F.array().cast("array<struct<t:bigint,hit:boolean>>").alias("out"))
-    fresh = lambda a, t: F.coalesce(t - a.at < life, F.lit(False))
-    step = lambda a, t: F.struct(F.when(fresh(a, t), a.at).otherwise(t).alias("at"), F.array_append(a.out, F.struct(t.alias("t"), fresh(a, t).alias("hit"))).alias("out"))
-    d = d.select(key, F.explode(F.aggregate("x", start, step, lambda a: a.out)).alias("y"))
-    return d.select(key, F.timestamp_micros("y.t").alias(ts), F.col("y.hit").alias("hit"))
+    """STM-07: whether each request finds a fresh entry; a hit does not renew it. Requests are dealt by ranges of key and time. What a
+    range makes of the fill that reaches it from the range before is a step function (which request is the first to find the entry stale decides
+    all that follows); these are composed from range to range for keys that lie in several, and then each range is read by itself. So a hot key
+    is spread over its ranges, without a list of its requests. A request without a time is no hit and fills nothing."""
+    life = seconds * 1_000_000
+    rows = df.select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
+    d = rows.filter("t is not null").withColumn("u", F.rand(7)).repartitionByRange("k", "t", "u").sortWithinPartitions("k", "t")
+    d = checkpointed(d.drop("u")).withColumn("part", F.spark_partition_id())
+    kind = df.schema[key].dataType.simpleString()
+
+    def runs(b):
+        """(keys, times, borders) of a batch: where each key begins."""
+        code = b.column(0).dictionary_encode("encode").indices.to_numpy()
+        return b.column(0), b.column(1).to_numpy(), np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else []
+
+    def ends(batches):
+        """The range's first key with its step function (fill from, fill after), and its last key with its last fill."""
+        first, times, last, fill, part = None, [], None, None, None
+        for b in batches:
+            keys, t, cuts = runs(b)
+            for i, j in zip(cuts, np.append(cuts[1:], len(t))):
+                k = keys[int(i)].as_py()
+                if part is None:
+                    first, part = k, b.column(2)[0].as_py()
+                if k == first and last is None:
+                    times.append(t[i:j])
+                    continue
+                if last is None or k != last[0]:
+                    last, fill = (k,), None
+                own = t[i:j]
+                at = 0 if fill is None else int(np.searchsorted(own, fill + life, "left"))
+                fill = fill if at == len(own) else int(_fills(own[at:], life)[0])
+        if part is not None:
+            t = np.concatenate(times)
+            after = _fills(t, life)
+            at = np.flatnonzero(np.append(True, after[1:] != after[:-1]))
+            cols = [pa.array([part], pa.int32()), pa.array([first], b.schema.field(0).type), pa.array([last is None]), pa.array([None if last is None else last[0]], b.schema.field(0).type), pa.array([fill], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([t[np.append(at[1:], len(t)) - 1].tolist()], pa.list_(pa.int64())), pa.array([after[at].tolist()], pa.list_(pa.int64()))], ["part", "first", "one", "last", "fill", "upto", "after"])
+
+    starts: dict[int, int | None] = {}
+    now, fill = (), None
+    for r in sorted(d.mapInArrow(ends, f"part int, first {kind}, one boolean, last {kind}, fill long, upto array<long>, after array<long>").collect(), key=lambda r: r.part):  # a row a range
+        starts[r.part] = fill if now == (r.first,) else None
+        if not r.one:
+            now, fill = (r.last,), r.fill
+            continue
+        place = 0 if starts[r.part] is None else int(np.searchsorted(np.array(r.upto), starts[r.part] + life, "left"))
+        fill = starts[r.part] if place == len(r.upto) else r.after[place]
+        now = (r.first,)
+    sent = df.sparkSession.sparkContext.broadcast(starts)
+
+    def hits(batches):
+        held, at = None, None
+        for b in batches:
+            if not len(b):
+                continue
+            if held is None:
+                held, at = (b.column(0)[0].as_py(),), sent.value[b.column(2)[0].as_py()]
+            keys, t, cuts = runs(b)
+            out = []
+            for i, j in zip(cuts, np.append(cuts[1:], len(t))):
+                if (k := (keys[int(i)].as_py(),)) != held:
+                    held, at = k, None
+                for x in t[i:j].tolist():
+                    hit = at is not None and x - at < life
+                    at = at if hit else x
+                    out.append(hit)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["k", "t", "hit"])
+
+    out = d.mapInArrow(hits, f"k {kind}, t long, hit boolean").unionByName(rows.filter("t is null").withColumn("hit", F.lit(False)))
+    return out.select(F.col("k").alias(key), F.timestamp_micros("t").alias(ts), "hit")
 
 
 def due(schedules: DataFrame, key: str, now: str) -> DataFrame:

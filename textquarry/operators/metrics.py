@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..functions.lineage import checkpointed
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -42,11 +43,16 @@ def period_summary(df: DataFrame, kinds: list[str], kind: str = "event_type", va
 
 
 def sessions(df: DataFrame, key: str = "user_id", ts: str = "ts", minutes: int = 60) -> DataFrame:
-    """STM-02: a session ends when the next event comes more than `minutes` later (strict, Q25)."""
-    w = Window.partitionBy(key).orderBy(ts)
-    gap = F.expr(f"coalesce(timestampdiff(MICROSECOND, lag({ts}) over (partition by {key} order by {ts}), {ts}) > {minutes * 60_000_000}, true)")
-    d = df.select(key, ts, gap.cast("int").alias("_new")).withColumn("session", F.sum("_new").over(w))
-    return d.groupBy(key, "session").agg(F.count("*").alias("n"), F.min(ts).alias("started"), F.max(ts).alias("ended"))
+    """STM-02: a session ends when the next event comes more than `minutes` later (strict, Q25). Events meet by key and day; what a
+    day holds comes down to a row a session before the days of a key are put together, so a hot key is spread over its days.
+    Events without a time are one session, the first."""
+    wide = lambda a, b: F.expr(f"coalesce(timestampdiff(MICROSECOND, {a}, {b}) > {minutes * 60_000_000}, true)").cast("int")
+    day = Window.partitionBy(key, "_day").orderBy("_t")
+    d = df.select(key, F.col(ts).alias("_t"), F.to_date(ts).alias("_day")).withColumn("_before", F.lag("_t").over(day))
+    d = d.withColumn("_part", F.sum(wide("_before", "_t")).over(day)).groupBy(key, "_day", "_part").agg(F.count("*").alias("n"), F.min("_t").alias("started"), F.max("_t").alias("ended"))
+    whole = Window.partitionBy(key).orderBy("_day", "_part")
+    d = d.withColumn("_before", F.lag("ended").over(whole)).withColumn("session", F.sum(wide("_before", "started")).over(whole))
+    return d.groupBy(key, "session").agg(F.sum("n").alias("n"), F.min("started").alias("started"), F.max("ended").alias("ended"))
 
 
 def evict(df: DataFrame, key: str, ts: str, most: int) -> DataFrame:
@@ -66,9 +72,17 @@ def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 
 def running_mean(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """AGG-15, STM-05."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select(key, order, F.round(F.avg(value).over(w), 9).alias("running_mean"))
+    """AGG-15, STM-05. Rows are dealt by ranges of key and order; each range has the means of its own rows, to which the sums of the
+    ranges of its key before it are added, a row a range. So a hot key is spread over its ranges."""
+    d = df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
+    d = checkpointed(d.repartitionByRange("k", "o").sortWithinPartitions("k", "o")).withColumn("part", F.spark_partition_id())
+    own = Window.partitionBy("k", "part").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
+    sums = d.groupBy(F.col("k").alias("_k"), F.col("part").alias("_part")).agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("s"), F.count("v").alias("n"))
+    ahead = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_k", "_part", F.coalesce(F.sum("s").over(ahead), F.lit(0.0)).alias("s"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n"))
+    d = d.select("k", "part", "o", F.coalesce(F.sum("v").over(own), F.lit(0.0)).alias("x"), F.count("v").over(own).alias("y"))
+    d = d.join(sums, d["k"].eqNullSafe(sums["_k"]) & (d["part"] == sums["_part"]))
+    return d.select(F.col("k").alias(key), F.col("o").alias(order), F.round(F.try_divide(F.col("x") + F.col("s"), F.col("y") + F.col("n")), 9).alias("running_mean"))
 
 
 def top_by_rate(df: DataFrame, key: str, k: int, least: float) -> DataFrame:
@@ -136,7 +150,13 @@ def cron_matches(df: DataFrame, ts: str, minute: str, hour: str, weekday: str) -
 
 
 def demand(df: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
-    """WIN-11: requests of a key within the last `seconds`, denied ones included (Q23)."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
-    return df.select(key, ts, F.count("*").over(w).alias("in_window"))
+    """WIN-11: requests of a key within the last `seconds`, denied ones included (Q23). Requests meet by key and block of time; the last
+    ones of a block also go to the next block, where they are counted but not returned. So a hot key is spread over its blocks."""
+    back, block = seconds * 1_000_000, max(seconds, 3_600) * 1_000_000
+    d = df.select(key, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"))
+    d = d.withColumn("_block", F.expr(f"(_at - pmod(_at, {block})) div {block}"))
+    near = F.when(F.col("_at") >= (F.col("_block") + 1) * block - back, F.struct((F.col("_block") + 1).alias("b"), F.lit(False).alias("own")))
+    d = d.select(key, ts, "_at", F.explode(F.array_compact(F.array(F.struct(F.col("_block").alias("b"), F.lit(True).alias("own")), near))).alias("_x"))
+    w = Window.partitionBy(key, "_b").orderBy("_at").rangeBetween(-back, 0)
+    d = d.select(key, ts, "_at", F.col("_x.b").alias("_b"), F.col("_x.own").alias("_own"))
+    return d.withColumn("in_window", F.count("*").over(w)).filter("_own").select(key, ts, "in_window")

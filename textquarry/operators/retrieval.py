@@ -133,11 +133,17 @@ def similar_nodes(edges: DataFrame, node, k: int = 5) -> DataFrame:
 
 
 def subgraph(edges: DataFrame, seed, depth: int) -> DataFrame:
-    """GRF-04: edges among the nodes within `depth` steps along the edges."""
-    e = edges.select("src", "dst").distinct()
-    seen = e.sparkSession.createDataFrame([(seed,)], e.select(F.col("src").alias("node")).schema)
+    """GRF-04: edges among the nodes within `depth` steps along the edges. Each step follows the edges of the nodes that the step before
+    found first, those of hubs dealt to many tasks, and is written, so that neither plan nor work grows with what was seen."""
+    e = checkpointed(edges.select("src", "dst").distinct())
+    degree = checkpointed(e.groupBy("src").agg(F.count("*").alias("n")))
+    seen = front = e.sparkSession.createDataFrame([(seed,)], e.select(F.col("src").alias("node")).schema)
     for _ in range(depth):
-        seen = seen.union(e.join(seen, e["src"] == seen["node"]).select(F.col("dst").alias("node"))).distinct()
+        found = join_dealt(e, front.select(F.col("node").alias("src")), degree, "src", "dst").select(F.col("dst").alias("node")).filter("node is not null").distinct()
+        front = checkpointed(found.join(seen, "node", "left_anti"))
+        if front.isEmpty():
+            break
+        seen = checkpointed(seen.union(front))
     return e.join(seen.select(F.col("node").alias("src")), "src", "left_semi").join(seen.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 

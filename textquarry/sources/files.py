@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Fixed value: folders that hold no code of a project's own; hidden ones are skipped besides.
+SKIPPED = ("node_modules", ".git", "dist", "build", "out", "__pycache__", ".next", ".nuxt", ".svelte-kit", "coverage", ".cache", ".venv", "venv", "env", ".env", "vendor")
+
+
 def lenient(values: DataFrame, column: str = "value") -> DataFrame:
     """SRC-01: JSON lines as VARIANT; blank and malformed lines are skipped."""
     d = values.filter(F.col(column).rlike("\\S")).withColumn("record", F.try_parse_json(column))
@@ -32,14 +36,14 @@ def json_folder(spark: SparkSession, path: str, glob: str = "*.json") -> DataFra
     return spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", glob).json(path)
 
 
-def code_files(spark: SparkSession, path: str, extensions: tuple[str, ...], skipped: tuple[str, ...] = ("node_modules", ".git", "dist", "build")) -> DataFrame:
+def code_files(spark: SparkSession, path: str, extensions: tuple[str, ...], skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
     """SRC-08: path and content of files by extension (upper and lower case alike), without those in skipped or hidden folders
     below `path`; the names of the folders above it do not matter. Files whose own names begin with _ or . are not listed by
     Spark's readers."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(path)
     depth = len([x for x in root.getFileSystem(conf).makeQualified(root).toUri().getPath().split("/") if x])
-    d = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    d = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     parts = F.split(F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/", ""), "/")  # folders and the file
     name, folders = F.element_at(parts, -1), F.slice(parts, 1 + depth, F.greatest(F.size(parts) - 1 - depth, F.lit(0)))
     d = d.filter(F.lower(F.regexp_extract(name, r"[^.]\.([^.]+)$", 1)).isin([e.lstrip(".").lower() for e in extensions]))
