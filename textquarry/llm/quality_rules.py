@@ -15,7 +15,12 @@ is left after TERMS terms is bounded from above by a geometric series, which kee
 
 Null text has no words and fails the base rules. A null language is a stratum of its own; strata are counted over the
 holdout. Conflicting labels of a document count as quality 0, labels without doc_id or quality do not count. Repeated
-rows are judged alike, and count as often as they occur. An empty table gives no row. Extra columns are not read.
+rows are judged alike, and count as often as they occur. An empty table gives no row. Extra columns are not read. Very long texts are
+counted whole.
+
+Two limits of the guarantee. Copies of one text count as trials of their own, as the test draws documents and not texts: where copies are
+frequent, the bound is surer of itself than it should be. And where more than TERMS good documents are rejected at one step, the bounded rest may
+stop the path a step before its SQL, which sums all terms, does; never after it.
 """
 
 from __future__ import annotations

@@ -12,10 +12,11 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where the vocabulary file of a public tokenizer lies; elsewhere its path is a parameter of the operator."""
     try:
         import public_tokenizers
-    except ImportError:
-        return f"/opt/tokenizers/{name}"
+    except ImportError as e:
+        raise RuntimeError(f"the package public_tokenizers, which has {name}, is not installed: give the path of a vocabulary file to bpe.digests()") from e
     return public_tokenizers.path(name)
 
 
