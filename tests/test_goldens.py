@@ -64,6 +64,16 @@ def test_json_sources_and_sinks(spark, tmp_path):
     assert files.synthetic(spark, 5, {"x": ["a", "b"]}).collect() == files.synthetic(spark, 5, {"x": ["a", "b"]}).collect()
 
 
+def test_newest_records_first(spark, tmp_path):
+    import os
+
+    for i, (name, at) in enumerate({"b.json": 1_000_000, "a.json": 2_000_000, "c.json": 2_000_000, "d.txt": 3_000_000}.items()):
+        (tmp_path / name).write_text(json.dumps({"id": i}))
+        os.utime(tmp_path / name, (at, at))
+    (tmp_path / "broken.json").write_text("{")
+    assert [r.id for r in files.newest_records(spark, str(tmp_path)).collect() if r.id is not None] == [1, 2, 0]
+
+
 def test_corrections(spark):
     d = spark.createDataFrame([("correction", "m", "r", {"corrected_response": "c"}), ("correction", "m2", "r2", {}), ("thumbs_up", "x", "y", {})], "feedback_type string, message string, response string, metadata map<string,string>")
     assert [tuple(r) for r in files.corrections(d).collect()] == [("m", "c"), ("m2", "r2")]

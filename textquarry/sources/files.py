@@ -36,6 +36,13 @@ def json_folder(spark: SparkSession, path: str, glob: str = "*.json") -> DataFra
     return spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", glob).json(path)
 
 
+def newest_records(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """TOP-08: the records of json_folder() with the time their file was last written, the newest first; files of one time by path."""
+    d = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", glob).json(path)
+    d = d.withColumns({"modified": F.col("_metadata.file_modification_time"), "file": F.col("_metadata.file_path")})
+    return d.orderBy(F.desc("modified"), "file")
+
+
 def code_files(spark: SparkSession, path: str, extensions: tuple[str, ...], skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
     """SRC-08: path and content of files by extension (upper and lower case alike), without those in skipped or hidden folders
     below `path`; the names of the folders above it do not matter. Files whose own names begin with _ or . are not listed by
