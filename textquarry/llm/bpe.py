@@ -6,8 +6,8 @@ that prefix: the one whose left neighbour (the stored last token of the prefix b
 the merges would not have joined otherwise. Back-pointers then give the ids. This takes linear time for
 any text, while applying merges in rank order takes longer on long pre-tokens.
 
-Null text encodes as the empty text. Repeated rows encode alike; extra columns stay as they are. Very long texts are encoded whole, in
-slices that end where pre-tokens do. An empty table gives no row.
+Null text encodes as the empty text. Repeated rows encode alike; extra columns stay as they are. Very long texts are encoded whole. An
+empty table gives no row.
 """
 
 from __future__ import annotations
