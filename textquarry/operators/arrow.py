@@ -17,7 +17,7 @@ from ..functions.lineage import checkpointed
 from ..sources import files
 from .learning import hash_embedding, language_of_path
 
-#: The max_length of prepare_dataset.py.
+#: Tokens of a text at most, where nothing else is said.
 MAX_LENGTH = 4096
 
 
