@@ -32,6 +32,8 @@ def test_lenient_and_strict_jsonl(spark, tmp_path):
     f = tmp_path / "a.jsonl"
     f.write_text('{"a": 1}\n\n  \nnot json\n{"b": {"c": "x"}}\n')
     assert files.jsonl(spark, [str(f), str(tmp_path / "missing.jsonl")]).count() == 2
+    inferred = files.jsonl(spark, str(f), "inferred")
+    assert {"a", "b"} <= set(inferred.columns) and [r.a for r in inferred.collect() if r.a is not None] == [1]
     try:
         files.jsonl(spark, str(f), "strict").collect()
         raise AssertionError("a bad line must raise")

@@ -100,6 +100,17 @@ def conversation_quality(c: DataFrame) -> DataFrame:
         F.round(S.ratio(F.col("glad"), n) * 0.5 + F.least(n, F.lit(20)) / 20 * 0.5, 6).alias("satisfaction"))
 
 
+def turn_checks(turns: DataFrame, key: str = "conv_id", long: int = 200) -> DataFrame:
+    """ARR-01: over the turns of a conversation as an array: whether any asks, whether all say something, how many are long, and how many
+    characters the roles have in all. A null text is empty."""
+    t = turns.select(key, F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")).alias("t")).groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    chars = lambda role: F.aggregate(F.filter("ts", lambda x: x.role == role), F.lit(0).cast("long"), lambda n, x: n + F.length(x.text))
+    return t.select(
+        key, F.exists("ts", lambda x: F.contains(x.text, F.lit("?"))).alias("any_question"), F.forall("ts", lambda x: S.non_blank(x.text)).alias("all_say"),
+        F.size(F.filter("ts", lambda x: F.length(x.text) > long)).alias("n_long"), chars("user").alias("user_chars"), chars("assistant").alias("assistant_chars"),
+        F.array_join(F.transform("ts", lambda x: F.substring(x.role, 1, 1)), "").alias("roles"))
+
+
 def tool_call_results(calls: DataFrame, results: DataFrame) -> DataFrame:
     """JOIN-13: calls with their results; calls without one have a null result."""
     return calls.join(results, "tool_call_id", "left")

@@ -78,3 +78,13 @@ def tool_defaults(df: DataFrame) -> DataFrame:
 def last_n(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """WIN-01."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter(F.col("_r") <= n).drop("_r")
+
+
+def union_all(**parts: DataFrame) -> DataFrame:
+    """SET-01: all rows of the datasets, with the name of theirs as column `dataset`; columns are matched by name, and null where a dataset
+    lacks them."""
+    out = None
+    for name, df in parts.items():
+        df = df.withColumn("dataset", F.lit(name))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out

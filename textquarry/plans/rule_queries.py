@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import arrow, conversations, nlp, retrieval, schedule, stores, texts
+from ..operators import arrow, conversations, corpus, nlp, retrieval, schedule, stores, texts
 from .catalog import ASK, DONE_BY_TESTS, KEYWORDS, SENTIMENT, T, TERMS, on, sql_any, sql_count, sql_hits, sql_re
 
 quoted = lambda x: "'" + x.replace("'", "''") + "'"
@@ -86,6 +86,20 @@ def _(c):
     return conversations.tool_call_results(calls, results).drop("tool_call_id")
 
 
+@on("documents pages benchmark", "union_sources", """SELECT dataset, count(*) AS n, count(lang) AS n_lang, sum(length(coalesce(text, '')))::BIGINT AS n_chars FROM (SELECT 'documents' AS dataset, lang, text FROM documents
+ UNION ALL SELECT 'pages', NULL, html FROM pages UNION ALL SELECT 'benchmark', NULL, text FROM benchmark) GROUP BY 1""")
+def _(d, p, b):
+    every = corpus.union_all(documents=d.select("doc_id", "lang", "text"), pages=p.select("page_id", F.col("html").alias("text")), benchmark=b.select("text", "item_id"))
+    return every.groupBy("dataset").agg(F.count("*").alias("n"), F.count("lang").alias("n_lang"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n_chars"))
+
+
+@on("conversations", "turn_checks", """SELECT conv_id, bool_or(contains(t, '?')) AS any_question, bool_and(regexp_matches(t, '\\S')) AS all_say, (count(*) FILTER (WHERE length(t) > 200))::INT AS n_long,
+ coalesce(sum(length(t)) FILTER (WHERE role = 'user'), 0)::BIGINT AS user_chars, coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS assistant_chars, string_agg(role[1], '' ORDER BY turn, role, t) AS roles
+ FROM (SELECT *, coalesce(text, '') AS t FROM conversations) GROUP BY 1""")
+def _(c):
+    return conversations.turn_checks(c)
+
+
 # --- rules: NLP-11, PIPE-03, FLT-15 --------------------------------------------------------------------------------
 TONE = SENTIMENT.format(key="conv_id, turn, t, coalesce(text, '') AS reply", table="conversations")
 BY_EMOTION = "list_sort(list_filter([" + ", ".join(f"{{'minus': -round({sql_hits('t', w)} / {len(w)}.0::DOUBLE, 6), 'emotion': '{e}'}}" for e, w in nlp.EMOTIONS.items()) + "], lambda x: x.minus < 0))"
