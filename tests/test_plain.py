@@ -153,14 +153,30 @@ def test_damped_weights(spark):
         w[x], w[y] = w[x] * 0.7 + mean * 0.3, w[y] * 0.7 + mean * 0.3
     got = {r.name: r.weight for r in stores.damped_weights(d, near).collect()}
     assert all(abs(got[k] - v / sum(w.values())) < 1e-9 for k, v in w.items())
-    with pytest.raises(ValueError):
-        stores.damped_weights(d, near, most=2)
     # names that no model has, null names and nulls in a weight
     odd = near.union(spark.createDataFrame([("a", "zz", 0.99), (None, "b", 0.99), ("a", None, 0.99)], near.schema))
     more = d.union(spark.createDataFrame([("e", None, 1000, 1.0), (None, 0.5, 1000, 1.0)], d.schema))
     assert {r.name: r.weight for r in stores.damped_weights(more, odd).collect()} == pytest.approx({**{k: v / sum(w.values()) for k, v in w.items()}, "e": 0.0})
 
 
+def test_damped_weights_of_many_models(spark):
+    """More models than any cap, in components of every size: one long chain, a hub, many small ones."""
+    rng = random.Random(12)
+    names = [f"m{i:04}" for i in range(2500)]
+    models = [(n, rng.random(), rng.randrange(5000), rng.random()) for n in names]
+    pairs = {(names[i], names[i + 1]) for i in range(300)} | {(names[400], n) for n in names[401:600]} | {tuple(sorted(rng.sample(names[700:], 2))) for _ in range(700)}
+    w = {n: s * e / 1000 * o for n, s, e, o in models}
+    for a, b in sorted(pairs):
+        mean = (w[a] + w[b]) / 2
+        w[a], w[b] = w[a] + 0.3 * (mean - w[a]), w[b] + 0.3 * (mean - w[b])
+    total = sum(w.values())
+    d = spark.createDataFrame(models, "name string, score double, examples long, overlap double")
+    near = spark.createDataFrame([(a, b, 0.95) for a, b in pairs], "a string, b string, similarity double")
+    got = {r.name: r.weight for r in stores.damped_weights(d, near).collect()}
+    assert got == pytest.approx({n: x / total for n, x in w.items()})
+    assert stores.damped_weights(d.limit(0), near).collect() == []
+
+
 def test_graph_keeps_the_ends_of_its_edges(spark):
     entities = spark.createDataFrame([(str(i), "t", i) for i in range(6)] + [("y", "late", 50), (None, "t", 0)], "id string, type string, at long")
     relations = spark.createDataFrame([("4", "x", "r", 10), ("x", "y", "r", 11), ("x", "y", "s", 12), ("q", "z", "r", 13), (None, "z", "r", 1)], "src string, dst string, type string, at long")

@@ -147,6 +147,23 @@ def subgraph(edges: DataFrame, seed, depth: int) -> DataFrame:
     return e.join(seen.select(F.col("node").alias("src")), "src", "left_semi").join(seen.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of the nodes of edges (src, dst), root being the smallest node that is connected: each round takes the smallest root among
+    the neighbours and then that root's own, and is checkpointed, so rounds grow with the logarithm of a component's size."""
+    e = edges.select("src", "dst").filter("src is not null and dst is not null")
+    both = checkpointed(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    degree = checkpointed(both.groupBy("dst").agg(F.count("*").alias("n")))
+    label = checkpointed(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("root")))
+    while True:
+        near = join_dealt(both, label.select(F.col("node").alias("dst"), "root"), degree, "dst", "src").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("near"))
+        new = checkpointed(label.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old")))
+        tops = new.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        counts = checkpointed(new.groupBy("root").agg(F.count("*").alias("n")))
+        label = checkpointed(join_dealt(new, tops, counts, "root", "node").select("node", F.least("root", "top").alias("root"), "old"))
+        if label.filter("root <> old").isEmpty():
+            return label.select("node", "root")
+
+
 def graph_stats(edges: DataFrame) -> DataFrame:
     """GRF-05, AGG-18."""
     nodes = edges.select(F.col("src").alias("n")).union(edges.select("dst")).distinct()

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpointed
+from .retrieval import components
+
 
 def where_equal(df: DataFrame, **wanted) -> DataFrame:
     """FLT-05: rows whose columns have the given values; an array column has to hold the value, a wanted None is no
@@ -67,29 +69,30 @@ def first_n(df: DataFrame, n: int, *order) -> DataFrame:
     return rows.withColumn("truncated", F.count("*").over(Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) >= n)
 
 
-def damped_weights(models: DataFrame, similar: DataFrame, least: float = 0.9, damping: float = 0.3, most: int = 1_000) -> DataFrame:
+def damped_weights(models: DataFrame, similar: DataFrame, least: float = 0.9, damping: float = 0.3) -> DataFrame:
     """AGG-22 over (name, score, examples, overlap) and (a, b, similarity): weights score * examples / 1000 * overlap;
     pairs of very similar models, by name, pull each other towards their mean, one pair after another; then the weights
-    are scaled to sum 1 (equal ones, if the sum is 0). Each pair changes what the next one sees, so one task folds
-    them: the tables list models, and more than `most` are refused. Pairs with a name that no model has are ignored, as are
+    are scaled to sum 1 (equal ones, if the sum is 0). A pair changes only what later pairs of the same connected component see, so each
+    component is folded by itself. Pairs with a name that no model has are ignored, as are
     models without a name; of a name that repeats the smallest weight counts; a weight with a null in it is 0."""
     weight = F.coalesce(F.col("score") * F.col("examples") / 1000.0 * F.col("overlap"), F.lit(0.0))
-    rows = models.filter("name is not null").groupBy("name").agg(F.min(weight).alias("weight")).select(F.lit(1).alias("g"), "name", "weight")
-    if rows.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} models")
+    rows = models.filter("name is not null").groupBy("name").agg(F.min(weight).alias("weight"))
     known = lambda c: rows.select(F.col("name").alias(c))
     near = similar.filter((F.col("similarity") > least) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    near = near.join(known("a"), "a", "left_semi").join(known("b"), "b", "left_semi").select(F.lit(1).alias("g"), "a", "b")
+    near = checkpointed(near.join(known("a"), "a", "left_semi").join(known("b"), "b", "left_semi"))
+    label = checkpointed(components(near.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    near = near.join(label.select(F.col("node").alias("a"), F.col("root").alias("of")), "a")
+    tied = rows.join(label.select(F.col("node").alias("name"), "root"), "name", "left")
 
     def fold(m: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        m = m.sort_values("name")
         w = dict(zip(m["name"], m["weight"], strict=True))
         for a, b in sorted(zip(pairs["a"], pairs["b"], strict=True)):
             mean = (w[a] + w[b]) / 2
             w[a], w[b] = (x + damping * (mean - x) for x in (w[a], w[b]))
-        values = np.array([w[n] for n in m["name"]])
-        total = values.sum()
-        return pd.DataFrame({"name": m["name"], "weight": values / total if total > 0 else np.full(len(m), 1 / len(m))})
+        return pd.DataFrame({"name": list(w), "weight": list(w.values())})
 
-    kind = models.schema["name"].dataType.simpleString()
-    return rows.groupBy("g").cogroup(near.groupBy("g")).applyInPandas(fold, f"name {kind}, weight double")
+    kind = rows.schema["name"].dataType.simpleString()
+    pulled = tied.filter("root is not null").groupBy("root").cogroup(near.groupBy("of")).applyInPandas(fold, f"name {kind}, weight double")
+    every = checkpointed(tied.filter("root is null").select("name", "weight").unionByName(pulled))
+    total, n = every.agg(F.sum("weight"), F.count("*")).first()
+    return every.withColumn("weight", F.col("weight") / total if total and total > 0 else F.lit(1.0 / n if n else 0.0))
