@@ -260,9 +260,9 @@ def versions(events: DataFrame, gap: int = GAP, block: int = BLOCK) -> DataFrame
     entries = e.groupBy("user", "block").agg(F.sort_array(F.collect_list(F.struct("second", "batch", "n", "h"))).alias("entries"))
     entries = entries.join(lies.select("user", "block", "chain", "left", "right").hint("merge"), ["user", "block"]).select("user", "chain", "block", "left", "right", "entries")
     found = cut(entries.mapInArrow(_lists(gap), LISTED))
-    # chains of one block are done: their versions know who retracts them
-    alone = lies.filter(F.col("left") | F.col("right")).groupBy("user", "chain").agg(F.count(F.lit(1)).alias("blocks"), F.min("batch_low").alias("low"), F.max("batch_high").alias("high"))
-    runs = found.filter("kind = 2").join(alone.hint("merge"), ["user", "chain"])
+    # chains of several blocks; those of one are done, their versions know who retracts them
+    chains = lies.filter(F.col("left") | F.col("right")).groupBy("user", "chain").agg(F.count(F.lit(1)).alias("blocks"), F.min("batch_low").alias("low"), F.max("batch_high").alias("high"))
+    runs = found.filter("kind = 2").join(chains.hint("merge"), ["user", "chain"])
     slices = F.least(F.lit(SLICES), F.greatest(F.lit(1), F.floor(F.col("blocks") / 16)))
     runs = runs.withColumn("wide", F.floor((F.col("high") - F.col("low")) / slices) + 1)
     # a record is needed up to the slice of the next one, which sees what stood before
@@ -270,7 +270,7 @@ def versions(events: DataFrame, gap: int = GAP, block: int = BLOCK) -> DataFrame
     runs = runs.withColumn("upto", F.coalesce("until", "high")).withColumn("slice", F.explode(F.sequence(place("batch"), place("upto"))))
     runs = runs.withColumn("lowest", F.col("low") + F.col("slice") * F.col("wide")).select("user", "chain", "slice", "lowest", "block", "batch", *RUNS)
     stitched = cut(runs.groupBy("user", "chain", "slice").applyInPandas(_stitch(gap), FOUND), share=4)
-    open_rows = found.filter("kind < 2").join(alone.select("user", "chain", F.lit(True).alias("open")).hint("merge"), ["user", "chain"], "left")
+    open_rows = found.filter("kind < 2").join(chains.select("user", "chain", F.lit(True).alias("open")).hint("merge"), ["user", "chain"], "left")
     columns = [x.split()[0] for x in FOUND.split(", ")]
     closed = open_rows.filter("open is null").select(columns)
     starts = stitched.filter("kind = 3").select("user", "block", F.col("batch").alias("by_batch"), "by_side", F.col("start_s").alias("by_run"))
