@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_operators import LONG, NEAR, PROSE, SCHEMA, clash, exact_sets, rows
-from textquarry.llm import chat, classifier, langid, mixing
+from textquarry.llm import chat, classifier, langid, line_dedup, mixing
 from textquarry.llm.queries import tokenizer_path
 
 ENGLISH = "the quick brown fox jumps over the lazy dog and then it runs away from the big bad wolf of the woods"
@@ -155,6 +155,8 @@ def brute_pipeline(data):
     for r in sorted(data, key=lambda r: r[0]):
         lines = r[1].split("\n")
         at = [i for i, x in enumerate(lines) if wordy(x)]
+        number = [int(hashlib.md5(lines[i].encode()).hexdigest()[:7], 16) for i in at]
+        at = [i for i, h, before in zip(at, number, [0, *number]) if (h + line_dedup.BASES[1] * before) % line_dedup.PRIME % line_dedup.SPARE]  # the borders of chunks
         gone = set()
         for a, b in zip(at, at[1:]):
             body = "\n".join(lines[a : b + 1])
