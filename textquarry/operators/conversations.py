@@ -128,7 +128,7 @@ def process(turns: DataFrame, found: DataFrame, key: str, kinds: tuple[str, ...]
     sentiment, tone and context: the ids of the texts found for them (key, doc_id, score), the best first. Entities as
     nodes of a graph: nlp.entity_spans() and stores.graph_of()."""
     d = nlp.sentiment(nlp.intents(turns))
-    n = sum((F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(nlp.ENTITIES[k]), F.lit(0))) for k in kinds), F.lit(0))
+    n = sum((F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(S.re2(nlp.ENTITIES[k])), F.lit(0))) for k in kinds), F.lit(0))
     best = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id"))).alias("_x"))  # as many as are found for a turn
     d = d.withColumn("n_entities", n.cast("long")).join(best, key, "left")
     return d.withColumn("context", F.coalesce(F.transform("_x", lambda x: x.doc_id.cast("string")), F.array().cast("array<string>"))).drop("_x")

@@ -192,7 +192,7 @@ def route(df: DataFrame, text: str = "text") -> DataFrame:
 
 def entity_texts(df: DataFrame, key: str, text: str = "text", kinds: tuple[str, ...] = ("EMAIL", "PHONE", "IP_ADDRESS", "URL")) -> DataFrame:
     """NLP-04, NLP-06: texts of the entities of some kinds, counted."""
-    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(ENTITIES[k]), F.lit(0)).alias("found")) for k in kinds])
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(S.re2(ENTITIES[k])), F.lit(0)).alias("found")) for k in kinds])
     d = df.select(key, F.explode(each).alias("e")).select(key, F.col("e.kind").alias("kind"), F.explode("e.found").alias("entity"))
     return d.groupBy(key, "kind", "entity").agg(F.count("*").alias("n"))
 

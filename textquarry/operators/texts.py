@@ -73,14 +73,14 @@ def line_range(df: DataFrame, offset: int, limit: int, key: str = "doc_id", text
 
 
 def grep(df: DataFrame, pattern: str, key: str = "doc_id", text: str = "text", ignore_case: bool = False) -> DataFrame:
-    """FLT-08."""
-    return lines(df, key, text).filter(F.col("line").rlike(("(?i)" if ignore_case else "") + pattern))
+    """FLT-08. The pattern means what it does in RE2."""
+    return lines(df, key, text).filter(F.col("line").rlike(S.re2(("(?i)" if ignore_case else "") + pattern)))
 
 
 def grep_context(df: DataFrame, pattern: str, before: int, after: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """WIN-03: matching lines with the lines around them."""
     all_lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    d = df.select(key, all_lines.alias("_l")).select(key, "_l", F.posexplode("_l").alias("p", "line")).filter(F.col("line").rlike(pattern))
+    d = df.select(key, all_lines.alias("_l")).select(key, "_l", F.posexplode("_l").alias("p", "line")).filter(F.col("line").rlike(S.re2(pattern)))
     lo = F.greatest(F.col("p") - before, F.lit(0))
     return d.select(key, (F.col("p") + 1).alias("line_no"), "line", F.array_join(F.slice("_l", lo + 1, F.col("p") - lo), "\n").alias("before"), F.array_join(F.slice("_l", F.col("p") + 2, F.lit(after)), "\n").alias("after"))
 
@@ -146,8 +146,8 @@ def code_issues(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     c = F.col(text)
     todo = lines(df, key, text).select(key, "line_no", F.explode(F.array_compact(F.array(F.when(F.upper("line").rlike("TODO|FIXME"), F.lit("todo")), F.when(F.length("line") > 120, F.lit("long_line"))))).alias("issue"))
     whole = F.array_compact(F.array(
-        F.when(c.rlike("except\\s*:\\s*\\n\\s*pass"), F.lit("empty_except")), F.when(c.rlike("(?i)password\\s*=\\s*[\"']"), F.lit("hardcoded_credentials")),
-        F.when(c.rlike("\\bprint\\s*\\(") & ~c.startswith("# debug"), F.lit("debug_print")), F.when(c.rlike("(?m)^([A-Z_][A-Z0-9_]*)\\s*=\\s*"), F.lit("global_variable"))))
+        F.when(c.rlike(S.re2("except\\s*:\\s*\\n\\s*pass")), F.lit("empty_except")), F.when(c.rlike(S.re2("(?i)password\\s*=\\s*[\"']")), F.lit("hardcoded_credentials")),
+        F.when(c.rlike(S.re2("\\bprint\\s*\\(")) & ~c.startswith("# debug"), F.lit("debug_print")), F.when(c.rlike(S.re2("(?m)^([A-Z_][A-Z0-9_]*)\\s*=\\s*")), F.lit("global_variable"))))
     once = df.select(key, F.lit(None).cast("int").alias("line_no"), F.explode(whole).alias("issue"))
     return todo.unionByName(once).select(key, "issue", "line_no")
 
