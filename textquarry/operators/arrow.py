@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import bisect
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -16,6 +17,7 @@ from ..functions import scores as S
 from ..functions.lineage import checkpointed
 from ..sources import files
 from .learning import hash_embedding, language_of_path
+from .texts import free_names, settled
 
 #: Tokens of a text at most, where nothing else is said.
 MAX_LENGTH = 4096
@@ -187,10 +189,12 @@ def find_code(spark: SparkSession, path: str, query: str, k: int = 10, extension
 
 def search_code(chunks: DataFrame, query: str, k: int = 10, size: int = 256) -> DataFrame:
     """PIPE-11: the k chunks whose hash embedding has the largest cosine with the query's; ties by key and line. A scan
-    with a top-k, no join."""
-    wanted = hash_embedding(F.lit(query), size)
-    cosine = S.cosine(hash_embedding(F.col("content"), size), wanted)
-    return chunks.withColumn("score", F.round(cosine, 6)).orderBy(F.desc("score"), *[c for c in chunks.columns if c != "content"]).limit(k)
+    with a top-k, no join. A chunk is embedded once, and the query before the scan."""
+    digest = hashlib.sha256(query.encode()).digest()
+    wanted = F.array(*[F.lit(digest[i % 32] / 255) for i in range(size)])
+    (own,) = free_names(chunks, "_v")
+    d = settled(chunks, *chunks.columns, **{own: hash_embedding(F.col("content"), size)})
+    return d.select(*chunks.columns, F.round(S.cosine(F.col(own), wanted), 6).alias("score")).orderBy(F.desc("score"), *[c for c in chunks.columns if c != "content"]).limit(k)
 
 
 def syntax(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

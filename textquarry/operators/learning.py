@@ -348,9 +348,11 @@ def due(schedules: DataFrame, key: str, now: str) -> DataFrame:
 
 
 def hash_embedding(c: Column, size: int = 256) -> Column:
-    """HASH-02: the bytes of the digest over and over, divided by 255."""
-    digest = F.sha2(c.cast("string"), 256)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.conv(F.substr(digest, i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255)
+    """HASH-02: the bytes of the digest over and over, divided by 255. The digest goes into the lambda as an item of an array, as
+    it would else be worked out again for every place."""
+    byte = lambda d, i: F.conv(F.substr(d, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255
+    once = F.transform(F.array(F.sha2(c.cast("string"), 256)), lambda d: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: byte(d, i)))
+    return F.slice(F.flatten(F.array_repeat(F.get(once, F.lit(0)), -(-size // 32))), 1, size)
 
 
 def seeded_embedding(df: DataFrame, key: str, text: str = "text", size: int = 128) -> DataFrame:
