@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,47 @@ def test_runs_repeat_until_recall(spark, monkeypatch):
     assert used[0] == 1 and len(used) > 1 and sum(got.values()) >= 0.99 * sum(brute_links(texts, 0.8))
 
 
+def test_tables_of_whole_groups_stay_small():
+    """A batch of many groups is cut into many tables, so that what is compared at once does not follow the batches' size."""
+    g = np.sort(np.random.default_rng(2).integers(0, 150, 25_000))
+    g[3_000:5_500] = g[3_000]
+    g.sort()
+    whole = pa.table({"g": g, "x": np.arange(len(g))})
+    for size in (10_000, 700, 60):
+        got = list(jaccard._whole_groups(whole.to_batches(size), 1_000))
+        assert pa.concat_tables(got).equals(whole)
+        keys = [set(t.column("g").to_pylist()) for t in got]
+        assert all(not x & y for x, y in zip(keys, keys[1:], strict=False))
+        assert all(t.num_rows <= 1_000 or len(k) == 1 for t, k in zip(got, keys, strict=True))
+    few = list(jaccard._whole_groups(whole.to_batches(10_000), 1_000, most=whole.nbytes // 100))
+    assert pa.concat_tables(few).equals(whole) and all(t.num_rows <= 250 or len(set(t.column("g").to_pylist())) == 1 for t in few)
+
+
+def test_overlaps_by_group():
+    """Sizes of intersections, in groups of one block and of two, of many pairs and of few."""
+    rng = np.random.default_rng(3)
+    own = {i: np.unique(rng.integers(0, 9_000, int(rng.integers(1, 900)))) for i in range(90)}
+    g = np.repeat([5, 6, 7], [40, 40, 10])
+    side = np.concatenate([np.full(40, 2), rng.integers(0, 2, 40), np.full(10, 2)])
+    a, b = np.triu_indices(90, 1)
+    ok = (g[a] == g[b]) & ((side[a] == 2) | (side[a] != side[b])) & ((g[a] < 7) | (b == 89))
+    a, b = a[ok], b[ok]
+    got = jaccard.overlaps_by_group(own, g, side, a, b)
+    assert got.tolist() == [len(np.intersect1d(own[i], own[j])) for i, j in zip(a, b, strict=True)] and len(set(g[a])) == 3
+
+
+def test_exact_shingles_whatever_the_hash(monkeypatch):
+    """Texts share a number where they share five words in a row, also if all hashes collide."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3, int(n))) for n in [*rng.integers(1, 60, 30), 5, 4, 1]] + ["", " \n", "w1 w2", "w1  w2"]
+    want = exact_sets(texts)
+    for _ in range(2):
+        got = [set(x.tolist()) for x in hashing.exact_shingles([t.encode() for t in texts], 5)]
+        assert [[len(a & b) for b in got] for a in got] == [[len(a & b) for b in want] for a in want]
+        monkeypatch.setattr(hashing, "place", lambda word: np.zeros(len(word[0]), np.uint64))
+    assert hashing.exact_shingles([], 5) == [] and [len(x) for x in hashing.exact_shingles([b"", b" "], 5)] == [0, 0]
+
+
 def thue_morse(n=10):
     s = [0]
     for _ in range(n):

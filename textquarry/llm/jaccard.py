@@ -41,6 +41,7 @@ from .common import cut, free, join_hot, partitions, ready
 WORDS, THRESHOLD, TOKENS, DEPTH, SMALL = 5, 0.8, 128, 3, 256
 MISS, RECALL = 1e-6, 0.99
 _MULT = hashing.mix(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
+_FLIP = _MULT[::-1].copy()
 
 
 def most_children(threshold: float) -> int:
@@ -71,8 +72,10 @@ def shingle_set(text: str | None) -> np.ndarray:
 def tokens(shingles: np.ndarray, n_roots: int) -> tuple[np.ndarray, np.ndarray]:
     """A byte of the minhash at each of TOKENS positions, and keys of the whole values that the roots split on."""
     low = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(shingles), 1024):
-        low = np.minimum(low, ((shingles[lo : lo + 1024, None] ^ _MULT[None, ::-1]) * _MULT).min(0))
+    for lo in range(0, len(shingles), 256):  # so many rows of TOKENS stay in the cache of a core
+        part = shingles[lo : lo + 256, None] ^ _FLIP
+        part *= _MULT
+        np.minimum(low, part.min(0), out=low)
     at = np.arange(n_roots)
     keys = hashing.mix(low[at * 8 % TOKENS + at * 8 // TOKENS] + hashing.mix(at.astype(np.uint64) + np.uint64(1)))
     return (hashing.mix(low) & np.uint64(0xFF)).astype(np.uint8), keys.view(np.int64)
@@ -154,7 +157,8 @@ def dealt(leaf: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _whole_groups(batches, rows: int, most: int = 64 << 20):
-    """Tables that hold whole groups (column g, sorted), of about so many rows, or so many bytes, if those are fewer rows."""
+    """Tables that hold whole groups (column g, sorted), of at most so many rows, or so many bytes, if those are fewer rows;
+    a larger group stands alone. A batch may hold many tables."""
     held = []
     for b in batches:
         held.append(pa.Table.from_batches([b]))
@@ -162,10 +166,13 @@ def _whole_groups(batches, rows: int, most: int = 64 << 20):
             continue
         t = pa.concat_tables(held).combine_chunks()
         g = t.column("g").to_numpy()
-        end = int(np.searchsorted(g, g[-1], "left"))
-        if end:
-            yield t.slice(0, end)
-        held = [t.slice(end)]
+        borders = np.flatnonzero(g[1:] != g[:-1]) + 1
+        step, lo = min(rows, max(1, t.num_rows * most // max(t.nbytes, 1))), 0
+        while (left := borders[np.searchsorted(borders, lo, "right") :]).size:
+            hi = int(left[max(0, np.searchsorted(left, lo + step, "right") - 1)])
+            yield t.slice(lo, hi - lo)
+            lo = hi
+        held = [t.slice(lo)]
     if held and sum(t.num_rows for t in held):
         yield pa.concat_tables(held).combine_chunks()
 
@@ -175,19 +182,28 @@ def _matrix(col) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), -1)
 
 
+def _agree(tok: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes agree in the rows a and b of tok, a matrix of 64-bit words (at most 255 words a row)."""
+    x = tok[a] ^ tok[b]
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    same = ~(((x & low) + low) | x | low) >> np.uint64(7)  # 1 in each byte that is zero in x
+    return ((same.sum(1) * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
+
+
 def candidates(t: pa.Table, least: int, n_roots: int, n_slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows of one group whose tokens agree and whose first common leaf this is, and under how many roots they
     meet."""
     n = t.num_rows
     g, side, slot = t.column("g").to_numpy(), t.column("side").to_numpy(), t.column("slot").to_numpy()
-    tok = _matrix(t.column("tok"))
+    tok = _matrix(t.column("tok")).view(np.uint64)
+    some = np.ascontiguousarray(tok[:, :4])
     at, leaf = t.column("at").combine_chunks(), t.column("leaves").combine_chunks()
     count = pc.list_value_length(at).to_numpy()
     row = np.repeat(np.arange(n), count)
-    # 0 and every row's own number stand for no leaf: they never agree
-    where = np.empty((n, n_slots), np.int64)
-    where[:] = np.arange(n)[:, None]
-    where[row, at.flatten().to_numpy()] = leaf.flatten().to_numpy()
+    # every row's own number stands for no leaf: it never agrees
+    where = np.empty((n_slots, n), np.int64)
+    where[:] = np.arange(n)
+    where[at.flatten().to_numpy(), row] = leaf.flatten().to_numpy()
     start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
     size = np.diff(np.append(start, n))
     # each row with the rows after it in its group
@@ -202,15 +218,21 @@ def candidates(t: pa.Table, least: int, n_roots: int, n_slots: int) -> tuple[np.
         ok = (side[a] == 2) | (side[a] != side[b])
         a, b = a[ok], b[ok]
         if len(a):
-            ok = (tok[a, :32] == tok[b, :32]).sum(1) >= max(0, least - 96)
+            ok = _agree(some, a, b) >= max(0, least - 96)
             a, b = a[ok], b[ok]
-            ok = (tok[a] == tok[b]).sum(1) >= least
+        # in a group of near copies most pairs have met before: those go first, slot by slot
+        own = slot[a]
+        for k in range(int(own.max(initial=0))):
+            before = (where[k][a] == where[k][b]) & (own > k)
+            if before.any():
+                a, b, own = a[~before], b[~before], own[~before]
+        if len(a):
+            ok = (where[own, a] == where[own, b]) & (_agree(tok, a, b) >= least)
             a, b = a[ok], b[ok]
-            both = where[a] == where[b]
-            ok = both.argmax(1) == slot[a]
-            left.append(a[ok])
-            right.append(b[ok])
-            met.append(both[ok].reshape(-1, n_roots, n_slots // n_roots).any(2).sum(1))
+            both = where[:, a] == where[:, b]
+            left.append(a)
+            right.append(b)
+            met.append(both.reshape(n_roots, n_slots // n_roots, -1).any(1).sum(0))
         lo = hi
     empty = np.zeros(0, np.int64)
     return tuple(np.concatenate(x) if x else empty for x in (left, right, met))
@@ -222,22 +244,34 @@ def estimated_recall(pairs: int, once: int, twice: int) -> float:
 
 
 def overlaps(own: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the pairs' sets."""
-    used = np.unique(np.concatenate([a, b]))
-    if len(a) <= 4 * len(used):
+    """Sizes of the intersections of the pairs' sets, which hold small numbers."""
+    left, at_a = np.unique(a, return_inverse=True)
+    right, at_b = np.unique(b, return_inverse=True)
+    if len(a) <= 4 * (len(left) + len(right)):
         return np.array([len(np.intersect1d(own[i], own[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
-    # many pairs among few sets: products of 0/1 matrices, over the shingles that two sets or more have
-    row = np.repeat(np.arange(len(used)), [len(own[i]) for i in used])
-    _, col, seen = np.unique(np.concatenate([own[i] for i in used]), return_inverse=True, return_counts=True)
-    keep = seen[col] > 1
-    row, (_, col) = row[keep], np.unique(col[keep], return_inverse=True)
-    both = np.zeros((len(used), len(used)), np.float32)
+    # many pairs among few sets: products of 0/1 matrices, over the shingles that both sides have
+    x, y = (np.concatenate([own[i] for i in rows]) for rows in (left, right))
+    there = np.zeros((2, 1 + max(x.max(initial=0), y.max(initial=0))), bool)
+    there[0, x] = there[1, y] = True
+    col = np.where(there.all(0), np.cumsum(there.all(0)) - 1, -1)
+    x, y = ((np.repeat(np.arange(len(rows)), [len(own[i]) for i in rows]), col[z]) for rows, z in ((left, x), (right, y)))
+    both = np.zeros((len(left), len(right)), np.float32)
     for lo in range(0, int(col.max(initial=-1)) + 1, 4096):
-        here = (col >= lo) & (col < lo + 4096)
-        m = np.zeros((len(used), 4096), np.float32)
-        m[row[here], col[here] - lo] = 1
-        both += m @ m.T
-    return both[np.searchsorted(used, a), np.searchsorted(used, b)].astype(np.int64)
+        wide, m = min(4096, int(col.max()) + 1 - lo), []
+        for rows, (row, c) in ((left, x), (right, y)):
+            here = (c >= lo) & (c < lo + wide)
+            m.append(np.zeros((len(rows), wide), np.float32))
+            m[-1][row[here], c[here] - lo] = 1
+        both += m[0] @ m[1].T
+    return both[at_a, at_b].astype(np.int64)
+
+
+def overlaps_by_group(own: dict[int, np.ndarray], g: np.ndarray, side: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """overlaps() of pairs in ascending order of a, group by group, so that the matrices hold two blocks at most."""
+    swap = side[a] == 1
+    left, right = np.where(swap, b, a), np.where(swap, a, b)
+    ends = np.flatnonzero(np.append(g[a[1:]] != g[a[:-1]], True)) + 1
+    return np.concatenate([overlaps(own, left[lo:hi], right[lo:hi]) for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True)])
 
 
 def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -310,7 +344,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
             own = dict(zip(used, hashing.exact_shingles([text[i].as_py().encode("utf-8", "replace") for i in used], WORDS), strict=True))
             size = np.zeros(t.num_rows, np.int64)
             size[used] = [len(own[i]) for i in used]
-            both = overlaps(own, a, b)
+            both = overlaps_by_group(own, t.column("g").to_numpy(), t.column("side").to_numpy(), a, b)
             ok = both >= threshold * (size[a] + size[b] - both)
             a, b = a[ok], b[ok]
             count = np.bincount(np.concatenate([a, b]), minlength=t.num_rows)
