@@ -215,6 +215,44 @@ def test_exact_shingles_whatever_the_hash(monkeypatch):
     assert hashing.exact_shingles([], 5) == [] and [len(x) for x in hashing.exact_shingles([b"", b" "], 5)] == [0, 0]
 
 
+def test_sip_words():
+    """One digest for each word, the same wherever the word stands: SipHash-2-4 by its own definition, and mix()."""
+
+    def sip(data, key=b"0123456789123456"):
+        turn = lambda x, b: (x << b | x >> (64 - b)) & full
+        full, k0, k1 = (1 << 64) - 1, int.from_bytes(key[:8], "little"), int.from_bytes(key[8:], "little")
+        v = [k0 ^ 0x736F6D6570736575, k1 ^ 0x646F72616E646F6D, k0 ^ 0x6C7967656E657261, k1 ^ 0x7465646279746573]
+
+        def rounds(n):
+            for _ in range(n):
+                v[0] = (v[0] + v[1]) & full
+                v[1] = turn(v[1], 13) ^ v[0]
+                v[0] = turn(v[0], 32)
+                v[2] = (v[2] + v[3]) & full
+                v[3] = turn(v[3], 16) ^ v[2]
+                v[0] = (v[0] + v[3]) & full
+                v[3] = turn(v[3], 21) ^ v[0]
+                v[2] = (v[2] + v[1]) & full
+                v[1] = turn(v[1], 17) ^ v[2]
+                v[2] = turn(v[2], 32)
+
+        whole = data + bytes(7 - len(data) % 8) + bytes([len(data) & 255])
+        for i in range(0, len(whole), 8):
+            m = int.from_bytes(whole[i : i + 8], "little")
+            v[3] ^= m
+            rounds(2)
+            v[0] ^= m
+        v[2] ^= 255
+        rounds(4)
+        return v[0] ^ v[1] ^ v[2] ^ v[3]
+
+    raw = " one\ttwo\u00a0three\none \u00e9t\u00e9 12345678 \0 ".encode() + b"x" * 300
+    assert hashing.sip_words(raw).tolist() == hashing.mix(np.array([sip(w) for w in raw.split()], np.uint64)).tolist()
+    assert hashing.sip_words(b"").dtype == np.uint64 and not len(hashing.sip_words(b" \n"))
+    x = np.random.default_rng(5).integers(0, 50, 90)
+    assert all(hashing.distinct(x[:n]).tolist() == np.unique(x[:n]).tolist() for n in (0, 1, 2, 90))
+
+
 def thue_morse(n=10):
     s = [0]
     for _ in range(n):

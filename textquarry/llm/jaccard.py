@@ -17,7 +17,7 @@ probability MISS (roots(): 16 at 0.8, 39 at 0.5). The recall is then estimated f
 found, those that met under one root only and those that met under two tell how many met under none (Chao's estimator).
 Below RECALL the join is done again with twice the roots. Besides, 3e-5 of the pairs at the threshold fail by tokens.
 
-Classes and places are told apart by 128-bit digests of 64-bit blake2b digests of words, or of the words themselves in
+Classes and places are told apart by 128-bit digests of 64-bit SipHash digests of words, or of the words themselves in
 texts of one shingle; similarities come from the words.
 
 Null text, and text without words, has no shingles: it is a class of its own without links. Null doc_ids are kept;
@@ -66,7 +66,11 @@ def slots(threshold: float, n_roots: int) -> int:
 
 
 def shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(hashing.text_shingles((text or "").encode("utf-8", "replace"), WORDS))
+    return _shingle_set((text or "").encode("utf-8", "replace"))
+
+
+def _shingle_set(raw: bytes) -> np.ndarray:
+    return hashing.distinct(hashing.shingles(hashing.sip_words(raw), WORDS))
 
 
 def tokens(shingles: np.ndarray, n_roots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +99,7 @@ def sets(docs: DataFrame, n_roots: int) -> DataFrame:
             keys, toks, first = [], [], []
             for t in b.column(1).to_pylist():
                 raw = (t or "").encode("utf-8", "replace")
-                s = np.unique(hashing.text_shingles(raw, WORDS))
+                s = _shingle_set(raw)
                 if not len(s):
                     key = tok = root = None
                 else:
